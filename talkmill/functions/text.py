@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.strip and \s see it: Unicode, with the separators U+001C to U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
-_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 #: Lengths in code points of what goes into prompts and into previews.
 PROMPT_CHARS, PREVIEW_CHARS = 700, 300
@@ -31,7 +31,7 @@ def is_blank(c: Column) -> Column:
 
 def slug(c: Column) -> Column:
     """Lower-case ASCII letters and digits joined by underscores."""
-    return F.regexp_replace(F.regexp_replace(F.lower(strip(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(strip(c)), "[^a-z0-9]+", "_"), r"^_+|_+\z", "")
 
 
 def without_timing_tags(c: Column) -> Column:
@@ -46,7 +46,7 @@ def preview(c: Column, chars: int = PREVIEW_CHARS) -> Column:
 def sentences(c: Column) -> Column:
     """Array of what stands between sentence ends followed by white space, trimmed, without empty ones."""
     parts = F.split(F.regexp_replace(c, r"([.!?])[ \t\n\f\r]+", "$1\u0001"), "\u0001")
-    trimmed = F.transform(parts, lambda x: F.regexp_replace(x, r"^[ \t\n\f\r]+|[ \t\n\f\r]+$", ""))
+    trimmed = F.transform(parts, lambda x: F.regexp_replace(x, r"^[ \t\n\f\r]+|[ \t\n\f\r]+\z", ""))
     return F.filter(trimmed, lambda x: x != "")
 
 

@@ -19,7 +19,7 @@ def ms_to_timecode(ms: Column) -> Column:
 def timecode_to_ms(tc: Column) -> Column:
     """Of M:SS or H:MM:SS in whole numbers; 0 for another number of parts, null if a part is no whole number."""
     parts = F.split(strip(tc), ":")
-    number = lambda i: F.get(parts, i).try_cast("bigint")
+    number = lambda i: F.when(F.get(parts, i).rlike(r"^[ ]*[+-]?[0-9]{1,15}[ ]*\z"), F.get(parts, i).try_cast("bigint"))
     two, three = number(0) * 60 + number(1), number(0) * 3600 + number(1) * 60 + number(2)
     return F.when(F.size(parts) == 2, two * 1000).when(F.size(parts) == 3, three * 1000).when(tc.isNotNull(), F.lit(0))
 
@@ -52,4 +52,4 @@ def value_to_ms(value: Column, unit: str = "seconds") -> Column:
 def safe_seconds(value: Column) -> Column:
     """A duration as a double; null and blank give 0, what can't be read null."""
     v = strip(value)
-    return F.when(F.coalesce(v == "", F.lit(True)), F.lit(0.0)).when(v.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), v.try_cast("double"))
+    return F.when(F.coalesce(v == "", F.lit(True)), F.lit(0.0)).when(v.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\z"), v.try_cast("double"))

@@ -6,6 +6,8 @@ operators are expressions on those arrays, so none shuffles, and the work of a r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,18 @@ UTTERANCES = "array<struct<start_ms:bigint,end_ms:bigint,text:string>>"
 BOUNDS = "array<struct<a:bigint,b:bigint>>"
 
 
+def let(body: Callable[..., Column], *values: Column) -> Column:
+    """``body`` of ``values``, each of which is evaluated once a row.
+
+    What a lambda of a higher-order function refers to outside of itself is evaluated for every element, and the
+    optimizer puts the expressions of earlier projections in its place; a bound value is a variable instead.
+    """
+    if len(values) == 1:
+        return F.get(F.transform(F.array(values[0]), body), F.lit(0))
+    bound = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(bound), lambda s: body(*[s[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
 def _utterance(start: Column, end: Column, text: Column) -> Column:
     return F.struct(start.cast("bigint").alias("start_ms"), end.cast("bigint").alias("end_ms"), text.alias("text"))
 
@@ -23,10 +37,13 @@ def _bound(a: Column, b: Column) -> Column:
 
 def even_spacing(texts: Column, duration_seconds: Column) -> Column:
     """Utterances of equal length over the duration, a second each if that is longer; the last takes what is left over."""
-    n = F.size(texts)
-    total = F.greatest((F.coalesce(duration_seconds, F.lit(0.0)) * 1000).cast("bigint"), n.cast("bigint") * 1000)
-    step = F.greatest(F.floor(total / F.greatest(n, F.lit(1))), F.lit(1))
-    return F.transform(texts, lambda x, i: _utterance(i * step, F.when(i == n - 1, total).otherwise((i + 1) * step), x))
+
+    def spaced(texts: Column, n: Column, total: Column) -> Column:
+        step = F.greatest(F.floor(total / F.greatest(n, F.lit(1))), F.lit(1))
+        return let(lambda texts, n, total, step: F.transform(texts, lambda x, i: _utterance(i * step, F.when(i == n - 1, total).otherwise((i + 1) * step), x)), texts, n, total, step)
+
+    total = lambda t: F.greatest((F.coalesce(duration_seconds, F.lit(0.0)) * 1000).cast("bigint"), F.size(t).cast("bigint") * 1000)
+    return let(lambda t: let(spaced, t, F.size(t), total(t)), texts)
 
 
 def ordered(utterances: Column) -> Column:
@@ -41,29 +58,34 @@ def fill_times(utterances: Column) -> Column:
     Entries have start_ms and end_ms or null. Where every start is missing, use :func:`even_spacing`. The result is
     ordered and no entry ends before it starts.
     """
-    n = F.size(utterances)
-    # The first start given after position i, by a fold from the right.
-    ahead = F.aggregate(
-        F.reverse(utterances),
-        F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(None).cast("bigint").alias("next")),
-        lambda acc, u: F.struct(F.concat(F.array(acc["next"]), acc["out"]).alias("out"), F.coalesce(u["start_ms"], acc["next"]).alias("next")),
-    )["out"]
+    # The first start given after each position, by a fold from the right.
+    ahead = lambda us: F.reverse(
+        F.aggregate(
+            F.reverse(us),
+            F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(None).cast("bigint").alias("next")),
+            lambda acc, u: F.struct(F.array_append(acc["out"], acc["next"]).alias("out"), F.coalesce(u["start_ms"], acc["next"]).alias("next")),
+            lambda acc: acc["out"],
+        )
+    )
 
     def step(acc: Column, z: Column) -> Column:
-        u, following = z["0"], z["1"]
+        u, following = z["u"], z["next"]
         start = F.coalesce(u["start_ms"], acc["end"])
         end = F.coalesce(u["end_ms"], F.when((following != 0) & (following > start), following), start + 1000)
-        return F.struct(F.concat(acc["out"], F.array(_utterance(start, F.greatest(end, start), u["text"]))).alias("out"), F.greatest(acc["end"], end).alias("end"))
+        return F.struct(F.array_append(acc["out"], _utterance(start, F.greatest(end, start), u["text"])).alias("out"), F.greatest(acc["end"], end).alias("end"))
 
-    numbered = F.transform(utterances, lambda u, i: F.struct(u.alias("0"), F.get(ahead, i).alias("1")))
-    folded = F.aggregate(numbered, F.struct(F.array().cast(UTTERANCES).alias("out"), F.lit(0).cast("bigint").alias("end")), step)
-    return F.when(n > 0, ordered(folded["out"])).otherwise(utterances)
+    def filled(us: Column, nexts: Column) -> Column:
+        both = F.zip_with(us, nexts, lambda u, n: F.struct(u.alias("u"), n.alias("next")))
+        return F.aggregate(both, F.struct(F.array().cast(UTTERANCES).alias("out"), F.lit(0).cast("bigint").alias("end")), step, lambda acc: acc["out"])
+
+    return let(lambda us: ordered(let(filled, us, ahead(us))), utterances)
 
 
 def complete_ends(utterances: Column) -> Column:
     """Ordered utterances in which a missing end is the next start, or a second after the start for the last; none ends before it starts."""
-    u = ordered(utterances)
-    return F.transform(u, lambda x, i: _utterance(x["start_ms"], F.greatest(F.coalesce(x["end_ms"], F.get(u, i + 1)["start_ms"], x["start_ms"] + 1000), x["start_ms"]), x["text"]))
+    nexts = lambda u: F.transform(F.slice(u, 2, F.greatest(F.size(u), F.lit(1))), lambda x: x["start_ms"])
+    ended = lambda x, n: _utterance(x["start_ms"], F.greatest(F.coalesce(x["end_ms"], n, x["start_ms"] + 1000), x["start_ms"]), x["text"])
+    return let(lambda u: F.zip_with(u, nexts(u), ended), ordered(utterances))
 
 
 def coalesce_windows(utterances: Column, window_ms: int = 8000) -> Column:
@@ -85,7 +107,7 @@ def coalesce_windows(utterances: Column, window_ms: int = 8000) -> Column:
 
 def extent(utterances: Column) -> tuple[Column, Column]:
     """The first start and the end of the last utterance; null without utterances."""
-    return F.get(utterances, 0)["start_ms"], F.get(utterances, F.size(utterances) - 1)["end_ms"]
+    return F.get(utterances, F.lit(0))["start_ms"], F.get(F.reverse(utterances), F.lit(0))["end_ms"]
 
 
 def chunk_spans(t0: Column, t1: Column, chunk_ms: int, overlap_ms: int) -> Column:
@@ -93,32 +115,39 @@ def chunk_spans(t0: Column, t1: Column, chunk_ms: int, overlap_ms: int) -> Colum
     if chunk_ms <= 0 or not 0 <= overlap_ms < chunk_ms:
         raise ValueError("the chunk must be positive and the overlap less than it")
     step = chunk_ms - overlap_ms
-    n = F.when(t1 - t0 <= chunk_ms, 1).otherwise(1 + F.ceil((t1 - t0 - chunk_ms) / step)).cast("int")
-    spans = F.transform(F.sequence(F.lit(0), n - 1), lambda k: _bound(t0 + k * step, F.least(t1, t0 + k * step + chunk_ms)))
-    return F.when(t1 > t0, spans).otherwise(F.array().cast(BOUNDS))
+
+    def spans(t0: Column, t1: Column) -> Column:
+        n = F.when(t1 - t0 <= chunk_ms, 1).otherwise(1 + F.ceil((t1 - t0 - chunk_ms) / step)).cast("int")
+        return F.when(t1 > t0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: _bound(t0 + k * step, F.least(t1, t0 + k * step + chunk_ms)))).otherwise(F.array().cast(BOUNDS))
+
+    return let(spans, t0, t1)
 
 
 def owned(spans: Column, overlap_ms: int) -> Column:
     """What each chunk speaks for: up to where the next one begins, the last to its end."""
-    return F.transform(spans, lambda s, k: _bound(s["a"], F.when(k == F.size(spans) - 1, s["b"]).otherwise(s["b"] - overlap_ms)))
+    return let(lambda spans, n: F.transform(spans, lambda s, k: _bound(s["a"], F.when(k == n - 1, s["b"]).otherwise(s["b"] - overlap_ms))), spans, F.size(spans))
 
 
 def reconcile(bounds: Column, start: Column, end: Column) -> Column:
     """A contiguous tiling of [start, end] from bounds that may overlap, leave gaps or lie outside; gaps become bounds."""
-    inside = F.array_sort(F.filter(F.transform(bounds, lambda x: _bound(F.greatest(x["a"], start), F.least(x["b"], end))), lambda x: x["b"] > x["a"]))
 
-    def sweep(acc: Column, x: Column) -> Column:
-        a = F.greatest(x["a"], acc["at"])
-        gap = F.when(a > acc["at"], F.array(_bound(acc["at"], a))).otherwise(F.array().cast(BOUNDS))
-        return F.when(x["b"] > a, F.struct(F.concat(acc["out"], gap, F.array(_bound(a, x["b"]))).alias("out"), x["b"].alias("at"))).otherwise(acc)
+    def tiled(bounds: Column, start: Column, end: Column) -> Column:
+        inside = F.array_sort(F.filter(F.transform(bounds, lambda x: _bound(F.greatest(x["a"], start), F.least(x["b"], end))), lambda x: x["b"] > x["a"]))
+
+        def sweep(acc: Column, x: Column) -> Column:
+            a = F.greatest(x["a"], acc["at"])
+            gap = F.when(a > acc["at"], F.array(_bound(acc["at"], a))).otherwise(F.array().cast(BOUNDS))
+            return F.when(x["b"] > a, F.struct(F.concat(acc["out"], gap, F.array(_bound(a, x["b"]))).alias("out"), x["b"].alias("at"))).otherwise(acc)
 
-    last = lambda acc: F.when(acc["at"] < end, F.concat(acc["out"], F.array(_bound(acc["at"], end)))).otherwise(acc["out"])
-    return F.aggregate(inside, F.struct(F.array().cast(BOUNDS).alias("out"), start.cast("bigint").alias("at")), sweep, last)
+        last = lambda acc: F.when(acc["at"] < end, F.concat(acc["out"], F.array(_bound(acc["at"], end)))).otherwise(acc["out"])
+        return F.aggregate(inside, F.struct(F.array().cast(BOUNDS).alias("out"), start.cast("bigint").alias("at")), sweep, last)
+
+    return let(tiled, bounds, start, end)
 
 
 def clip(bounds: Column, a: Column, b: Column) -> Column:
     """``bounds`` within [a, b]; those without length are dropped."""
-    return F.filter(F.transform(bounds, lambda x: _bound(F.greatest(x["a"], a), F.least(x["b"], b))), lambda x: x["b"] > x["a"])
+    return let(lambda bounds, a, b: F.filter(F.transform(bounds, lambda x: _bound(F.greatest(x["a"], a), F.least(x["b"], b))), lambda x: x["b"] > x["a"]), bounds, a, b)
 
 
 def merge_chunks(per_chunk: Column) -> Column:
@@ -153,5 +182,9 @@ def overlap_text(utterances: Column, a: Column, b: Column) -> Column:
 
 def segments(utterances: Column, bounds: Column) -> Column:
     """(segment_id, a, b, text) of each bound with text, numbered from 0 after those without are dropped."""
-    all_of = F.transform(bounds, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.trim(overlap_text(utterances, x["a"], x["b"])).alias("text")))
-    return F.transform(F.filter(all_of, lambda s: s["text"] != ""), lambda s, i: F.struct(i.alias("segment_id"), s["a"].alias("a"), s["b"].alias("b"), s["text"].alias("text")))
+
+    def numbered(us: Column, bounds: Column) -> Column:
+        all_of = F.transform(bounds, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.trim(overlap_text(us, x["a"], x["b"])).alias("text")))
+        return F.transform(F.filter(all_of, lambda s: s["text"] != ""), lambda s, i: F.struct(i.alias("segment_id"), s["a"].alias("a"), s["b"].alias("b"), s["text"].alias("text")))
+
+    return let(numbered, utterances, bounds)

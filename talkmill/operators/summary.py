@@ -29,7 +29,7 @@ def label_summary(segments: DataFrame, codebook: DataFrame, fallback: str, pos:
     ``segments`` has codebook_label, segment_duration_seconds, segment_transcript and ``pos``; a null label counts as ``fallback``.
     """
     s = segments.select(F.coalesce("codebook_label", F.lit(fallback)).alias("label"), "segment_duration_seconds", preview(strip(F.col("segment_transcript"))).alias("sample"), pos)
-    agg = s.groupBy("label").agg(F.count(F.lit(1)).alias("n_segments"), F.round(F.sum("segment_duration_seconds"), 1).alias("total_runtime_seconds"))
+    agg = s.groupBy("label").agg(F.count(F.lit(1)).alias("n_segments"), F.round(F.sum(F.col("segment_duration_seconds").cast("decimal(18,3)")), 1).cast("double").alias("total_runtime_seconds"))
     agg = agg.join(first_samples(s, "label", pos, "sample"), "label", "left")
     out = codebook.select(F.col("pos").alias("_order"), "label").join(agg, "label", "left")
     samples = [F.coalesce(F.get("samples", F.lit(i)), F.lit("")).alias(f"sample_{i + 1}") for i in range(SAMPLES)]
@@ -43,7 +43,7 @@ def subtopic_summary(segments: DataFrame, subtopics: DataFrame, pos: str = "pos"
     """
     entries = segments.select(pos, F.coalesce("segment_duration_seconds", F.lit(0.0)).alias("seconds"), preview(strip(F.col("segment_transcript"))).alias("sample"), F.explode(sentiments).alias("slug", "sentiment")).filter(F.col("sentiment").isin(*SENTIMENTS))
     counts = [F.count_if(F.col("sentiment") == s).alias(f"n_{s}") for s in SENTIMENTS]
-    agg = entries.groupBy("slug").agg(F.count(F.lit(1)).alias("n_segments_discussed"), *counts, F.round(F.sum("seconds"), 1).alias("total_runtime_seconds_discussed"))
+    agg = entries.groupBy("slug").agg(F.count(F.lit(1)).alias("n_segments_discussed"), *counts, F.round(F.sum(F.col("seconds").cast("decimal(18,3)")), 1).cast("double").alias("total_runtime_seconds_discussed"))
     agg = agg.join(first_samples(entries, "slug", pos, "sample"), "slug", "left")
     n_total = segments.agg(F.count(F.lit(1)).alias("n")).scalar()
     out = subtopics.select(F.col("pos").alias("_order"), "slug").join(agg, "slug", "left")

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from talkmill.functions.timecode import ms_to_timecode
 from talkmill.models import BOUNDARY_RETRY, CLASS_RETRY, ModelClient, Retry
@@ -37,7 +38,7 @@ def chunked(read: DataFrame, chunk_ms: int, overlap_ms: int) -> DataFrame:
     df = read.withColumns({"utterances": seq.complete_ends(F.col("utterances"))}).withColumns({"t0": t0, "t1": t1})
     df = df.withColumn("spans", seq.chunk_spans(F.col("t0"), F.col("t1"), chunk_ms, overlap_ms))
     df = df.withColumn("own", seq.owned(F.col("spans"), overlap_ms))
-    blocks = F.transform("spans", lambda s: seq.coalesce_windows(seq.slice_overlap(F.col("utterances"), s["a"], s["b"])))
+    blocks = seq.let(lambda us, spans: F.transform(spans, lambda s: seq.coalesce_windows(seq.slice_overlap(us, s["a"], s["b"]))), F.col("utterances"), F.col("spans"))
     return df.withColumn("blocks", blocks)
 
 
@@ -47,7 +48,8 @@ def ask_boundaries(df: DataFrame, client: ModelClient, retry: Retry = BOUNDARY_R
     Calls are made where the rows are; the number of partitions bounds how many run at once. A video one of whose
     calls fails is marked and left without segments, the others go on.
     """
-    schema = df.schema.add("replies", "array<array<struct<a:bigint,b:bigint>>>").add("failed", "string")
+    bounds = _parse_datatype_string("replies array<array<struct<a:bigint,b:bigint>>>, failed string")
+    schema = StructType([*df.schema.fields, *bounds.fields])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -72,10 +74,9 @@ def ask_boundaries(df: DataFrame, client: ModelClient, retry: Retry = BOUNDARY_R
 
 def bounds_from_replies(df: DataFrame) -> DataFrame:
     """``df`` with ``bounds``: each chunk's reply reconciled to its span, clipped to what it owns, merged over chunks, holes filled."""
-    each = F.transform(
-        "spans",
-        lambda s, k: F.when(F.size(F.get("blocks", k)) > 0, seq.clip(seq.reconcile(F.get("replies", k), s["a"], s["b"]), F.get("own", k)["a"], F.get("own", k)["b"])).otherwise(F.array().cast(seq.BOUNDS)),
-    )
+    none = F.array().cast(seq.BOUNDS)
+    one = lambda s, own, blocks, reply: F.when(F.size(blocks) > 0, seq.clip(seq.reconcile(reply, s["a"], s["b"]), own["a"], own["b"])).otherwise(none)
+    each = F.transform(F.arrays_zip("spans", "own", "blocks", "replies"), lambda z: one(z["spans"], z["own"], z["blocks"], z["replies"]))
     return df.withColumn("bounds", F.when(F.size("spans") > 0, seq.fill_gaps(seq.merge_chunks(each), F.col("t0"), F.col("t1"))).otherwise(F.array().cast(seq.BOUNDS)))
 
 
