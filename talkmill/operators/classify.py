@@ -7,7 +7,6 @@ texts, and one model call answers a batch. Answers go to a Parquet cache, one fo
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from talkmill.functions.arrow import map_rows
 from talkmill.functions.timecode import ms_to_timecode
 from talkmill.models import BOUNDARY_RETRY, CLASS_RETRY, ModelClient, Retry
 from talkmill.operators import classify as cl
@@ -48,28 +48,27 @@ def ask_boundaries(df: DataFrame, client: ModelClient, retry: Retry = BOUNDARY_R
     Calls are made where the rows are; the number of partitions bounds how many run at once. A video one of whose
     calls fails is marked and left without segments, the others go on.
     """
-    bounds = _parse_datatype_string("replies array<array<struct<a:bigint,b:bigint>>>, failed string")
-    schema = StructType([*df.schema.fields, *bounds.fields])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            replies, failed = [], []
-            for spans, blocks in zip(frame.spans, frame.blocks):
-                out, error = [], None
-                try:
-                    for s, b in zip(spans, blocks):
-                        got = []
-                        if len(b):
-                            user = json.dumps({"chunk_start_ms": int(s["a"]), "chunk_end_ms": int(s["b"]), "blocks": [{"start_ms": int(x["start_ms"]), "end_ms": int(x["end_ms"]), "text": x["text"]} for x in b]}, ensure_ascii=False)
-                            got = [{"a": int(x["timecode_in_ms"]), "b": int(x["timecode_out_ms"])} for x in retry.call(client, BOUNDARY_SYSTEM, user, BOUNDARY_SCHEMA)["segments"]]
-                        out.append(got)
-                except Exception as e:  # noqa: BLE001 - one video's failure isn't the run's
-                    out, error = None, str(e)[:500]
-                replies.append(out)
-                failed.append(error)
-            yield frame.assign(replies=replies, failed=failed)
-
-    return df.mapInPandas(run, schema)
+    rest = [c for c in df.columns if c not in ("spans", "blocks")]
+    schema = StructType([*[df.schema[c] for c in ("spans", "blocks", *rest)], *_parse_datatype_string("replies array<array<struct<a:bigint,b:bigint>>>, failed string").fields])
+
+    def run(_: None, all_spans: list, all_blocks: list, *others: list) -> list:
+        replies, failed = [], []
+        for spans, blocks in zip(all_spans, all_blocks):
+            out, error = [], None
+            try:
+                for s, b in zip(spans, blocks):
+                    got = []
+                    if b:
+                        user = json.dumps({"chunk_start_ms": s["a"], "chunk_end_ms": s["b"], "blocks": b}, ensure_ascii=False)
+                        got = [{"a": int(x["timecode_in_ms"]), "b": int(x["timecode_out_ms"])} for x in retry.call(client, BOUNDARY_SYSTEM, user, BOUNDARY_SCHEMA)["segments"]]
+                    out.append(got)
+            except Exception as e:  # noqa: BLE001 - one video's failure isn't the run's
+                out, error = None, str(e)[:500]
+            replies.append(out)
+            failed.append(error)
+        return [all_spans, all_blocks, *others, replies, failed]
+
+    return map_rows(df.select("spans", "blocks", *rest), schema, run)
 
 
 def bounds_from_replies(df: DataFrame) -> DataFrame:
