@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +44,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers of a session that doesn't have it on their path, once a session."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    on_path = any(p and os.path.abspath(p) == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep))
+    if on_path or getattr(sc, "_talkmill_shipped", False):
+        return
+    # The driver serves this file to the executors as long as it runs.
+    d = tempfile.mkdtemp(prefix="talkmill-ship-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    path = os.path.join(d, "talkmill.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "talkmill")):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._talkmill_shipped = True
