@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from talkmill.models import Heuristic, Http, ModelClient
 from talkmill.operators.classify import AnswerCache
-from talkmill.operators.vocabulary import first_spellings, override, slugged, with_other, with_position
+from talkmill.operators.vocabulary import DEFAULT_TOPIC, default_subtopics, first_spellings, override, slugged, with_other, with_position
 from talkmill.plans import pipelines
 from talkmill.sinks import files
 from talkmill.sources import tables
@@ -38,9 +38,9 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--definitions-column", default="definition")
     t = sub.add_parser("subtopics")
     t.add_argument("--input", required=True)
-    t.add_argument("--topic-label", required=True)
+    t.add_argument("--topic-label", default=DEFAULT_TOPIC)
     t.add_argument("--topic-column", default="codebook_label")
-    t.add_argument("--subtopics", required=True)
+    t.add_argument("--subtopics")
     t.add_argument("--concurrency", type=int, default=8)
     for x in (b, t):
         x.add_argument("--output-dir", default="pipeline_output")
@@ -104,7 +104,7 @@ def main(argv: list[str] | None = None) -> int:
         files.write_csv(files.label_first(kept.drop("pos"), ["codebook_label"]), f"{out}/labeled_segments.csv")
         files.write_csv(pipelines.label_summary(kept, book, pipelines.fallback_label(names)), f"{out}/codebook_summary.csv", single=True)
     else:
-        topics = slugged(tables.read_subtopics(spark, args.subtopics))
+        topics = slugged(tables.read_subtopics(spark, args.subtopics)) if args.subtopics else default_subtopics(spark)
         spread = segments.repartition(max(1, args.concurrency)) if args.concurrency else segments
         scored, summary = pipelines.score_subtopics(spread.orderBy("pos"), topics, args.topic_label, model, cache, args.topic_column, args.batch_size)
         slugs = [r.slug for r in topics.orderBy("pos").collect()]

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Rows handed to a Python function at once; keeps the Python side small where texts are long.
-CHUNK_ROWS = 512
+#: Rows, and bytes where rows are long, handed to a Python function at once; keeps the Python side small.
+CHUNK_ROWS, CHUNK_BYTES = 512, 16 << 20
 
 
 def map_rows(df: DataFrame, schema: str | StructType, fn: Callable[..., Any], init: Callable[[], Any] | None = None) -> DataFrame:
-    """Apply ``fn`` to column lists of at most ``CHUNK_ROWS`` rows of ``df``.
+    """Apply ``fn`` to column lists of at most ``CHUNK_ROWS`` rows of ``df``, fewer where they are long.
 
     ``fn(state, *columns)`` gets Python lists in the order of ``df.columns`` and returns a list of output
     columns in the order of ``schema``; their length is free. ``state`` is ``init()``, made once a task, or None.
@@ -28,8 +28,9 @@ def map_rows(df: DataFrame, schema: str | StructType, fn: Callable[..., Any], in
         arrow = to_arrow_schema(schema)
         state = init() if init else None
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(at, CHUNK_ROWS)
+            rows = max(1, min(CHUNK_ROWS, CHUNK_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 out = fn(state, *[c.to_pylist() for c in part.columns])
                 if len(out[0]):
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(n).type) for x, n in zip(out, names)], names=names)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from talkmill.functions.text import PROMPT_CHARS, preview
 from talkmill.models import CLASS_RETRY, ModelClient, Retry
 from talkmill.operators.summary import NOT_DISCUSSED, SENTIMENTS
+from talkmill.session import cut
 
 BATCH = 20
 
@@ -116,7 +117,7 @@ def classify(df: DataFrame, client: ModelClient, system: str, schema: dict, cach
     hits = keyed.select("batch_id", "key", "idx").join(known, ["key", "idx"])
     misses = keyed.join(known.select("key").distinct(), "key", "left_anti")
     new = ask(misses, client, system, schema, retry).join(misses.select("batch_id", "key").distinct(), "batch_id")
-    new = new.persist()  # asked once, used for the cache and the result
+    new = cut(new)  # asked once, used for the cache and the result, whatever executors are lost
     cache.write(new.filter("status = 'ok'"))
     got = hits.select("batch_id", "idx", "answer", F.lit("cached").alias("status")).unionByName(new.select("batch_id", "idx", "answer", "status"))
     return rows.join(got, ["batch_id", "idx"], "left").drop("batch_id", "idx")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +12,27 @@ from talkmill.functions.text import is_blank, slug, strip
 OTHER = "Other / Not Listed"
 OTHER_NAMES = ("other / not listed", "other", "not listed", "none", "n/a")
 
+# The topic and the subtopics that hold where none are given.
+DEFAULT_TOPIC = "Donald Trump"
+DEFAULT_SUBTOPICS = {
+    "mental_health": "Mental fitness: memory, decline, state of mind.",
+    "physical_health": "Bodily health: illness, injury, fitness, stamina.",
+    "christianity": "Christian belief, believers and communities, and appeals to them.",
+    "corruption": "Abuse of office for gain: bribes, favours, conflicts of interest.",
+    "iran_war": "Armed conflict that involves Iran.",
+    "epstein": "Jeffrey Epstein, his deeds, victims and circle; a first name alone isn't enough.",
+    "debt": "The national debt, deficits, borrowing and the debt ceiling.",
+    "vaccines": "Vaccines, vaccination and rules about them.",
+    "affordability": "What everyday life costs: prices, wages, housing.",
+    "transgender": "Transgender people, their rights and their care.",
+    "immigration_violence": "Violence by immigrants or in the enforcement of immigration law.",
+    "border_chaos": "Disorder and crowding at the border.",
+}
+
+
+def default_subtopics(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, s, d) for i, (s, d) in enumerate(DEFAULT_SUBTOPICS.items())], "pos long, slug string, definition string")
+
 
 def with_position(df: DataFrame, name: str = "pos") -> DataFrame:
     """``df`` with the 0-based position of each row in the input, without bringing the rows together."""

@@ -157,3 +157,17 @@ def test_sentiments(spark):
 def test_prompts():
     assert "- A: first" in cl.label_prompt([("A", "first"), ("B", None)], "B") and cl.user_prompt(["x" * 800]).endswith("x" * 700)
     assert cl.subtopic_schema(["a"])["properties"]["classifications"]["items"]["required"] == ["index", "a"]
+
+
+def test_long_rows_are_handed_over_in_small_parts(spark):
+    from talkmill.functions.arrow import map_rows
+
+    df = spark.range(40).select("id", F.repeat(F.lit("x"), F.when(F.col("id") < 20, 2_000_000).otherwise(10).cast("int")).alias("t"))
+    got = map_rows(df.coalesce(1), "id long, n long, most long", lambda _, ids, texts: [ids, [len(t) for t in texts], [sum(map(len, texts))] * len(ids)]).collect()
+    assert sum(r.n for r in got) == 20 * 2_000_000 + 200 and max(r.most for r in got) < 64 << 20
+
+
+def test_default_subtopics(spark):
+    from talkmill.operators.vocabulary import DEFAULT_SUBTOPICS, default_subtopics
+
+    assert [r.slug for r in default_subtopics(spark).orderBy("pos").collect()] == list(DEFAULT_SUBTOPICS)
