@@ -3,7 +3,8 @@
 Pages that mark their parts themselves (main, nav, aside, footer) serve as labelled pages: from a bounded sample of
 them a weight is fitted to each word, word pair and mark, positive for main body and negative for the rest; tags weigh
 against a line too. A linear scan then finds the maximal contiguous regions of positive score (Ruzzo and Tompa); what is
-outside of them, and lines inside that speak clearly against themselves, is boilerplate.
+outside of them, and lines inside that speak clearly against themselves, is boilerplate. Sentences that stand word for
+word on many pages of different titles, as notices do, weigh against themselves whatever their words.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ from talkmill.functions.arrow import map_rows
 LABELLED_PAGES = 1200
 #: Transcripts in records, which are speech and no pages, that lend their lines as main body in all languages.
 SPEECH_ROWS = 600
+#: A line of at least so many words that stands on pages of so many titles, and of this part of all titles, is a notice. At
+#: most the mean number of lines of a page over that part can be, some tens of thousands, however large the table.
+NOTICE_WORDS, NOTICE_TITLES, NOTICE_PART = 4, 15, 0.003
+#: What such a line scores at most.
+NOTICE = -3.0
 #: Passes of the fit, its step and its pull of the weights to zero.
 PASSES, STEP, DECAY = 120, 0.5, 1e-6
 #: A line inside the main body is boilerplate if its own score is below this.
@@ -189,8 +196,12 @@ def heading(lines: list[Line], own: list[float], title: str | None, titles: list
     return first - 1 if first and lines[first - 1].text[-1] not in ".!?…。" and len(lines[first - 1].text.split()) > 1 and not re.search(r"[|›·©#]", lines[first - 1].text) else None
 
 
-def boilerplate(text: str | None, title: str | None, weights: dict[str, float]) -> list[int]:
-    """Numbers of the boilerplate lines of a page; none for what is no page."""
+def line_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(same_title(text)) - (1 << 63)
+
+
+def boilerplate(text: str | None, title: str | None, weights: dict[str, float], notices: frozenset[int] = frozenset()) -> list[int]:
+    """Numbers of the boilerplate lines of a page; none for what is no page. ``notices`` has hashes of lines."""
     if not text or not text.strip():
         return []
     markup = is_markup(text)
@@ -202,6 +213,8 @@ def boilerplate(text: str | None, title: str | None, weights: dict[str, float])
         return []
     if not markup and sum(bool(_LABELLED.match(x.text)) for x, s in zip(lines, own) if s > 0) > TALK * sum(s > 0 for s in own):
         return []
+    if notices:
+        own = [min(s, NOTICE) if x.text.count(" ") + 1 >= NOTICE_WORDS and line_hash(x.text) in notices else s for x, s in zip(lines, own)]
     if (k := heading(lines, own, title, _TITLE.findall(text) if markup else [])) is not None:
         own[k] = 6.0
     keep = [False] * len(lines)
@@ -210,11 +223,11 @@ def boilerplate(text: str | None, title: str | None, weights: dict[str, float])
     return [x.no for x, k in zip(lines, keep) if not k]
 
 
-def body(text: str | None, title: str | None, weights: dict[str, float]) -> str | None:
+def body(text: str | None, title: str | None, weights: dict[str, float], notices: frozenset[int] = frozenset()) -> str | None:
     """The main body of a page as plain text, or ``text`` where it is no page."""
     if not text:
         return text
-    drop = set(boilerplate(text, title, weights))
+    drop = set(boilerplate(text, title, weights, notices))
     return "\n".join(x.text for x in shown(text) if x.no not in drop) if drop or is_markup(text) else text
 
 
@@ -253,18 +266,42 @@ def page_weights(videos: DataFrame, pages: int = LABELLED_PAGES) -> dict[str, fl
     return fit(sorted(labelled_lines(videos, pages)))
 
 
-def boilerplate_lines(videos: DataFrame, weights: dict[str, float]) -> DataFrame:
+def recurring_lines(videos: DataFrame, least: int = NOTICE_TITLES, part: float = NOTICE_PART) -> frozenset[int]:
+    """Hashes of the lines that stand on pages of at least ``least`` titles and ``part`` of all.
+
+    Copies of a page have one title and count once. Every page is read; each task sends the hash of a line and of
+    its title once. What comes to the driver is bounded by ``part``, not by the table.
+    """
+
+    def fn(_: None, texts: list, titles: list) -> list:
+        out: list[list] = [[], []]
+        for t, n in zip(texts, titles):
+            if not is_markup(t) and _NOT_PAGES.match(t):
+                continue
+            name = line_hash(re.sub(r"\s*[\[(][^\[\]()]*[\])]\s*$", "", n or ""))
+            found = {line_hash(x.text) for x in shown(t) if x.text.count(" ") + 1 >= NOTICE_WORDS} | {0}
+            out[0] += found
+            out[1] += [name] * len(found)
+        return out
+
+    rows = videos.select("transcript", "title").filter(F.col("transcript").contains("\n"))
+    n = map_rows(rows, "line long, title long", fn).distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    whole = n.filter("line = 0").select("n").scalar()
+    return frozenset(r.line for r in n.filter((F.col("line") != 0) & (F.col("n") >= least) & (F.col("n") >= part * whole)).select("line").collect())
+
+
+def boilerplate_lines(videos: DataFrame, weights: dict[str, float], notices: frozenset[int] = frozenset()) -> DataFrame:
     """(row_id, line_no) of every boilerplate line of every page; one pass without a shuffle.
 
     Null, blank and empty transcripts and those that are no pages have none; copies of a page have theirs each.
     ``weights`` has a row for each word of at most LABELLED_PAGES pages, so its size doesn't grow with the data.
     """
-    shared = videos.sparkSession.sparkContext.broadcast(weights)
+    shared = videos.sparkSession.sparkContext.broadcast((weights, notices))
 
-    def fn(w: dict[str, float], ids: list, texts: list, titles: list) -> list:
+    def fn(state: tuple, ids: list, texts: list, titles: list) -> list:
         out: list[list] = [[], []]
         for i, t, title in zip(ids, texts, titles):
-            for no in boilerplate(t, title, w):
+            for no in boilerplate(t, title, *state):
                 out[0].append(i)
                 out[1].append(no)
         return out
@@ -276,11 +313,11 @@ def boilerplate_lines(videos: DataFrame, weights: dict[str, float]) -> DataFrame
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     videos = spark.read.parquet(f"{sf_dir}/videos.parquet")
-    return boilerplate_lines(videos, page_weights(videos))
+    return boilerplate_lines(videos, page_weights(videos), recurring_lines(videos))
 
 
 def p3_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, body): the transcripts with only the main body of those that are pages."""
     videos = spark.read.parquet(f"{sf_dir}/videos.parquet")
-    shared = spark.sparkContext.broadcast(page_weights(videos))
-    return map_rows(videos.select("row_id", "transcript", "title"), "row_id long, body string", lambda w, i, t, n: [i, [body(x, y, w) for x, y in zip(t, n)]], lambda: shared.value)
+    shared = spark.sparkContext.broadcast((page_weights(videos), recurring_lines(videos)))
+    return map_rows(videos.select("row_id", "transcript", "title"), "row_id long, body string", lambda state, i, t, n: [i, [body(x, y, *state) for x, y in zip(t, n)]], lambda: shared.value)
