@@ -161,8 +161,13 @@ def line_score(line: Line, weights: dict[str, float]) -> float:
 
 
 def maximal_regions(scores: list[float]) -> list[tuple[int, int]]:
-    """All maximal scoring contiguous regions [a, b) of ``scores``, in one scan."""
+    """All maximal scoring contiguous regions [a, b) of ``scores``, in one scan.
+
+    ``low`` has the regions that a later one can still be joined to; the score before each is greater than before
+    the one under it, so each region enters and leaves it once.
+    """
     found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    low: list[int] = []
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
@@ -170,12 +175,13 @@ def maximal_regions(scores: list[float]) -> list[tuple[int, int]]:
             continue
         a, left, right = i, before, total
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:
-                j -= 1
-            if j < 0 or found[j][3] >= right:
+            while low and found[low[-1]][2] >= left:
+                low.pop()
+            if not low or found[low[-1]][3] >= right:
+                low.append(len(found))
                 found.append((a, i + 1, left, right))
                 break
+            j = low.pop()
             a, left = found[j][0], found[j][2]
             del found[j:]
     return [(a, b) for a, b, _, _ in found]

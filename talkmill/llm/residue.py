@@ -150,9 +150,13 @@ def masked(unit: str) -> str:
     return _NUMBER.sub("#", unit).lower()
 
 
-@lru_cache(maxsize=50_000)
 def message_kind(unit: str) -> str | None:
     """``strong``, ``weak`` or None for one unit of a text."""
+    return _kind(unit) if len(unit) <= 400 else _kind.__wrapped__(unit)
+
+
+@lru_cache(maxsize=50_000)
+def _kind(unit: str) -> str | None:
     m = masked(unit)
     if _PH in m:
         if re.fullmatch(rf"[\s|,:–—-]*(?:[\w ]{{0,30}}[:|,–—-]? ?{_PH}[\s|,.!–—-]*)+", m) or not ABOUT.search(m):

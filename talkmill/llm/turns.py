@@ -11,11 +11,13 @@ import html
 import json
 import re
 from functools import lru_cache
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.functions.arrow import map_rows
+from talkmill.functions.text import collapse
 
 #: A time further than this from the isotonic fit of its segment is wrong rather than out of order.
 FAR_MS = 60_000
@@ -124,8 +126,8 @@ def repaired(times: list[int | None]) -> list[tuple[int, float]]:
         top, last = max(top, t), t
         segments.append((segment, t))
     out: list[tuple[int, float]] = []
-    for s in range(segment + 1):
-        own = [t for x, t in segments if x == s]
+    for s, group in groupby(segments, key=lambda x: x[0]):
+        own = [t for _, t in group]
         if all(a <= b for a, b in zip(own, own[1:])):
             out += [(s, t) for t in own]
         else:
@@ -234,7 +236,7 @@ def speaker_turns(videos: DataFrame, speakers: DataFrame) -> DataFrame:
     known name have no turns. Copies of a row have turns each. Transcripts never shuffle if the speakers are at
     most MOST_SPEAKERS.
     """
-    channel = lambda c: F.lower(F.regexp_replace(F.trim(F.col(c)), r"\s+", " "))
+    channel = lambda c: F.lower(collapse(F.col(c)))
     by = speakers.filter("speaker_id is not null").groupBy(channel("creator_label").alias("channel")).agg(F.sort_array(F.collect_list(F.struct(F.col("speaker_id"), F.coalesce("speaker_name", F.lit("")).alias("name"), F.coalesce("speaker_role", F.lit("")).alias("role")))).alias("people"))
     if len(speakers.select("speaker_id").limit(MOST_SPEAKERS + 1).collect()) <= MOST_SPEAKERS:
         by = F.broadcast(by)

@@ -354,3 +354,15 @@ def test_paths_against_brute_force():
 def test_subjects_without_data():
     m = subjects.fit(["A", "Other"], [])
     assert [subjects.chosen(s, m.other) for s in subjects.shares(m, ["x y", "...", ""])] == [[1], [1], [1]]
+
+
+def test_long_inputs_take_linear_time():
+    import time
+
+    began = time.time()
+    assert len(pages.maximal_regions([1, -3] * 200_000)) == 200_000 and len(pages.maximal_regions([2, -1] * 200_000)) == 1
+    assert len(turns.isotonic(list(range(100_000, 0, -1)))) == 100_000
+    assert len(split.cuts("word and word. " * 60_000, 6000, 200)) > 100
+    assert residue.units("a b. " * 50_000)
+    assert len(repetition.units("some words here. " * 30_000)) == 30_000
+    assert time.time() - began < 30
