@@ -31,9 +31,10 @@ FITTED, COPY = 200, 0.5
 
 _VTT = re.compile(r"<\d+:\d\d:\d\d[.,]\d+>|</?c[^>]*>|^WEBVTT.*$|^\s*(?:\d+:)?\d+:\d\d[.,]\d+\s*-->.*$", re.M)
 _TAG = re.compile(r"<[^<>]*>")
-_END = re.compile(r"(?<=[.!?。！？…])\s*|\n+")
+_ENDS = frozenset(".!?。！？…\n")
+_NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 # A CJK run is read two characters at a time; numbers are all alike; letters with their apostrophes and hyphens are words.
-_WORD = re.compile(r"[぀-ヿ㐀-鿿]{1,2}|\d+(?:[.,:]\d+)*|[^\W\d_぀-ヿ㐀-鿿]+(?:['’-][^\W\d_]+)*")
+_WORD = re.compile(r"[.!?。！？…\n]|#|[぀-ヿ㐀-鿿]{1,2}|[^\W\d_぀-ヿ㐀-鿿]+(?:['’-][^\W\d_]+)*")
 _KEYS = ("text", "caption", "content", "transcript", "snippet", "utf8")
 
 
@@ -72,14 +73,23 @@ def spoken(text: str | None, title: str | None, weights: dict[str, float]) -> st
 
 def units(said: str) -> list[list[str]]:
     """The units of a transcript as lists of words, without case; numbers are #."""
-    out = []
-    for sentence in _END.split(said.lower()):
-        words = ["#" if w[0].isdigit() else w for w in _WORD.findall(sentence)]
+    out: list[list[str]] = []
+    words: list[str] = []
+
+    def close() -> None:
         if len(words) <= 2 * WINDOW:
             if words:
                 out.append(words)
         else:
-            out += [words[i : i + WINDOW] for i in range(0, len(words), WINDOW)]
+            out.extend(words[i : i + WINDOW] for i in range(0, len(words), WINDOW))
+
+    for w in _WORD.findall(_NUMBER.sub("#", said.lower())):
+        if w in _ENDS:
+            close()
+            words = []
+        else:
+            words.append(w)
+    close()
     return out
 
 
@@ -101,17 +111,17 @@ def _seen_before(codes: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def observed(us: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features by unit, words by unit, repeated words by unit)."""
+def copies(us: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of the words, which of them are repeated, words by unit, where each unit starts, whether it was said before as a whole)."""
     names: dict[str, int] = {}
-    ids = np.array([names.setdefault(w, len(names)) for u in us for w in u], np.uint64)
+    number = names.setdefault
+    ids = np.array([number(w, len(names)) for u in us for w in u], np.uint64)
     codes = (ids + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     codes ^= codes >> np.uint64(32)
     size = np.array([len(u) for u in us])
     starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-    covered, short = _seen_before(codes, PHRASE), _seen_before(codes, PHRASE // 2 + 1)
+    covered, whole = _seen_before(codes, PHRASE), np.zeros(len(us))
     seen: set[tuple] = set()
-    whole = np.zeros(len(us))
     for i, u in enumerate(us):
         if len(u) >= SENTENCE:
             key = tuple(u)
@@ -119,10 +129,15 @@ def observed(us: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 whole[i] = 1
                 covered[starts[i] : starts[i] + len(u)] = True
             seen.add(key)
-    repeated = np.add.reduceat(covered, starts, dtype=int)
-    part, little = repeated / size, np.add.reduceat(short, starts, dtype=int) / size
-    x = np.stack([np.ones(len(us)), part, part > 0, part >= COPY, part >= 0.9, little, whole, np.log1p(size) / 4], 1)
-    return x, size, repeated
+    return codes, covered, size, starts, whole
+
+
+def observed(us: list[list[str]], found: tuple | None = None) -> np.ndarray:
+    """Features by unit."""
+    codes, covered, size, starts, whole = found or copies(us)
+    part = np.add.reduceat(covered, starts, dtype=int) / size
+    little = np.add.reduceat(_seen_before(codes, PHRASE // 2 + 1), starts, dtype=int) / size
+    return np.stack([np.ones(len(us)), part, part > 0, part >= COPY, part >= 0.9, little, whole, np.log1p(size) / 4], 1)
 
 
 def share(text: str | None, title: str | None, weights: dict[str, float], crf: ChainCRF) -> tuple[int, int]:
@@ -130,10 +145,12 @@ def share(text: str | None, title: str | None, weights: dict[str, float], crf: C
     us = units(spoken(text, title, weights))
     if not us:
         return 0, 0
-    x, size, repeated = observed(us)
-    if not repeated.any():
+    found = copies(us)
+    _, covered, size, starts, _ = found
+    if not covered.any():
         return int(size.sum()), 0
-    return int(size.sum()), int(repeated[np.array(crf.decode(x)) == 1].sum())
+    repeated = np.add.reduceat(covered, starts, dtype=int)
+    return int(size.sum()), int(repeated[np.array(crf.decode(observed(us, found))) == 1].sum())
 
 
 def fit_field(videos: DataFrame, weights: dict[str, float], fitted: int = FITTED) -> ChainCRF:
@@ -144,7 +161,7 @@ def fit_field(videos: DataFrame, weights: dict[str, float], fitted: int = FITTED
         out = []
         for t, n in zip(texts, titles):
             if us := units(spoken(t, n, w)):
-                out.append(observed(us)[0].astype(np.float32).tobytes())
+                out.append(observed(us).astype(np.float32).tobytes())
         return [out]
 
     rows = videos.select("transcript", "title", F.xxhash64("transcript").alias("h")).filter(F.length("transcript") > 0)
