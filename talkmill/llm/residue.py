@@ -30,7 +30,7 @@ _NAME = r"[A-Za-z][\w.\- ]{0,40}?"
 PLACEHOLDER = re.compile(
     r"\{\{\s*" + _NAME + r"\s*\}\}|\{%\s*" + _NAME + r"\s*%\}|<%=?\s*" + _NAME + r"\s*%>|[$#]\{\s*" + _NAME + r"\s*\}|\[\[\s*" + _NAME + r"\s*\]\]"
     r"|\$[A-Z][A-Z_.]{1,40}\$|%%\s*" + _NAME + r"\s*%%|@@\s*" + _NAME + r"\s*@@|\b__[A-Za-z][\w.]{0,40}?__\b|\bXX_[\w.]+?_XX\b"
-    r"|\[\s*(?:insert|your|enter|add|todo)\b[^\[\]]{0,60}\]|<\s*[\w. ]{1,40} goes here\s*>|<\s*(?:insert|your|enter)\b[^<>]{0,60}>|(?<![\w$#{\\])\{\s*[A-Za-z][\w.]{1,40}\s*\}(?!\})",
+    r"|\[\s*(?:insert|your|enter|add|todo)\b[^\[\]]{0,60}\]|<\s*[\w. ]{1,40} goes here\s*>|<\s*(?:insert|your|enter)\b[^<>]{0,60}>|\[\s*(?:title|name|first ?name|guest|guest ?name|host|host ?name|date|topic|episode|show|sponsor|summary|duration|author|company|link|url|email|text|description)\s*\]|\{\d\}|(?<![\w$#{\\])\{\s*[A-Za-z][\w.]{1,40}\s*\}(?!\})",
     re.I,
 )
 #: Words of a sentence that explains or quotes a notation rather than leaving it unfilled.
@@ -77,6 +77,24 @@ STRONG = [
     ("javascript scripts", r"(?:javascript|scripts?) (?:is|are) (?:disabled|required|not enabled|switched off|turned off|blocked)\b.{0,60}"), ("your_browser", r"your browser (?:has (?:them|javascript|scripts?) (?:switched|turned) off|does not support .{1,40}|is (?:outdated|out of date|not supported))"), ("checking", r"checking (?:if the site connection|your browser|you are human)\b.{0,60}"),
     ("human", r"(?:verify|verifying|confirm) (?:that )?you are (?:a )?human\b.{0,40}"), ("captcha", r"(?:please )?complete the captcha\b.{0,40}"), ("javascript", r"(?:por favor,? )?(?:necesita |debe |tiene que )?(?:activar|active|habilite|habilitar|activa) (?:el )?javascript\b.{0,60}"), ("javascript", r"(?:bitte )?aktivieren sie (?:bitte )?javascript\b.{0,60}"),
     ("javascript", r"javascript (?:est|ist|está) (?:désactivé|deaktiviert|desactivado|erforderlich|requis|necesario)"), ("activer", r"(?:veuillez |merci de )(?:l['’ ]?|le |d['’])?activer\b.{0,60}"),
+    # The same in other words and languages.
+    ("here", r"(?:type|insert|add|write|put|paste) (?:your |the |a |some )?(?:text|title|caption|description|content|summary|name|notes?|link) (?:in )?here"), ("click", r"click (?:here )?to edit(?: .{0,30})?"), ("default_text edit_this filled_in fill_in", r"default text|edit this (?:text|page|paragraph)\b.{0,40}|to be filled in\b.{0,30}|(?:please )?fill in (?:the|this) (?:title|text|description|field)\b.{0,30}"),
+    ("xxxx", r"x{4,}(?: x{3,})*"), ("%s %d", r"(?:[\w ]{0,20}: ?)?%[sd](?:[ ,]+%[sd])*"),
+    ("javascript scripts", r"(?:this|the|our) (?:page|site|app|application|player|content|website) (?:works|runs|loads) (?:best|only) (?:with|if) (?:javascript|scripts?)\b.{0,40}|(?:javascript|scripts?) must be (?:enabled|turned on|switched on|allowed)\b.{0,60}|without (?:javascript|scripts?),? (?:this|the) (?:page|site|app|player) .{0,60}"), ("noscript", r"<?noscript>?.{0,60}"),
+    ("javascript", r"(?:diese|die) (?:seite|anwendung|app) (?:benötigt|braucht|erfordert) javascript\b.{0,40}|javascript muss aktiviert (?:sein|werden)\b.{0,40}|ce (?:site|lecteur) (?:nécessite|requiert) javascript\b.{0,40}|(?:esta|este) (?:página|sitio|aplicación) (?:necesita|requiere) javascript\b.{0,40}|(?:ative|active|habilite) o javascript\b.{0,60}"),
+    ("robot unusual_traffic", r"(?:confirm |prove |verify )?(?:that )?(?:you(?:'re| are)|i am|i'm|are you) (?:not )?a (?:robot|bot)\b.{0,30}|(?:we have )?detected unusual traffic\b.{0,60}"), ("broke_on our_end our_side", r"(?:sorry, ?|oops[,!]? ?)?something (?:went wrong|broke) on our (?:end|side)\b.{0,40}"),
+    ("while_processing while_loading when_loading your_request", r"(?:there was )?an? (?:error|problem) (?:occurred )?(?:while|when) (?:processing|loading|handling) (?:your request|the page|this page)\b.{0,30}"), ("working maintenance", r"(?:this|the) (?:page|site|server) (?:isn't|is not|isn’t) working\b.{0,40}|(?:(?:this|the|our) (?:site|page|server|service) is )?(?:currently |temporarily )?(?:down for|under|undergoing) (?:scheduled )?maintenance\b.{0,60}"),
+    ("timed_out timeout was_refused was_reset", r"(?:the )?(?:request|connection|operation|session|upstream request) (?:has )?(?:timed out|timeout|was refused|was reset)\b.{0,40}|(?:upstream )?(?:request|read|connect(?:ion)?) timeout\b.{0,30}"), ("limit_exceeded limit_reached quota_exceeded", r"(?:rate|request|usage|quota) limit (?:exceeded|reached)\b.{0,40}|quota exceeded\b.{0,30}"),
+    ("terminated suspended deactivated private no_longer", r"(?:this|the) (?:account|channel|user|video|episode|recording|content) (?:has been|was|is) (?:terminated|suspended|deactivated|blocked|private|made private|no longer available)\b.{0,60}"), ("required", r"(?:login|log-in|sign-in|registration) (?:is )?required\b.{0,40}"),
+    ("unexpected_token unexpected_end is_not_defined not_a_function", r"(?:\w*error: )?unexpected (?:token|end of)\b.{0,80}|(?:\w*error: )?[\w.$']{1,40} is not (?:defined|a function)\b.{0,60}"), ("segmentation panic: in_thread stack_trace stacktrace sqlstate no_such_file", r"segmentation fault\b.{0,30}|panic: .{0,100}|exception in thread .{0,120}|(?:full )?stack ?trace:?.{0,60}|sqlstate.{0,120}|(?:[\w/.#]+: )?no such file or directory\b.{0,60}"), ("on_line", r"(?:php )?(?:warning|notice|deprecated): .{0,120} on line #"),
+    ("fehler sitzung wartung", r"(?:interner )?(?:server)?fehler:? #(?: .{0,40})?|ein fehler ist aufgetreten.{0,40}|(?:die |ihre )?sitzung (?:ist )?abgelaufen.{0,30}|(?:wegen )?wartung(?:sarbeiten)? .{0,40}nicht (?:verfügbar|erreichbar).{0,20}"), ("sesión un_error", r"(?:su |la )?sesión ha (?:caducado|expirado).{0,30}|(?:ha ocurrido|se ha producido) un error.{0,40}"), ("expiré erreur", r"(?:votre |la )?session (?:a |est )?expirée?.{0,30}|une erreur (?:est|s'est) (?:survenue|produite).{0,40}"),
+    ("não_encontrad indisponível não_disponível", r"(?:página|arquivo|vídeo|episódio) (?:não (?:encontrad[ao]|disponível)|indisponível)|serviço (?:temporariamente )?indisponível"), ("не_найдена ошибка недоступ запрещ включите", r"страница не найдена.{0,30}|ошибка #.{0,40}|(?:видео|сервис|страница|сервер)(?: временно)? недоступ\w+.{0,30}|доступ запрещ[её]н.{0,30}|(?:пожалуйста, )?включите javascript.{0,60}"),
+    ("見つかりません 存在しません 利用できません 再生できません エラー javascript", r"(?:お探しの)?(?:ページ|ファイル|動画)(?:が|は)(?:見つかりません(?:でした)?|存在しません|利用できません|再生できません).{0,20}|エラーが発生しました.{0,20}|.{0,10}javascript(?:を|が)(?:有効に|無効).{0,30}"), ("找不到 未找到 不存在 不可用 无法显示 错误 javascript", r"(?:找不到|未找到)(?:该)?(?:页面|文件|视频).{0,20}|(?:页面|视频|文件)(?:不存在|不可用|无法显示|未找到).{0,20}|(?:服务器|发生)?(?:内部)?错误 ?#?.{0,20}|请(?:启用|开启|打开) ?javascript.{0,30}"),
+    ("خطأ غير_موجود غير_متاح غير_متوفر تفعيل", r"(?:الصفحة|الملف|الفيديو) غير (?:موجود|متاح|متوفر)ة?.{0,30}|خطأ #.{0,30}|(?:يرجى|الرجاء) تفعيل (?:javascript|جافا ?سكريبت).{0,40}"), ("त्रुटि पृष्ठ javascript", r"पृष्ठ (?:नहीं मिला|उपलब्ध नहीं).{0,30}|त्रुटि #.{0,30}|कृपया javascript (?:सक्षम|चालू) करें.{0,40}"),
+    ("not_found", r"(?:page|file|episode|video|item|document|resource|url)(?: was)? not found(?: on this server)?|the requested (?:url|page|resource|file)(?: .{1,60})? (?:was not found|could not be found|does not exist)\b.{0,40}|no (?:results|episodes?|transcripts?|items?) (?:were |was )?found"), ("could_not_find couldn't_find", r"we (?:could not|couldn't|can't|cannot) find (?:that|this|the) (?:page|episode|video|item|file)\b.{0,40}"),
+    ("been_blocked been_denied", r"(?:you have|you've|access to this (?:page|site|server) has) been (?:blocked|denied|limited)\b.{0,60}"), ("human", r"please (?:verify|confirm|prove) (?:that )?you are (?:a )?human\b.{0,40}"), ("javascript", r"(?:please )?(?:turn|switch) (?:javascript|scripts) on\b.{0,60}"),
+    ("placeholder dummy", r"this is (?:a |just a |only a )?(?:placeholder|dummy|filler)(?: text| page| episode)?"), ("construction", r"(?:(?:this|our) (?:page|site) is )?under construction"), ("goes_here", r"(?:[\w'-]+ ){1,4}goes here"), ("translation_missing missing_translation", r"(?:translation missing|missing translation):? .{0,60}"),
+    ("cannot_get", r"cannot (?:get|post) /.{0,80}"), ("reset_by", r"connection (?:was )?(?:reset|closed) by peer\b.{0,30}"), ("proxy_error internal_error server_error", r"proxy error|(?:the )?(?:server|application) (?:has )?encountered an (?:internal |unexpected )?error\b.{0,60}|(?:internal |unknown )?(?:server|application) error\b.{0,20}"), ("invalid_request bad_request", r"(?:invalid|bad|malformed) request"), ("err_", r"err_[a-z_]{4,40}"),
 ]
 # What may also be said in content; counts only where it recurs widely or beside a message of the rules above.
 WEAK = [
@@ -84,7 +102,16 @@ WEAK = [
     ("proxy", r"proxy/#(?:\.#)*"), ("not_found forbidden", r"(?:not found|forbidden)"), ("guest", r"with guest"),
 ]
 
+# Words that stand in messages and in hardly any talk. A short unit with one of them, and none of those that tell a story, counts where it recurs widely.
+LIKELY = (
+    "javascript noscript browser unavailable forbidden unauthorized expired timeout timed_out maintenance captcha placeholder untitled undefined http:// error exception not_found denied permission reload refresh try_again retry uncaught traceback "
+    "fehler erreur introuvable indisponible nicht_gefunden nicht_verfügbar no_encontrad no_disponible não_encontrad indisponível ошибка недоступ не_найден エラー 見つかりません 错误 找不到 خطأ त्रुटि"
+)
+_STORY = re.compile(r"\b(?:i|we|he|she|they|us|our|ours|my|me|his|her|somebody|nobody|said|says|told|asked|wrote|saw|heard|laughed|because|yesterday|weeks?|years?)\b")
+
 _LEAD = re.compile(r"(?:[^\s:|–—]+ ){0,3}?[^\s:|–—]+ ?(?:::|[:|–—-]) ")  # a player's or a page's name before the message
+_LIKELY = re.compile("|".join(re.escape(c.replace("_", " ")) if not c.isascii() or "_" in c else rf"\b{re.escape(c)}" for c in LIKELY.split()))
+_SORRY = re.compile(r"(?:(?:sorry|oops|whoops|uh-oh|error|notice|warning|attention)[,!:.… –-]+)+")
 _BETWEEN = re.compile(r"[\s.!?…:;,|–—()\[\]*\"'«»-]*")
 
 
@@ -106,6 +133,8 @@ def _automaton() -> ahocorasick.Automaton:
     for c in [*"{}[]<>$%@", "xx_", "__", "lorem", "ipsum", *LATIN_RARE]:
         by_cue.setdefault(c, [])
     always = by_cue.pop("", [])
+    for c in LIKELY.split():
+        by_cue.setdefault(c.replace("_", " "), [])
     for c, rules in by_cue.items():
         a.add_word(c, rules + always)
     a.make_automaton()
@@ -151,7 +180,7 @@ def masked(unit: str) -> str:
 
 
 def message_kind(unit: str) -> str | None:
-    """``strong``, ``weak`` or None for one unit of a text."""
+    """``strong``, ``weak``, ``likely`` or None for one unit of a text; the latter two count where they recur widely."""
     return _kind(unit) if len(unit) <= 400 else _kind.__wrapped__(unit)
 
 
@@ -171,7 +200,9 @@ def _kind(unit: str) -> str | None:
             most = max(most, run)
         if most >= 6 or latin >= 0.6 * len(words):
             return "strong"
-    return None if len(m) > 400 else _spelled_out(m)
+    if len(m) > 400:
+        return None
+    return _spelled_out(m) or ("likely" if len(m.split()) <= 16 and _LIKELY.search(m) and not _STORY.search(m) and not ABOUT.search(m) else None)
 
 
 def _spelled_out(m: str) -> str | None:
@@ -180,7 +211,8 @@ def _spelled_out(m: str) -> str | None:
     rules = {k: [r for r, kind in found.items() if kind == k] for k in _RULES}
     rules["weak"] += [r for cues, r in _RULES["weak"] if "#" in cues]
     lead = _LEAD.match(m)
-    for start in {0, lead.end() if lead else 0}:
+    sorry = _SORRY.match(m, lead.end() if lead else 0)
+    for start in {0, lead.end() if lead else 0, sorry.end() if sorry else 0}:
         at, kind = _BETWEEN.match(m, start).end(), "weak"
         while at < len(m):
             for k in ("strong", "weak"):
@@ -228,8 +260,8 @@ def with_residue(documents: DataFrame, wide_docs: int = WIDE_DOCS, wide_sources:
     columns aren't read.
     """
     found = cut(messages(documents))
-    wide = groups(found.filter("kind = 'weak'")).filter((F.col("n") >= wide_docs) & (F.col("n_sources") >= wide_sources)).select("hash", "n", F.lit(True).alias("wide"))
-    weak = lookup_join(found.filter("kind = 'weak'").select("doc_id", "hash"), wide, "hash").select("doc_id")
+    wide = groups(found.filter("kind <> 'strong'")).filter((F.col("n") >= wide_docs) & (F.col("n_sources") >= wide_sources)).select("hash", "n", F.lit(True).alias("wide"))
+    weak = lookup_join(found.filter("kind <> 'strong'").select("doc_id", "hash"), wide, "hash").select("doc_id")
     return found.filter("kind = 'strong'").select("doc_id").unionByName(weak).distinct()
 
 

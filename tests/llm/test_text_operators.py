@@ -366,3 +366,13 @@ def test_long_inputs_take_linear_time():
     assert residue.units("a b. " * 50_000)
     assert len(repetition.units("some words here. " * 30_000)) == 30_000
     assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("text", ["Sorry, this page does not exist.", "500 Internal Server Error", "This site works best with JavaScript.", "Diese Seite benötigt JavaScript.", "Página não encontrada", "ページが見つかりません。", "Hello [NAME], welcome!", "Guest: %s", "Type your text here", "Rate limit exceeded, retry in 33 s", "Please verify you are a human"])
+def test_messages_in_other_words(text):
+    assert "strong" in [residue.message_kind(u) for u in residue.units(text) if residue.has_cue(u)]
+
+
+def test_likely_messages_count_where_they_recur():
+    assert residue.message_kind("Reload to see the transcript of item 12.") == "likely"
+    assert residue.message_kind("We had to reload the truck.") is None and residue.message_kind("The exception was said aloud.") is None
