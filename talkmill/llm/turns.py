@@ -35,10 +35,11 @@ _STAMP = re.compile(rf"\s*[\[(]?({_TIME})[\])]?(?:\s*-->\s*{_TIME})?\s*\|?\s*")
 _STARRED = re.compile(rf"\s*\*\*\s*([^*\n]{{1,60}}?)\s*:?\s*\*\*\s*:?\s*(?:[\[(]({_TIME})[\])])?\s*")
 _LABEL = re.compile(rf"\s*(?:>>+\s*)?({_NAME})\s*(?:[\[(]({_TIME})[\])])?\s*(?::|\s[-–—]\s|[–—](?=\s))\s*")
 # Fillers and notes of sounds.
-FILLER = r"(?:u+[mh]+|uhm+|e+r+m*|h+m+|hm+|mm+-?h+m+|m+h?m+|uh-?huh|ah+|eh+|huh)"
+FILLER = r"(?:u+[mh]+|uhm+|e+r+m*|h+m+|hm+|mm+-?h+m+|m+h?m+|uh-?huh|ah+|eh+|huh|[äö]h+m*|えーと|えっと|あのー)"
 _FILLERS = re.compile(rf"(?<![\w'’-]){FILLER}(?![\w'’-])[,.…]*", re.I)
 _PHRASES = re.compile(r"(?<![\w'’-])(?:you know|I mean)(?![\w'’-]),?")
 _NOTES = re.compile(r"\[[^\[\]]*\]|\({1,2}[^()]*\){1,2}|\{[^{}]*\}|(?<!\*)\*[^*\n]+\*(?!\*)|[♪♫][^♪♫\n]*[♪♫]|[♪♫]+")
+_NOTED = re.compile(r"\[[^\W\d_][^\[\]\n]*\]")
 _STAMMER = re.compile(r"\b(\w+)((?:,? \1\b)+)", re.I)
 
 
@@ -154,7 +155,8 @@ def entries(transcript: str, names: dict[str, int]) -> list[tuple[int | None, in
     out: list[tuple[int | None, int | None, str]] = []
     named, now, who = 0, None, None
     label_at = _inline(tuple(names))
-    for line in (part for whole in transcript.splitlines() for part in label_at.sub(lambda m: "\n" + m[0], whole).split("\n")):
+    # A time within a note, as of what couldn't be heard, is no time of the line.
+    for line in (part for whole in _NOTED.sub("[note]", transcript).splitlines() for part in label_at.sub(lambda m: "\n" + m[0], whole).split("\n")):
         if not line.strip():
             continue
         at, label, rest = None, None, line

@@ -230,7 +230,7 @@ def test_aliases(names):
 @pytest.mark.parametrize(
     "text",
     [
-        "[0:01] ANN: One.\n[0:09] Bob: Two.\n[0:12] BS: Three. \n[0:15] Note: this.\n[0:20] ann lee-ray: [applause]\n[0:22] Guest: um\n[0:25] Host: Four.",
+        "[0:01] ANN: One.\n[0:09] Bob: Two.\n[0:12] BS: Three. \n[0:15] Note: this.\n[0:20] ann lee-ray: [applause]\n[0:22] Guest: [inaudible 3:09] \n[0:25] Host: Four.",
         "**Ann** [0m01s]\nOne.\n**bob stone** [0m09s]\nTwo.\n\nThree.\nNote: this.\n**Host** [0m20s]\n(laughter)\nFour.",
         ">> ANN: One.\n>> BOB: Two.\nThree.\nNote: this.\n>> HOST: Four.",
         "0:01\nAnn – One.\n0:09\nBob - Two.\nThree. Note: this.\n0:20\nHost: Four.",
