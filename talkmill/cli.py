@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 import urllib.request
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.models import Heuristic, Http, ModelClient
+from talkmill.models import Cached, Heuristic, Http, ModelClient
 from talkmill.operators.classify import AnswerCache
 from talkmill.operators.vocabulary import DEFAULT_TOPIC, default_subtopics, first_spellings, override, slugged, with_other, with_position
 from talkmill.plans import pipelines
@@ -86,7 +87,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "segment":
         videos = tables.read_csv(spark, args.input)
         earlier = tables.processed_urls(spark, args.skip_segments) if args.skip_segments else None
-        done = pipelines.segment_videos(videos, model, earlier, int(args.chunk_minutes * 60_000), int(args.overlap_seconds * 1000), fetch=None if args.no_fetch_timedtext else fetch)
+        done = pipelines.segment_videos(videos, Cached(model, f"{args.cache_dir}/segment"), earlier, int(args.chunk_minutes * 60_000), int(args.overlap_seconds * 1000), fetch=None if args.no_fetch_timedtext else fetch)
         files.write_json_lines(done, f"{out}/segments.json")
         written = spark.read.schema(done.schema).json(f"{out}/segments.json")
         files.write_csv(files.review_rows(written), f"{out}/segments_review.csv")
@@ -105,10 +106,9 @@ def main(argv: list[str] | None = None) -> int:
         files.write_csv(pipelines.label_summary(kept, book, pipelines.fallback_label(names)), f"{out}/codebook_summary.csv", single=True)
     else:
         topics = slugged(tables.read_subtopics(spark, args.subtopics)) if args.subtopics else default_subtopics(spark)
-        spread = segments.repartition(max(1, args.concurrency)) if args.concurrency else segments
-        scored, summary = pipelines.score_subtopics(spread.orderBy("pos"), topics, args.topic_label, model, cache, args.topic_column, args.batch_size)
+        scored, summary = pipelines.score_subtopics(segments, topics, args.topic_label, model, cache, args.topic_column, args.batch_size, parallel=max(1, args.concurrency))
         slugs = [r.slug for r in topics.orderBy("pos").collect()]
-        files.write_csv(files.label_first(scored.drop("pos", "status"), slugs), f"{out}/{args.topic_label.strip().lower().replace(' ', '_')}_subtopics_labeled.csv")
+        files.write_csv(files.label_first(scored.drop("pos", "status"), slugs), f"{out}/{re.sub('[^a-z0-9]+', '_', args.topic_label.lower()).strip('_')}_subtopics_labeled.csv")
         files.write_csv(summary, f"{out}/subtopic_summary.csv", single=True)
     return 0
 

@@ -11,8 +11,10 @@ import json
 import re
 import time
 import urllib.request
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any, Protocol
 
 
@@ -102,6 +104,34 @@ class Http:
         return json.loads(choice["message"]["content"])
 
 
+@dataclass
+class Cached:
+    """Answers of ``client``, kept a file a prompt in ``folder``, which all executors must share; failures aren't kept.
+
+    A file appears whole or not at all, so tasks that run twice, or at once, do no harm; one that can't be read is
+    as if it weren't there.
+    """
+
+    client: ModelClient
+    folder: str
+
+    @property
+    def name(self) -> str:
+        return self.client.name
+
+    def complete(self, system: str, user: str, schema: dict, max_tokens: int) -> dict:
+        path = Path(self.folder) / f"{prompt_key(self.client.name, system, user)}.json"
+        try:
+            return json.loads(path.read_text(encoding="utf-8"))
+        except (OSError, ValueError):
+            answer = self.client.complete(system, user, schema, max_tokens)
+        path.parent.mkdir(parents=True, exist_ok=True)
+        part = path.with_suffix(f".{uuid.uuid4().hex}.part")
+        part.write_text(json.dumps(answer, ensure_ascii=False), encoding="utf-8")
+        part.replace(path)
+        return answer
+
+
 @dataclass(frozen=True)
 class Retry:
     """How often a call is tried, how long between tries, and whether the answer may be longer each time."""

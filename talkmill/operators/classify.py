@@ -63,12 +63,12 @@ def user_prompt(texts: list[str]) -> str:
     return f"{len(texts)} segments follow.\n\n" + "\n\n".join(f"[{i}] {t[:PROMPT_CHARS]}" for i, t in enumerate(texts))
 
 
-def ask(df: DataFrame, client: ModelClient, system: str, schema: dict, retry: Retry = CLASS_RETRY) -> DataFrame:
+def ask(df: DataFrame, client: ModelClient, system: str, schema: dict, retry: Retry = CLASS_RETRY, parallel: int | None = None) -> DataFrame:
     """(batch_id, idx, answer, status, error) for rows with batch_id, idx and segment_transcript; one call a batch.
 
     ``answer`` is the JSON object of the row without its index; of indices given twice the last holds and those out of
     range are dropped. A batch that fails has status failed and null answers. Batches have a fixed size, so a group
-    is never large.
+    is never large; ``parallel`` is how many are asked at once, as many as there are partitions if it isn't given.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -84,7 +84,8 @@ def ask(df: DataFrame, client: ModelClient, system: str, schema: dict, retry: Re
         answers = [json.dumps(got[i], ensure_ascii=False) if i in got else None for i in range(len(rows))]
         return pd.DataFrame({"batch_id": rows.batch_id, "idx": rows.idx, "answer": answers, "status": status, "error": error})
 
-    return df.select("batch_id", "idx", "segment_transcript").groupBy("batch_id").applyInPandas(run, "batch_id long, idx int, answer string, status string, error string")
+    rows = df.select("batch_id", "idx", "segment_transcript")
+    return (rows.repartition(parallel, "batch_id") if parallel else rows).groupBy("batch_id").applyInPandas(run, "batch_id long, idx int, answer string, status string, error string")
 
 
 class AnswerCache:
@@ -106,17 +107,17 @@ class AnswerCache:
         answers.select("key", "idx", "answer").withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(self.path)
 
 
-def classify(df: DataFrame, client: ModelClient, system: str, schema: dict, cache: AnswerCache | None = None, pos: str = "pos", size: int = BATCH, retry: Retry = CLASS_RETRY) -> DataFrame:
+def classify(df: DataFrame, client: ModelClient, system: str, schema: dict, cache: AnswerCache | None = None, pos: str = "pos", size: int = BATCH, retry: Retry = CLASS_RETRY, parallel: int | None = None) -> DataFrame:
     """``df`` with ``answer`` (JSON or null) and ``status`` (ok, cached or failed); answers that are cached aren't asked for again."""
     rows = batch_columns(df, pos, size)
     keyed = rows.join(batch_keys(rows, client.name, system), "batch_id")
     if cache is None:
-        got = ask(keyed, client, system, schema, retry)
+        got = ask(keyed, client, system, schema, retry, parallel)
         return rows.join(got.select("batch_id", "idx", "answer", "status"), ["batch_id", "idx"], "left").drop("batch_id", "idx")
     known = cache.read()
     hits = keyed.select("batch_id", "key", "idx").join(known, ["key", "idx"])
     misses = keyed.join(known.select("key").distinct(), "key", "left_anti")
-    new = ask(misses, client, system, schema, retry).join(misses.select("batch_id", "key").distinct(), "batch_id")
+    new = ask(misses, client, system, schema, retry, parallel).join(misses.select("batch_id", "key").distinct(), "batch_id")
     new = cut(new)  # asked once, used for the cache and the result, whatever executors are lost
     cache.write(new.filter("status = 'ok'"))
     got = hits.select("batch_id", "idx", "answer", F.lit("cached").alias("status")).unionByName(new.select("batch_id", "idx", "answer", "status"))

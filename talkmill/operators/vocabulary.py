@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talkmill.functions.text import is_blank, slug, strip
+from talkmill.session import cut
 
 # The label of what fits no other, and labels that stand for it already.
 OTHER = "Other / Not Listed"
@@ -35,9 +36,19 @@ def default_subtopics(spark: SparkSession) -> DataFrame:
 
 
 def with_position(df: DataFrame, name: str = "pos") -> DataFrame:
-    """``df`` with the 0-based position of each row in the input, without bringing the rows together."""
-    indexed = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(indexed, df.schema.add(name, "long"))
+    """``df`` with the 0-based position of each row in the input, without bringing the rows together.
+
+    The rows are written to the shared folder once, so that their places within partitions stay as they are; a
+    count by partition, which is all that comes to the driver, gives what to add to them.
+    """
+    numbered = cut(df).withColumn("_m", F.monotonically_increasing_id())
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    before, offsets = 0, []
+    for p, n in sorted((r.p, r.n) for r in numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        offsets += [F.lit(p), F.lit(before)]
+        before += n
+    start = F.create_map(*offsets)[part] if offsets else F.lit(0)
+    return numbered.withColumn(name, (place + start).cast("long")).drop("_m")
 
 
 def label_key(c: Column) -> Column:

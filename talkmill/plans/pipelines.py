@@ -16,7 +16,7 @@ from talkmill.operators import classify as cl
 from talkmill.operators import sequence as seq
 from talkmill.operators.overlap import unprocessed
 from talkmill.operators.summary import label_summary, subtopic_summary
-from talkmill.operators.vocabulary import check_slugs, fallback_label
+from talkmill.operators.vocabulary import check_slugs, fallback_label, with_position
 from talkmill.sources.tables import valid_videos
 from talkmill.sources.transcripts import utterances
 
@@ -122,13 +122,11 @@ def label_segments(segments: DataFrame, codebook: DataFrame, client: ModelClient
     return labelled, label_summary(labelled, codebook, fallback)
 
 
-def score_subtopics(segments: DataFrame, subtopics: DataFrame, topic: str, client: ModelClient, cache: cl.AnswerCache | None = None, topic_column: str = "codebook_label", size: int = cl.BATCH, retry: Retry = CLASS_RETRY) -> tuple[DataFrame, DataFrame]:
+def score_subtopics(segments: DataFrame, subtopics: DataFrame, topic: str, client: ModelClient, cache: cl.AnswerCache | None = None, topic_column: str = "codebook_label", size: int = cl.BATCH, retry: Retry = CLASS_RETRY, parallel: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments of ``topic`` with a column a subtopic, summary); subtopics (pos, slug, definition). Positions are given anew after the filter."""
-    from talkmill.operators.vocabulary import with_position
-
     topics = [(r.slug, r.definition) for r in subtopics.orderBy("pos").limit(5000).collect()]
     slugs = [s for s, _ in topics]
     check_slugs(slugs, segments.columns)
     chosen = with_position(segments.filter(F.col(topic_column) == topic).drop("pos").withColumn("topic_label", F.lit(topic)))
-    scored = cl.with_sentiments(cl.classify(chosen, client, cl.subtopic_prompt(topics), cl.subtopic_schema(slugs), cache, size=size, retry=retry), slugs)
+    scored = cl.with_sentiments(cl.classify(chosen, client, cl.subtopic_prompt(topics), cl.subtopic_schema(slugs), cache, size=size, retry=retry, parallel=parallel), slugs)
     return scored.drop("sentiments"), subtopic_summary(scored, subtopics)

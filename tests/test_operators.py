@@ -41,6 +41,8 @@ def test_slugs(spark):
 def test_positions(spark):
     got = rows(vo.with_position(spark.range(10).repartition(3)))
     assert sorted(p for _, p in got) == list(range(10))
+    assert [p for _, p in sorted(rows(vo.with_position(spark.range(0, 1000, 1, 7))))] == list(range(1000))
+    assert vo.with_position(spark.range(0)).columns == ["id", "pos"] and vo.with_position(spark.range(5).filter("id > 9")).count() == 0
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkmill import cli
-from talkmill.models import AnswerError, Heuristic, Recorded, Retry, prompt_key
+from talkmill.models import AnswerError, Cached, Heuristic, Recorded, Retry, prompt_key
 from talkmill.operators.vocabulary import first_spellings, slugged, with_other, with_position
 from talkmill.plans import pipelines
 from talkmill.sinks import files
@@ -72,6 +72,28 @@ def test_models():
     assert asked == [3000, 6000, 12000, 24000] and waits == [1.5, 3.0, 6.0]
 
 
+def test_cached_answers(tmp_path):
+    asked = []
+
+    class Once:
+        name = "once"
+
+        def complete(self, system, user, schema, max_tokens):
+            asked.append(user)
+            if user == "bad":
+                raise AnswerError("no")
+            return {"x": user}
+
+    c = Cached(Once(), str(tmp_path / "c"))
+    assert [c.complete("s", u, {}, 1) for u in "aab"] == [{"x": "a"}, {"x": "a"}, {"x": "b"}] and asked == ["a", "b"]
+    next((tmp_path / "c").iterdir()).write_text("{broken")
+    assert [c.complete("s", u, {}, 1) for u in "ab"] == [{"x": "a"}, {"x": "b"}] and len(asked) == 3
+    for _ in range(2):
+        with pytest.raises(AnswerError):
+            c.complete("s", "bad", {}, 1)
+    assert asked.count("bad") == 2
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([("u", 0, 'a "q"\nb, c', None), ("v", 1, "", "x" * 400)], "video_url string, segment_id int, segment_transcript string, title string")
     files.write_csv(files.review_rows(df), str(tmp_path / "r"), single=True)
