@@ -376,3 +376,12 @@ def test_messages_in_other_words(text):
 def test_likely_messages_count_where_they_recur():
     assert residue.message_kind("Reload to see the transcript of item 12.") == "likely"
     assert residue.message_kind("We had to reload the truck.") is None and residue.message_kind("The exception was said aloud.") is None
+
+
+def test_one_long_segment_among_short_ones():
+    rows = corpus(200)
+    m = subjects.fit(["Food", "Law", "Other", "Sport"], [(t, lab) for t, lab, _ in rows])
+    short = [t for t, _, _ in rows[:100]]
+    alone = [s.tolist() for s in subjects.shares(m, short)]
+    both = [s.tolist() for s in subjects.shares(m, [*short[:50], "the judge was near the court. " * 20_000, *short[50:]])]
+    assert both[:50] + both[51:] == alone and both[50][1] > 0.95
