@@ -53,16 +53,16 @@ LATIN_RARE = ("augue", "risus", "pulvinar", "consectetur", "egestas", "ligula",
 # Messages as they stand after masking (# is any number). Each has, before its rule, strings of which the message has one.
 STRONG = [
     # Unwritten text and its instructions.
-    ("here", r"(?:your|the|enter your|insert|add) (?:text|title|caption|description|content|summary|name)(?: goes)? here"), ("here", r"(?:subtitle|title|text|caption|description|content|summary|body|heading) (?:goes )?here"),
-    ("enter", r"enter (?:a |the |your )?(?:caption|title|description|text|name|subtitle)"), ("replace this", r"replace this (?:paragraph|text|line|sentence)\b.*"), ("delete this", r"delete this (?:line|text|paragraph)\b.*"),
+    ("text_here title_here caption_here description_here content_here summary_here name_here subtitle_here heading_here body_here notes_here note_here link_here goes_here in_here", r"(?:your|the|enter your|insert|add) (?:text|title|caption|description|content|summary|name)(?: goes)? here"), ("text_here title_here caption_here description_here content_here summary_here name_here subtitle_here heading_here body_here notes_here note_here link_here goes_here in_here", r"(?:subtitle|title|text|caption|description|content|summary|body|heading) (?:goes )?here"),
+    ("enter_a enter_the enter_your enter_caption enter_title enter_description enter_text enter_name enter_subtitle", r"enter (?:a |the |your )?(?:caption|title|description|text|name|subtitle)"), ("replace_this", r"replace this (?:paragraph|text|line|sentence)\b.*"), ("delete_this", r"delete this (?:line|text|paragraph)\b.*"),
     ("sample dummy placeholder filler", r"(?:this is )?(?:sample|dummy|placeholder|filler) (?:text|show notes|notes|content|description|page|paragraph)\b(?: (?:placeholder|sample|dummy|filler) text| #)*"),
-    ("no_ without", r"(?:no|without) (?:description|transcript|summary|notes?|content|text|title) (?:yet|available|provided)"), ("coming pending missing tba tbd follow added", r"(?:description|transcript|summary|content|text|notes|details?):? (?:coming soon|to follow|pending|missing|to be added|tba|tbd)"),
-    ("tbd tba tbc todo fixme n/a to_be xxx", r"(?:\w+ ){0,2}\w+: (?:tbd|tba|tbc|todo|fixme|n/a|to be (?:added|announced|written|done|decided|confirmed)|xxx+)"), ("tbd tba tbc fixme to_be coming", r"(?:tbd|tba|tbc|fixme|to be added|to be announced|coming soon)"),
-    ("todo fixme tbd", r"(?:todo|fixme|tbd)\b ?[:\-–—] ?.*"), ("asdf qwerty test foo blah", r"(?:asdf|qwerty|test|foo|bar|blah)(?: (?:asdf|qwerty|test|foo|bar|blah))+\b.*"), ("please_ignore ignore_this", r"(?:please ignore|ignore this)(?: (?:test|message))?"), ("untitled unnamed", r"(?:untitled|unnamed)(?: (?:document|episode|page|draft))?"),
+    ("no_description no_transcript no_summary no_note no_content no_text no_title without_description without_transcript without_summary without_note without_content without_text without_title", r"(?:no|without) (?:description|transcript|summary|notes?|content|text|title) (?:yet|available|provided)"), ("coming_soon to_follow pending description_missing transcript_missing summary_missing content_missing text_missing notes_missing details_missing tba tbd be_added", r"(?:description|transcript|summary|content|text|notes|details?):? (?:coming soon|to follow|pending|missing|to be added|tba|tbd)"),
+    ("tbd tba tbc todo fixme n/a to_be_added to_be_announced to_be_written to_be_done to_be_decided to_be_confirmed xxx", r"(?:\w+ ){0,2}\w+: (?:tbd|tba|tbc|todo|fixme|n/a|to be (?:added|announced|written|done|decided|confirmed)|xxx+)"), ("tbd tba tbc fixme to_be_added to_be_announced coming_soon", r"(?:tbd|tba|tbc|fixme|to be added|to be announced|coming soon)"),
+    ("todo fixme tbd", r"(?:todo|fixme|tbd)\b ?[:\-–—] ?.*"), ("asdf qwerty test_test foo_bar bar_foo foo_foo blah_blah test_foo test_asdf", r"(?:asdf|qwerty|test|foo|bar|blah)(?: (?:asdf|qwerty|test|foo|bar|blah))+\b.*"), ("please_ignore ignore_this", r"(?:please ignore|ignore this)(?: (?:test|message))?"), ("untitled unnamed", r"(?:untitled|unnamed)(?: (?:document|episode|page|draft))?"),
     # Values that were never there.
-    ("object_object", r"(?:\[?object object\]?[, ]*)+"), ("undefined_undefined null_null nan_nan none_none", r".{0,40}\b(?:undefined undefined|null null|nan nan|none none)\b"), ("by_null by_undefined by_nan by_none", r"(?:\w+ ){0,4}by (?:null|undefined|nan|none)\b.{0,40}\b(?:null|undefined|nan|none)"), ("null undefined nan", r"(?:null|undefined|nan)"),
+    ("object_object", r"(?:\[?object object\]?[, ]*)+"), ("undefined_undefined null_null nan_nan none_none", r".{0,40}\b(?:undefined undefined|null null|nan nan|none none)\b"), ("by_null by_undefined by_nan by_none", r"(?:\w+ ){0,4}by (?:null|undefined|nan|none)\b.{0,40}\b(?:null|undefined|nan|none)"), ("null undefined", r"(?:null|undefined)"),
     # Errors of programs and servers.
-    ("traceback", r"traceback \(most recent call last\):?.*"), ("line_#", r"file \"[^\"]*\", line #(?:, in .*)?"), ("error exception", r"(?:[a-z]+\.)*[a-z]*(?:error|exception): '?[\w.#]+'?"), ("error", r"(?:fatal |parse |runtime |uncaught )+error:? .*"), ("uncaught", r"uncaught [a-z]*error:? .*"), ("error:", r"(?:syntax|type|reference|value|key|index|name|attribute)error: .*"),
+    ("traceback", r"traceback \(most recent call last\):?.*"), ("file_\"", r"file \"[^\"]*\", line #(?:, in .*)?"), ("error exception", r"(?:[a-z]+\.)*[a-z]*(?:error|exception): '?[\w.#]+'?"), ("error", r"(?:fatal |parse |runtime |uncaught )+error:? .*"), ("uncaught", r"uncaught [a-z]*error:? .*"), ("error:", r"(?:syntax|type|reference|value|key|index|name|attribute)error: .*"),
     ("not_found gateway server_error unavailable forbidden unauthorized bad_request too_many", r"(?:(?:http |error |status )*# )?(?:not found|bad gateway|internal server error|service (?:temporarily )?unavailable|forbidden: .{0,80}|unauthorized|gateway time-?out|bad request|too many requests)"), ("#_forbidden #_gone", r"(?:http |error |status )*# (?:forbidden|gone)"),
     ("error fehler erreur", r"(?:http )?(?:error|fehler|erreur|error code|code d'erreur|fehlercode|código de error)(?: code)?:? ?#(?:[-:]? ?#)*(?:[:\-–] .{0,80})?"), ("timed_out", r"gateway timed out\b.{0,40}"), ("database", r"error establishing a database connection\b.{0,40}|database (?:connection )?error\b.{0,40}"),
     ("be_found be_displayed be_loaded be_reached", r"(?:the )?(?:page|file|episode|item|video|document|resource|site)(?: (?:you (?:asked|are looking) for|you requested|requested))? (?:could not|cannot|can't|can not|couldn't) be (?:found|displayed|loaded|reached)\b(?: on this server)?"),
@@ -73,33 +73,33 @@ STRONG = [
     ("encontrada", r"(?:página|pagina) no encontrada"), ("disponible", r"(?:servidor|servicio|video|vídeo|página) no disponible"), ("gefunden", r"(?:seite|datei) (?:wurde )?nicht gefunden"), ("verfügbar erreichbar", r"(?:dienst|server|video|seite) (?:ist )?(?:vorübergehend )?nicht (?:verfügbar|erreichbar)"),
     ("serverfehler verweigert denegado refusé interno interne", r"(?:interner serverfehler|zugriff verweigert|acceso denegado|accès refusé|error interno del servidor|erreur interne du serveur)"), ("introuvable trouvée", r"page (?:introuvable|non trouvée)(?: [–-] erreur #)?(?: [–-] #)?"), ("disponible", r"(?:service|vidéo|serveur) (?:temporairement )?(?:indisponible|non disponible)"),
     # Notices from the page.
-    ("javascript script", r"(?:please |you (?:need|have|must)(?: to)? |this (?:page|site|app|player) (?:needs|requires) (?:you to )?)*(?:enable|turn on|activate|allow|switch on) (?:javascript|scripts?|scripting|cookies and javascript)\b(?: (?:to|and|in) .{0,50})?"), ("javascript scripts", r"(?:this|the|our) (?:page|site|app|application|player|content|website) (?:requires|needs) (?:javascript|scripts?)\b(?: to .{0,40})?"),
-    ("javascript scripts", r"(?:javascript|scripts?) (?:is|are) (?:disabled|required|not enabled|switched off|turned off|blocked)\b.{0,60}"), ("your_browser", r"your browser (?:has (?:them|javascript|scripts?) (?:switched|turned) off|does not support .{1,40}|is (?:outdated|out of date|not supported))"), ("checking", r"checking (?:if the site connection|your browser|you are human)\b.{0,60}"),
+    ("javascript enable_script turn_on_script activate_script allow_script switch_on_script scripting cookies_and", r"(?:please |you (?:need|have|must)(?: to)? |this (?:page|site|app|player) (?:needs|requires) (?:you to )?)*(?:enable|turn on|activate|allow|switch on) (?:javascript|scripts?|scripting|cookies and javascript)\b(?: (?:to|and|in) .{0,50})?"), ("javascript requires_script needs_script", r"(?:this|the|our) (?:page|site|app|application|player|content|website) (?:requires|needs) (?:javascript|scripts?)\b(?: to .{0,40})?"),
+    ("javascript script_is scripts_are", r"(?:javascript|scripts?) (?:is|are) (?:disabled|required|not enabled|switched off|turned off|blocked)\b.{0,60}"), ("your_browser", r"your browser (?:has (?:them|javascript|scripts?) (?:switched|turned) off|does not support .{1,40}|is (?:outdated|out of date|not supported))"), ("checking", r"checking (?:if the site connection|your browser|you are human)\b.{0,60}"),
     ("human", r"(?:verify|verifying|confirm) (?:that )?you are (?:a )?human\b.{0,40}"), ("captcha", r"(?:please )?complete the captcha\b.{0,40}"), ("javascript", r"(?:por favor,? )?(?:necesita |debe |tiene que )?(?:activar|active|habilite|habilitar|activa) (?:el )?javascript\b.{0,60}"), ("javascript", r"(?:bitte )?aktivieren sie (?:bitte )?javascript\b.{0,60}"),
     ("javascript", r"javascript (?:est|ist|está) (?:désactivé|deaktiviert|desactivado|erforderlich|requis|necesario)"), ("activer", r"(?:veuillez |merci de )(?:l['’ ]?|le |d['’])?activer\b.{0,60}"),
     # The same in other words and languages.
-    ("here", r"(?:type|insert|add|write|put|paste) (?:your |the |a |some )?(?:text|title|caption|description|content|summary|name|notes?|link) (?:in )?here"), ("click", r"click (?:here )?to edit(?: .{0,30})?"), ("default_text edit_this filled_in fill_in", r"default text|edit this (?:text|page|paragraph)\b.{0,40}|to be filled in\b.{0,30}|(?:please )?fill in (?:the|this) (?:title|text|description|field)\b.{0,30}"),
+    ("text_here title_here caption_here description_here content_here summary_here name_here subtitle_here heading_here body_here notes_here note_here link_here goes_here in_here", r"(?:type|insert|add|write|put|paste) (?:your |the |a |some )?(?:text|title|caption|description|content|summary|name|notes?|link) (?:in )?here"), ("to_edit", r"click (?:here )?to edit(?: .{0,30})?"), ("default_text edit_this filled_in fill_in", r"default text|edit this (?:text|page|paragraph)\b.{0,40}|to be filled in\b.{0,30}|(?:please )?fill in (?:the|this) (?:title|text|description|field)\b.{0,30}"),
     ("xxxx", r"x{4,}(?: x{3,})*"), ("%s %d", r"(?:[\w ]{0,20}: ?)?%[sd](?:[ ,]+%[sd])*"),
-    ("javascript scripts", r"(?:this|the|our) (?:page|site|app|application|player|content|website) (?:works|runs|loads) (?:best|only) (?:with|if) (?:javascript|scripts?)\b.{0,40}|(?:javascript|scripts?) must be (?:enabled|turned on|switched on|allowed)\b.{0,60}|without (?:javascript|scripts?),? (?:this|the) (?:page|site|app|player) .{0,60}"), ("noscript", r"<?noscript>?.{0,60}"),
+    ("javascript with_script if_script scripts_must script_must without_script", r"(?:this|the|our) (?:page|site|app|application|player|content|website) (?:works|runs|loads) (?:best|only) (?:with|if) (?:javascript|scripts?)\b.{0,40}|(?:javascript|scripts?) must be (?:enabled|turned on|switched on|allowed)\b.{0,60}|without (?:javascript|scripts?),? (?:this|the) (?:page|site|app|player) .{0,60}"), ("noscript", r"<?noscript>?.{0,60}"),
     ("javascript", r"(?:diese|die) (?:seite|anwendung|app) (?:benötigt|braucht|erfordert) javascript\b.{0,40}|javascript muss aktiviert (?:sein|werden)\b.{0,40}|ce (?:site|lecteur) (?:nécessite|requiert) javascript\b.{0,40}|(?:esta|este) (?:página|sitio|aplicación) (?:necesita|requiere) javascript\b.{0,40}|(?:ative|active|habilite) o javascript\b.{0,60}"),
     ("robot unusual_traffic", r"(?:confirm |prove |verify )?(?:that )?(?:you(?:'re| are)|i am|i'm|are you) (?:not )?a (?:robot|bot)\b.{0,30}|(?:we have )?detected unusual traffic\b.{0,60}"), ("broke_on our_end our_side", r"(?:sorry, ?|oops[,!]? ?)?something (?:went wrong|broke) on our (?:end|side)\b.{0,40}"),
-    ("while_processing while_loading when_loading your_request", r"(?:there was )?an? (?:error|problem) (?:occurred )?(?:while|when) (?:processing|loading|handling) (?:your request|the page|this page)\b.{0,30}"), ("working maintenance", r"(?:this|the) (?:page|site|server) (?:isn't|is not|isn’t) working\b.{0,40}|(?:(?:this|the|our) (?:site|page|server|service) is )?(?:currently |temporarily )?(?:down for|under|undergoing) (?:scheduled )?maintenance\b.{0,60}"),
+    ("while_processing while_loading when_loading your_request", r"(?:there was )?an? (?:error|problem) (?:occurred )?(?:while|when) (?:processing|loading|handling) (?:your request|the page|this page)\b.{0,30}"), ("isn't_working isn’t_working not_working maintenance", r"(?:this|the) (?:page|site|server) (?:isn't|is not|isn’t) working\b.{0,40}|(?:(?:this|the|our) (?:site|page|server|service) is )?(?:currently |temporarily )?(?:down for|under|undergoing) (?:scheduled )?maintenance\b.{0,60}"),
     ("timed_out timeout was_refused was_reset", r"(?:the )?(?:request|connection|operation|session|upstream request) (?:has )?(?:timed out|timeout|was refused|was reset)\b.{0,40}|(?:upstream )?(?:request|read|connect(?:ion)?) timeout\b.{0,30}"), ("limit_exceeded limit_reached quota_exceeded", r"(?:rate|request|usage|quota) limit (?:exceeded|reached)\b.{0,40}|quota exceeded\b.{0,30}"),
-    ("terminated suspended deactivated private no_longer", r"(?:this|the) (?:account|channel|user|video|episode|recording|content) (?:has been|was|is) (?:terminated|suspended|deactivated|blocked|private|made private|no longer available)\b.{0,60}"), ("required", r"(?:login|log-in|sign-in|registration) (?:is )?required\b.{0,40}"),
+    ("terminated suspended deactivated private no_longer", r"(?:this|the) (?:account|channel|user|video|episode|recording|content) (?:has been|was|is) (?:terminated|suspended|deactivated|blocked|private|made private|no longer available)\b.{0,60}"), ("login_required log-in_required sign-in_required registration_required login_is sign-in_is", r"(?:login|log-in|sign-in|registration) (?:is )?required\b.{0,40}"),
     ("unexpected_token unexpected_end is_not_defined not_a_function", r"(?:\w*error: )?unexpected (?:token|end of)\b.{0,80}|(?:\w*error: )?[\w.$']{1,40} is not (?:defined|a function)\b.{0,60}"), ("segmentation panic: in_thread stack_trace stacktrace sqlstate no_such_file", r"segmentation fault\b.{0,30}|panic: .{0,100}|exception in thread .{0,120}|(?:full )?stack ?trace:?.{0,60}|sqlstate.{0,120}|(?:[\w/.#]+: )?no such file or directory\b.{0,60}"), ("on_line", r"(?:php )?(?:warning|notice|deprecated): .{0,120} on line #"),
     ("fehler sitzung wartung", r"(?:interner )?(?:server)?fehler:? #(?: .{0,40})?|ein fehler ist aufgetreten.{0,40}|(?:die |ihre )?sitzung (?:ist )?abgelaufen.{0,30}|(?:wegen )?wartung(?:sarbeiten)? .{0,40}nicht (?:verfügbar|erreichbar).{0,20}"), ("sesión un_error", r"(?:su |la )?sesión ha (?:caducado|expirado).{0,30}|(?:ha ocurrido|se ha producido) un error.{0,40}"), ("expiré erreur", r"(?:votre |la )?session (?:a |est )?expirée?.{0,30}|une erreur (?:est|s'est) (?:survenue|produite).{0,40}"),
     ("não_encontrad indisponível não_disponível", r"(?:página|arquivo|vídeo|episódio) (?:não (?:encontrad[ao]|disponível)|indisponível)|serviço (?:temporariamente )?indisponível"), ("не_найдена ошибка недоступ запрещ включите", r"страница не найдена.{0,30}|ошибка #.{0,40}|(?:видео|сервис|страница|сервер)(?: временно)? недоступ\w+.{0,30}|доступ запрещ[её]н.{0,30}|(?:пожалуйста, )?включите javascript.{0,60}"),
     ("見つかりません 存在しません 利用できません 再生できません エラー javascript", r"(?:お探しの)?(?:ページ|ファイル|動画)(?:が|は)(?:見つかりません(?:でした)?|存在しません|利用できません|再生できません).{0,20}|エラーが発生しました.{0,20}|.{0,10}javascript(?:を|が)(?:有効に|無効).{0,30}"), ("找不到 未找到 不存在 不可用 无法显示 错误 javascript", r"(?:找不到|未找到)(?:该)?(?:页面|文件|视频).{0,20}|(?:页面|视频|文件)(?:不存在|不可用|无法显示|未找到).{0,20}|(?:服务器|发生)?(?:内部)?错误 ?#?.{0,20}|请(?:启用|开启|打开) ?javascript.{0,30}"),
     ("خطأ غير_موجود غير_متاح غير_متوفر تفعيل", r"(?:الصفحة|الملف|الفيديو) غير (?:موجود|متاح|متوفر)ة?.{0,30}|خطأ #.{0,30}|(?:يرجى|الرجاء) تفعيل (?:javascript|جافا ?سكريبت).{0,40}"), ("त्रुटि पृष्ठ javascript", r"पृष्ठ (?:नहीं मिला|उपलब्ध नहीं).{0,30}|त्रुटि #.{0,30}|कृपया javascript (?:सक्षम|चालू) करें.{0,40}"),
     ("not_found", r"(?:page|file|episode|video|item|document|resource|url)(?: was)? not found(?: on this server)?|the requested (?:url|page|resource|file)(?: .{1,60})? (?:was not found|could not be found|does not exist)\b.{0,40}|no (?:results|episodes?|transcripts?|items?) (?:were |was )?found"), ("could_not_find couldn't_find", r"we (?:could not|couldn't|can't|cannot) find (?:that|this|the) (?:page|episode|video|item|file)\b.{0,40}"),
-    ("been_blocked been_denied", r"(?:you have|you've|access to this (?:page|site|server) has) been (?:blocked|denied|limited)\b.{0,60}"), ("human", r"please (?:verify|confirm|prove) (?:that )?you are (?:a )?human\b.{0,40}"), ("javascript", r"(?:please )?(?:turn|switch) (?:javascript|scripts) on\b.{0,60}"),
+    ("been_blocked been_denied", r"(?:you have|you've|access to this (?:page|site|server) has) been (?:blocked|denied|limited)\b.{0,60}"), ("human", r"please (?:verify|confirm|prove) (?:that )?you are (?:a )?human\b.{0,40}"), ("javascript scripts_on", r"(?:please )?(?:turn|switch) (?:javascript|scripts) on\b.{0,60}"),
     ("placeholder dummy", r"this is (?:a |just a |only a )?(?:placeholder|dummy|filler)(?: text| page| episode)?"), ("construction", r"(?:(?:this|our) (?:page|site) is )?under construction"), ("goes_here", r"(?:[\w'-]+ ){1,4}goes here"), ("translation_missing missing_translation", r"(?:translation missing|missing translation):? .{0,60}"),
     ("cannot_get", r"cannot (?:get|post) /.{0,80}"), ("reset_by", r"connection (?:was )?(?:reset|closed) by peer\b.{0,30}"), ("proxy_error internal_error server_error", r"proxy error|(?:the )?(?:server|application) (?:has )?encountered an (?:internal |unexpected )?error\b.{0,60}|(?:internal |unknown )?(?:server|application) error\b.{0,20}"), ("invalid_request bad_request", r"(?:invalid|bad|malformed) request"), ("err_", r"err_[a-z_]{4,40}"),
 ]
 # What may also be said in content; counts only where it recurs widely or beside a message of the rules above.
 WEAK = [
-    ("oops error loading wait moment", r"(?:oops|error|loading|please wait|just a moment)"), ("again retry", r"(?:please )?(?:try again|retry)(?: later)?"), ("#", r"[(\[]?(?:request|ref\.?|ray|build|vorgang|código|node|incident|reference|block|slot|trace|code|id|error)?(?: id)?[: ]* ?#(?:[-.]#)*[)\]]?"),
-    ("proxy", r"proxy/#(?:\.#)*"), ("not_found forbidden", r"(?:not found|forbidden)"), ("guest", r"with guest"),
+    ("oops error loading please_wait a_moment", r"(?:oops|error|loading|please wait|just a moment)"), ("try_again retry", r"(?:please )?(?:try again|retry)(?: later)?"), ("#", r"[(\[]?(?:request|ref\.?|ray|build|vorgang|código|node|incident|reference|block|slot|trace|code|id|error)?(?: id)?[: ]* ?#(?:[-.]#)*[)\]]?"),
+    ("proxy", r"proxy/#(?:\.#)*"), ("not_found forbidden", r"(?:not found|forbidden)"), ("with_guest", r"with guest"),
 ]
 
 # Words that stand in messages and in hardly any talk. A short unit with one of them, and none of those that tell a story, counts where it recurs widely.
@@ -142,6 +142,10 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 _CUES = _automaton()
+_LIKELY_CUES = ahocorasick.Automaton()
+for _c in LIKELY.split():
+    _LIKELY_CUES.add_word(_c.replace("_", " "), True)
+_LIKELY_CUES.make_automaton()
 
 
 def has_cue(text: str) -> bool:
@@ -158,12 +162,15 @@ _LATIN_CUE = re.compile("|".join(("lorem", "ipsum", *LATIN_RARE)))
 _PH = "⟦⟧"
 
 
+def normal(text: str) -> str:
+    """``text`` without escapes, compatibility forms and invisible characters."""
+    return _HIDDEN.sub("", unicodedata.normalize("NFKC", html.unescape(text)))
+
+
 def units(text: str | None) -> list[str]:
     """The lines and, within them, the sentences of a text, without tags and invisible characters, spaced evenly."""
-    if not text:
-        return []
     out = []
-    for line in _HIDDEN.sub("", unicodedata.normalize("NFKC", html.unescape(text))).splitlines():
+    for line in normal(text or "").splitlines():
         for part in _SPLIT.split(line):
             if part := " ".join(_TAG.sub(" ", part).split()):
                 out.append(part)
@@ -202,7 +209,7 @@ def _kind(unit: str) -> str | None:
             return "strong"
     if len(m) > 400:
         return None
-    return _spelled_out(m) or ("likely" if len(m.split()) <= 16 and _LIKELY.search(m) and not _STORY.search(m) and not ABOUT.search(m) else None)
+    return _spelled_out(m) or ("likely" if next(_LIKELY_CUES.iter(m), None) and len(m.split()) <= 16 and _LIKELY.search(m) and not _STORY.search(m) and not ABOUT.search(m) else None)
 
 
 def _spelled_out(m: str) -> str | None:
@@ -233,7 +240,7 @@ def messages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def fn(_: None, ids: list, sources: list, texts: list) -> list:
         out: list[list] = [[], [], [], []]
         for i, s, t in zip(ids, sources, texts):
-            if not t or not has_cue(unicodedata.normalize("NFKC", t)):
+            if not t or not has_cue(" ".join(normal(t).split())):
                 continue
             seen = {}
             for u in units(t):
