@@ -118,7 +118,7 @@ def test_vocabulary_files(spark, tmp_path):
 def test_commands(spark, tmp_path):
     (tmp_path / "videos.csv").write_text('source_url,transcript,duration_seconds,title\nu,"Prices rise. Wages fall. ""So"", he said.",90,T\n')
     out = tmp_path / "out"
-    assert cli.main(["--offline", "segment", "--input", str(tmp_path / "videos.csv"), "--output-dir", str(out)]) == 0
+    assert cli.main(["--offline", "segment", "--input", str(tmp_path / "videos.csv"), "--output-dir", str(out), "--cache-dir", str(tmp_path / "cache")]) == 0
     run = next(out.iterdir())
     review = tables.read_csv(spark, str(run / "segments_review.csv")).collect()
     assert len(review) == 1 and review[0].segment_transcript.startswith("Prices rise.")
