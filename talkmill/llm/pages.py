@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,8 +55,8 @@ _PARTS = re.compile(r"<(/?)(main|article|nav|aside|footer|header)\b[^<>]*>", re.
 _TOKENS = re.compile(r"[^\W\d_]+\d+\w*|[^\W_]+(?:['’-][^\W_]+)*|[›‹»«|·/©→▶★⤓♥#@&•*…—–:]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _NOT_PAGES = re.compile(r"\s*(?:\[|WEBVTT|<\d|>>|\*\*|\d+:\d\d|\d+m\d\ds)")
-_LABELLED = re.compile(r"\s*[^\W\d_][^.!?:\n|›]{0,40}(?:[(\[][\d:.hms]+[)\]]\s*)?(?::|\s[-–—])\s")
-#: Where more of the lines than this begin with a label, text without markup is a conversation.
+_LABELLED = re.compile(r"\s*([^\W\d_][^.!?:\n|›(\[]{0,40}?)\s*(?:[(\[][\d:.hms]+[)\]]\s*)?(?::|\s[-–—])\s")
+#: Where more of the lines than this begin with one of several labels that recur, text without markup is a conversation.
 TALK = 0.5
 
 
@@ -217,8 +218,11 @@ def boilerplate(text: str | None, title: str | None, weights: dict[str, float],
     own = [line_score(x, weights) for x in lines]
     if not markup and sum(s < SURE for s in own) < PAGE_LINES:
         return []
-    if not markup and sum(bool(_LABELLED.match(x.text)) for x, s in zip(lines, own) if s > 0) > TALK * sum(s > 0 for s in own):
-        return []
+    if not markup:
+        labels = [m[1].casefold().strip() if (m := _LABELLED.match(x.text)) else "" for x in lines]
+        often = {k for k, n in Counter(labels).items() if k and n > 1}
+        if len(often) > 1 and sum(k in often for k, s in zip(labels, own) if s > 0) > TALK * sum(s > 0 for s in own):
+            return []
     if notices:
         own = [min(s, NOTICE) if x.text.count(" ") + 1 >= NOTICE_WORDS and line_hash(x.text) in notices else s for x, s in zip(lines, own)]
     if (k := heading(lines, own, title, _TITLE.findall(text) if markup else [])) is not None:
