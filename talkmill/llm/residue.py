@@ -9,9 +9,13 @@ Sentences that merely talk about a placeholder or an error don't match, as the r
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
+from re import _constants as _ops
+from re import _parser
 
 import ahocorasick
 import xxhash
@@ -50,7 +54,7 @@ LATIN = frozenset(
 #: Words of dummy Latin that stand in hardly any other text.
 LATIN_RARE = ("augue", "risus", "pulvinar", "consectetur", "egestas", "ligula", "mattis")
 
-# Messages as they stand after masking (# is any number). Each has, before its rule, strings of which the message has one.
+# Messages as they stand after masking (# is any number). Each has, before its rule, strings of which most messages have one; those for the rest are read off the rule.
 STRONG = [
     # Unwritten text and its instructions.
     ("text_here title_here caption_here description_here content_here summary_here name_here subtitle_here heading_here body_here notes_here note_here link_here goes_here in_here", r"(?:your|the|enter your|insert|add) (?:text|title|caption|description|content|summary|name)(?: goes)? here"), ("text_here title_here caption_here description_here content_here summary_here name_here subtitle_here heading_here body_here notes_here note_here link_here goes_here in_here", r"(?:subtitle|title|text|caption|description|content|summary|body|heading) (?:goes )?here"),
@@ -115,8 +119,71 @@ _SORRY = re.compile(r"(?:(?:sorry|oops|whoops|uh-oh|error|notice|warning|attenti
 _BETWEEN = re.compile(r"[\s.!?…:;,|–—()\[\]*\"'«»-]*")
 
 
+#: Strings that a part of a rule is spelled out into at most; a part with more is cut in two.
+SPELLED = 256
+
+
+def _best(sets: list[set[str]], cues: list[str]) -> set[str] | None:
+    """Of sets of strings of which a match has one each, the one that the written cues cover best, else the one of the longest strings."""
+    # A mask stands for something else in the text, so only what is between masks can be looked for.
+    cut = [{max(x.split("#"), key=lambda y: (any(c in y for c in cues), len(y.strip()))).strip() for x in s} for s in sets]
+    return max((s for s in cut if s and "" not in s), key=lambda s: (all(any(c in x for c in cues) for x in s), min(map(len, s)), -len(s)), default=None)
+
+
+def _required(nodes: Iterable, cues: list[str]) -> tuple[set[str] | None, set[str] | None]:
+    """(all strings that the parsed rule matches if they are few, else None; strings of which any match has at least one, or None)."""
+    whole, run, sets = True, {""}, []
+    for op, arg in nodes:
+        exact, need, more = None, None, False
+        if op is _ops.LITERAL:
+            exact = {chr(arg)}
+        elif op is _ops.IN and all(o is _ops.LITERAL for o, _ in arg):
+            exact = {chr(a) for _, a in arg}
+        elif op in (_ops.AT, _ops.ASSERT, _ops.ASSERT_NOT):
+            exact = {""}
+        elif op is _ops.SUBPATTERN:
+            exact, need = _required(arg[3], cues)
+        elif op is _ops.BRANCH:
+            parts = [_required(x, cues) for x in arg[1]]
+            exact = set().union(*(e for e, _ in parts)) if all(e is not None for e, _ in parts) else None
+            needs = [n if e is None else _best([e], cues) for e, n in parts]
+            need = set().union(*needs) if all(needs) else None
+        elif op in (_ops.MAX_REPEAT, _ops.MIN_REPEAT):
+            least, most, inner = arg
+            e, n = _required(inner, cues)
+            if e is not None and most == 1:
+                exact = e | {""}
+            elif least and e is not None and len(e) ** least <= SPELLED:
+                exact, more = {"".join(x) for x in itertools.product(e, repeat=least)}, most > least
+            elif least:
+                need = n if e is None else _best([e], cues)
+        if exact is not None and len(exact) > SPELLED:
+            exact, need = None, _best([exact], cues)
+        if exact is not None and len(run) * len(exact) <= SPELLED:
+            run = {a + b for a in run for b in exact}
+            if more:  # what follows stands after further turns
+                whole, sets, run = False, [*sets, run], {""}
+            continue
+        whole = False
+        sets += [run, *([need] if need else []), *([exact] if more else [])]
+        run = exact if exact is not None and not more else {""}
+    return (run if whole else None), _best([*sets, run], cues)
+
+
+def _cover(cues: list[str], rule: str) -> list[str]:
+    """``cues`` with what is missing for each match of ``rule`` to have one; a rule of nothing but a number has only its mask."""
+    written = [x for c in cues if (x := c.replace("#", "").strip())]
+    exact, need = _required(_parser.parse(rule), written)
+    if exact is not None:
+        need = _best([exact], written)
+    if need is None and "#" not in cues:
+        raise ValueError(f"no cue can be told for {rule}")
+    missing = {x for x in need or () if not any(c in x for c in written)}
+    return cues + sorted(x for x in missing if not any(y in x for y in missing - {x}))
+
+
 def _rules(rows: list[tuple[str, str]]) -> list[tuple[list[str], re.Pattern]]:
-    return [([c.replace("_", " ") for c in cues.split()], re.compile(rf"(?:{rule})(?![\w])")) for cues, rule in rows]
+    return [(_cover([c.replace("_", " ") for c in cues.split()], rule), re.compile(rf"(?:{rule})(?![\w])")) for cues, rule in rows]
 
 
 _RULES = {"strong": _rules(STRONG), "weak": _rules(WEAK)}

@@ -296,6 +296,47 @@ def test_content(text):
     assert not any(residue.message_kind(u) for u in residue.units(text))
 
 
+def _spelled(nodes, rng):
+    """A string that the parsed rule matches; each alternative may come."""
+    out = ""
+    for op, arg in nodes:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                o, a = rng.choice([x for x in arg if str(x[0]) != "NEGATE"]) if str(arg[0][0]) != "NEGATE" else ("ANY", None)
+                out += chr(a) if str(o) == "LITERAL" else chr(a[0]) if str(o) == "RANGE" else "k"
+            case "ANY" | "NOT_LITERAL":
+                out += "k"
+            case "SUBPATTERN":
+                out += _spelled(arg[3], rng)
+            case "BRANCH":
+                out += _spelled(rng.choice(arg[1]), rng)
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += "".join(_spelled(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+    return out
+
+
+@pytest.mark.parametrize("rule", [rule for _, rule in residue.STRONG + residue.WEAK[:2] + residue.WEAK[3:]])
+def test_whatever_a_rule_matches_has_one_of_its_cues(rule):
+    rng = random.Random(5)
+    compiled = re.compile(rf"(?:{rule})(?![\w])")
+    for _ in range(600):
+        text = _spelled(re._parser.parse(rule), rng)
+        if compiled.fullmatch(text):
+            given = text.replace("#", "7")
+            assert residue.has_cue(given), given
+            assert compiled in {r for _, rules in residue._CUES.iter(text) for _, r in rules}, text
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["We can't find that page", "We cannot find this page", "The requested URL could not be found", "The requested page does not exist", "No results found", "No episodes found", "Cannot POST /x", "Connection closed by peer", "Application error", "Malformed request", "Confirm you are not a bot", "This channel has been blocked", "You have been limited", "Server unavailable"],
+)
+def test_messages_of_every_alternative(text):
+    assert ["strong"] == [residue.message_kind(u) for u in residue.units(text) if residue.has_cue(u)]
+
+
 def test_masks():
     assert residue.masked("See http://a.example/x or mail a@b.example on 2024-01-02") == "see ⟨⟩ or mail ⟨⟩ on #"
     assert residue.masked("Request id 12") == residue.masked("REQUEST ID 99")
