@@ -90,7 +90,7 @@ STRONG = [
     ("while_processing while_loading when_loading your_request", r"(?:there was )?an? (?:error|problem) (?:occurred )?(?:while|when) (?:processing|loading|handling) (?:your request|the page|this page)\b.{0,30}"), ("isn't_working isn’t_working not_working maintenance", r"(?:this|the) (?:page|site|server) (?:isn't|is not|isn’t) working\b.{0,40}|(?:(?:this|the|our) (?:site|page|server|service) is )?(?:currently |temporarily )?(?:down for|under|undergoing) (?:scheduled )?maintenance\b.{0,60}"),
     ("timed_out timeout was_refused was_reset", r"(?:the )?(?:request|connection|operation|session|upstream request) (?:has )?(?:timed out|timeout|was refused|was reset)\b.{0,40}|(?:upstream )?(?:request|read|connect(?:ion)?) timeout\b.{0,30}"), ("limit_exceeded limit_reached quota_exceeded", r"(?:rate|request|usage|quota) limit (?:exceeded|reached)\b.{0,40}|quota exceeded\b.{0,30}"),
     ("terminated suspended deactivated private no_longer", r"(?:this|the) (?:account|channel|user|video|episode|recording|content) (?:has been|was|is) (?:terminated|suspended|deactivated|blocked|private|made private|no longer available)\b.{0,60}"), ("login_required log-in_required sign-in_required registration_required login_is sign-in_is", r"(?:login|log-in|sign-in|registration) (?:is )?required\b.{0,40}"),
-    ("unexpected_token unexpected_end is_not_defined not_a_function", r"(?:\w*error: )?unexpected (?:token|end of)\b.{0,80}|(?:\w*error: )?[\w.$']{1,40} is not (?:defined|a function)\b.{0,60}"), ("segmentation panic: in_thread stack_trace stacktrace sqlstate no_such_file", r"segmentation fault\b.{0,30}|panic: .{0,100}|exception in thread .{0,120}|(?:full )?stack ?trace:?.{0,60}|sqlstate.{0,120}|(?:[\w/.#]+: )?no such file or directory\b.{0,60}"), ("on_line", r"(?:php )?(?:warning|notice|deprecated): .{0,120} on line #"),
+    ("unexpected_token unexpected_end is_not_defined not_a_function", r"(?:\w*error: )?unexpected (?:token|end of)\b.{0,80}|(?:\w*error: )?[\w.$']{1,40} is not (?:defined|a function)\b.{0,60}"), ("segmentation panic: in_thread stack_trace stacktrace sqlstate no_such_file", r"segmentation fault\b.{0,30}|panic: .{0,100}|exception in thread (?:[\"'].*|.{0,120})|(?:full )?stack ?trace:?(?: ?#.*|.{0,60})|sqlstate(?: ?[\[(:#].*|.{0,120})|(?:[\w/.#]+: )?no such file or directory\b.{0,60}"), ("error\" errors\" exception\"", r"\{ ?(?:\"(?:status|statuscode|status_code|code|timestamp|success|ok|message|type|title|path)\" ?:[^{}]*)?\"(?:errors?|exception)\" ?: ?(?!null|false|none|\"\"|\[\]|\{\}).*"), ("on_line", r"(?:php )?(?:warning|notice|deprecated): .{0,120} on line #"),
     ("fehler sitzung wartung", r"(?:interner )?(?:server)?fehler:? #(?: .{0,40})?|ein fehler ist aufgetreten.{0,40}|(?:die |ihre )?sitzung (?:ist )?abgelaufen.{0,30}|(?:wegen )?wartung(?:sarbeiten)? .{0,40}nicht (?:verfügbar|erreichbar).{0,20}"), ("sesión un_error", r"(?:su |la )?sesión ha (?:caducado|expirado).{0,30}|(?:ha ocurrido|se ha producido) un error.{0,40}"), ("expiré erreur", r"(?:votre |la )?session (?:a |est )?expirée?.{0,30}|une erreur (?:est|s'est) (?:survenue|produite).{0,40}"),
     ("não_encontrad indisponível não_disponível", r"(?:página|arquivo|vídeo|episódio) (?:não (?:encontrad[ao]|disponível)|indisponível)|serviço (?:temporariamente )?indisponível"), ("не_найдена ошибка недоступ запрещ включите", r"страница не найдена.{0,30}|ошибка #.{0,40}|(?:видео|сервис|страница|сервер)(?: временно)? недоступ\w+.{0,30}|доступ запрещ[её]н.{0,30}|(?:пожалуйста, )?включите javascript.{0,60}"),
     ("見つかりません 存在しません 利用できません 再生できません エラー javascript", r"(?:お探しの)?(?:ページ|ファイル|動画)(?:が|は)(?:見つかりません(?:でした)?|存在しません|利用できません|再生できません).{0,20}|エラーが発生しました.{0,20}|.{0,10}javascript(?:を|が)(?:有効に|無効).{0,30}"), ("找不到 未找到 不存在 不可用 无法显示 错误 javascript", r"(?:找不到|未找到)(?:该)?(?:页面|文件|视频).{0,20}|(?:页面|视频|文件)(?:不存在|不可用|无法显示|未找到).{0,20}|(?:服务器|发生)?(?:内部)?错误 ?#?.{0,20}|请(?:启用|开启|打开) ?javascript.{0,30}"),
@@ -262,7 +262,7 @@ def message_kind(unit: str) -> str | None:
 def _kind(unit: str) -> str | None:
     m = masked(unit)
     if _PH in m:
-        if re.fullmatch(rf"[\s|,:–—-]*(?:[\w ]{{0,30}}[:|,–—-]? ?{_PH}[\s|,.!–—-]*)+", m) or not ABOUT.search(m):
+        if re.fullmatch(rf"[\s|,:–—-]*(?:[\w ]{{0,30}}[:|,–—-]? ?{_PH}[\s|,.!–—-]*+)+", m) or not ABOUT.search(m):
             return "strong"
         return None
     if _LATIN_CUE.search(m):
@@ -274,8 +274,6 @@ def _kind(unit: str) -> str | None:
             most = max(most, run)
         if most >= 6 or latin >= 0.6 * len(words):
             return "strong"
-    if len(m) > 400:
-        return None
     return _spelled_out(m) or ("likely" if next(_LIKELY_CUES.iter(m), None) and len(m.split()) <= 16 and _LIKELY.search(m) and not _STORY.search(m) and not ABOUT.search(m) else None)
 
 

@@ -337,6 +337,25 @@ def test_messages_of_every_alternative(text):
     assert ["strong"] == [residue.message_kind(u) for u in residue.units(text) if residue.has_cue(u)]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Please enable JavaScript " * 40, "Page not found. " * 3 + "The page could not be found, " * 30, "Traceback (most recent call last): " + 'File "/srv/app/main.py", line 12, in run ' * 20 + "ValueError: bad", "SQLSTATE[42S02]: Base table or view not found: " + "1146 Table missing in statement " * 20,
+        'Exception in thread "main" java.lang.IllegalStateException ' + "at a.b.Runner(Runner.java:12) " * 30, "Stack trace: " + "#0 /srv/app/a.php(12): run() " * 30, '{"error":{"code":500,"message":"failed","trace":[' + '"at a.b.Runner line 12",' * 40 + "]}}", '{"status":500,"error":"failed","trace":"' + "at a.b.Runner line 12, " * 40 + '"}',
+    ],
+)
+def test_messages_of_any_length(text):
+    assert "strong" in [residue.message_kind(u) for u in residue.units(text) if residue.has_cue(u) and len(u) > 400]
+
+
+def test_long_content_is_none():
+    said = "we looked at the page that was not found and then somebody said that scripts are required to see it "
+    assert residue.message_kind(said * 10) is None
+    assert residue.message_kind('{"status":"ok","error":null,"text":"' + said * 10 + '"}') is None
+    for text in ("please enable javascript " * 20_000 + "or not at all", "error " * 50_000, "x" * 200_000 + " not found", "a." * 100_000 + "error", "{{a}} " * 60 + "is said to be " + "x" * 50):
+        residue.message_kind(text)
+
+
 def test_masks():
     assert residue.masked("See http://a.example/x or mail a@b.example on 2024-01-02") == "see ⟨⟩ or mail ⟨⟩ on #"
     assert residue.masked("Request id 12") == residue.masked("REQUEST ID 99")
