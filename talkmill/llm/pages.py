@@ -4,7 +4,7 @@ Pages that mark their parts themselves (main, nav, aside, footer) serve as label
 them a weight is fitted to each word, word pair and mark, positive for main body and negative for the rest; tags weigh
 against a line too. A linear scan then finds the maximal contiguous regions of positive score (Ruzzo and Tompa); what is
 outside of them, and lines inside that speak clearly against themselves, is boilerplate. Sentences that stand word for
-word on many pages of different titles, as notices do, weigh against themselves whatever their words.
+word on a part of the pages of a site, under different titles, as notices do, weigh against themselves whatever their words.
 """
 
 from __future__ import annotations
@@ -16,18 +16,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.functions.arrow import map_rows
+from talkmill.operators.skew import lookup_join
+from talkmill.session import cut
 
 #: Labelled pages that the weights are fitted on; all others are only read. By hash of the row id.
 LABELLED_PAGES = 1200
 #: Transcripts in records, which are speech and no pages, that lend their lines as main body in all languages.
 SPEECH_ROWS = 600
-#: A line of at least so many words that stands on pages of so many titles, and of this part of all titles, is a notice. At
-#: most the mean number of lines of a page over that part can be, some tens of thousands, however large the table.
-NOTICE_WORDS, NOTICE_TITLES, NOTICE_PART = 4, 15, 0.003
+#: A line of at least so many words is a notice if clearly more than this part of the titles of a site, or of all, have it:
+#: if at least so many do, and the logarithm of how much likelier their number is at its own part than at this is so large.
+#: That is evidence only; what a site's part is doesn't change with the size of the table.
+NOTICE_WORDS, NOTICE_PART, NOTICE_TITLES, NOTICE_EVIDENCE = 4, 0.003, 5, 6.0
 #: What such a line scores at most.
 NOTICE = -3.0
 #: Passes of the fit, its step and its pull of the weights to zero.
@@ -276,58 +279,87 @@ def page_weights(videos: DataFrame, pages: int = LABELLED_PAGES) -> dict[str, fl
     return fit(sorted(labelled_lines(videos, pages)))
 
 
-def recurring_lines(videos: DataFrame, least: int = NOTICE_TITLES, part: float = NOTICE_PART) -> frozenset[int]:
-    """Hashes of the lines that stand on pages of at least ``least`` titles and ``part`` of all.
+def recurring_lines(lines: DataFrame, part: float = NOTICE_PART, least: int = NOTICE_TITLES, evidence: float = NOTICE_EVIDENCE) -> DataFrame:
+    """(line, n): the hashes of the notices among ``lines`` (page, site, title, line, copies), with the number of their rows there.
 
-    Copies of a page have one title and count once. Every page is read; each task sends the hash of a line and of
-    its title once. What comes to the driver is bounded by ``part``, not by the table.
+    Copies of a page have one title and count once. Line 0 stands on every page.
     """
+    titles = lines.select("site", "title", "line").unionByName(lines.select(F.lit("*").alias("site"), "title", "line")).distinct()
+    have = cut(titles.groupBy("site", "line").agg(F.count(F.lit(1)).alias("have")))
+    sites = have.groupBy("site").agg(F.max(F.when(F.col("line") == 0, F.col("have"))).alias("titles"), F.count(F.lit(1)).alias("n"))
+    k, due = F.col("have"), part * F.col("titles")
+    sure = (k >= least) & (k > due) & (k * F.log(k / due) - k + due >= evidence)
+    notices = lookup_join(have.filter((F.col("line") != 0) & (k >= least)), cut(sites), "site").filter(sure).select("line").distinct()
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).join(notices, "line", "left_semi")
 
-    def fn(_: None, texts: list, titles: list) -> list:
-        out: list[list] = [[], []]
-        for t, n in zip(texts, titles):
+
+def with_notices(videos: DataFrame) -> DataFrame:
+    """``videos`` with ``notices``: the hashes of the notices that each page has, null for none. Every page is read.
+
+    What recurs is joined back by the hash of the line, then of the page, so nothing that grows with the table goes to
+    the driver. Rows without a line feed aren't shuffled.
+    """
+
+    def fn(_: None, pages: list, sites: list, texts: list, titles: list) -> list:
+        out: list[list] = [[], [], [], []]
+        for p, s, t, n in zip(pages, sites, texts, titles):
             if not is_markup(t) and _NOT_PAGES.match(t):
                 continue
             name = line_hash(re.sub(r"\s*[\[(][^\[\]()]*[\])]\s*$", "", n or ""))
             found = {line_hash(x.text) for x in shown(t) if x.text.count(" ") + 1 >= NOTICE_WORDS} | {0}
-            out[0] += found
-            out[1] += [name] * len(found)
+            for col, v in zip(out, ([p] * len(found), [s] * len(found), [name] * len(found), found)):
+                col += v
         return out
 
-    rows = videos.select("transcript", "title").filter(F.col("transcript").contains("\n"))
-    n = map_rows(rows, "line long, title long", fn).distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n"))
-    whole = n.filter("line = 0").select("n").scalar()
-    return frozenset(r.line for r in n.filter((F.col("line") != 0) & (F.col("n") >= least) & (F.col("n") >= part * whole)).select("line").collect())
+    videos = videos.select("row_id", "source_url", "transcript", "title")
+    several = F.coalesce(F.col("transcript").contains("\n"), F.lit(False))
+    site = F.lower(F.regexp_extract(F.coalesce("source_url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/:?#\s]+)", 1)).alias("site")
+    pages = videos.filter(several).withColumn("page", F.xxhash64("transcript"))
+    rows = map_rows(pages.select("page", site, "transcript", "title"), "page long, site string, title long, line long", fn)
+    lines = cut(rows.groupBy("page", "site", "title", "line").agg(F.count(F.lit(1)).alias("copies")))
+    hits = lookup_join(lines.select("page", "line", "copies"), cut(recurring_lines(lines).withColumn("is", F.lit(True))), "line")
+    hits = hits.groupBy("page", "line").agg(F.sum("copies").alias("n")).groupBy("page").agg(F.collect_set("line").alias("notices"), F.max("n").alias("n"))
+    found = lookup_join(pages, cut(hits), "page", "left").drop("page")
+    return found.unionByName(videos.filter(~several).withColumn("notices", F.lit(None).cast("array<bigint>")))
 
 
-def boilerplate_lines(videos: DataFrame, weights: dict[str, float], notices: frozenset[int] = frozenset()) -> DataFrame:
+def boilerplate_lines(videos: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(row_id, line_no) of every boilerplate line of every page; one pass without a shuffle.
 
     Null, blank and empty transcripts and those that are no pages have none; copies of a page have theirs each.
     ``weights`` has a row for each word of at most LABELLED_PAGES pages, so its size doesn't grow with the data.
+    ``videos`` may have the notices of ``with_notices``.
     """
-    shared = videos.sparkSession.sparkContext.broadcast((weights, notices))
+    shared = videos.sparkSession.sparkContext.broadcast(weights)
 
-    def fn(state: tuple, ids: list, texts: list, titles: list) -> list:
+    def fn(w: dict[str, float], ids: list, texts: list, titles: list, notices: list) -> list:
         out: list[list] = [[], []]
-        for i, t, title in zip(ids, texts, titles):
-            for no in boilerplate(t, title, *state):
+        for i, t, title, own in zip(ids, texts, titles, notices):
+            for no in boilerplate(t, title, w, frozenset(own or ())):
                 out[0].append(i)
                 out[1].append(no)
         return out
 
     # What has no line feed shows one line at most, its body.
-    rows = videos.select("row_id", "transcript", "title").filter(F.col("transcript").contains("\n") | F.col("transcript").contains("<"))
-    return map_rows(rows, "row_id long, line_no int", fn, lambda: shared.value)
+    rows = videos.filter(F.col("transcript").contains("\n") | F.col("transcript").contains("<"))
+    return map_rows(rows.select("row_id", "transcript", "title", noticed(videos)), "row_id long, line_no int", fn, lambda: shared.value)
+
+
+def noticed(videos: DataFrame) -> Column:
+    return F.col("notices") if "notices" in videos.columns else F.lit(None).cast("array<bigint>").alias("notices")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     videos = spark.read.parquet(f"{sf_dir}/videos.parquet")
-    return boilerplate_lines(videos, page_weights(videos), recurring_lines(videos))
+    return boilerplate_lines(with_notices(videos), page_weights(videos))
 
 
 def p3_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, body): the transcripts with only the main body of those that are pages."""
     videos = spark.read.parquet(f"{sf_dir}/videos.parquet")
-    shared = spark.sparkContext.broadcast((page_weights(videos), recurring_lines(videos)))
-    return map_rows(videos.select("row_id", "transcript", "title"), "row_id long, body string", lambda state, i, t, n: [i, [body(x, y, *state) for x, y in zip(t, n)]], lambda: shared.value)
+    shared = spark.sparkContext.broadcast(page_weights(videos))
+
+    def fn(w: dict[str, float], ids: list, texts: list, titles: list, notices: list) -> list:
+        return [ids, [body(t, n, w, frozenset(own or ())) for t, n, own in zip(texts, titles, notices)]]
+
+    return map_rows(with_notices(videos).select("row_id", "transcript", "title", "notices"), "row_id long, body string", fn, lambda: shared.value)

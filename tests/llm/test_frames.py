@@ -194,6 +194,21 @@ def test_boilerplate(spark):
     assert isinstance(pages.page_weights(v.limit(0)), dict)
 
 
+@pytest.mark.parametrize("n", [12, 20])
+def test_notices_do_not_depend_on_the_size_of_the_table(spark, tmp_path, n):
+    """What stands on all pages of a small site is a notice in a table of this site and in one of many."""
+    said = ["The judge said that it was over.", "We heard nothing until the rain had ended.", "She asked why they had left so early."]
+    notice = "He thought that the old lamp was here before they came."
+    made = lambda i, site, lines: (i, f"https://{site}.example/{i}", "<div>\n" + "\n".join(f"<p>{x}</p>" for x in lines) + "\n</div>", f"Title {i}", None)
+    own = [made(i, "small", [said[0], f"They counted {i * 'very '} many boats on that day.", notice, *said[1 + i % 2 :]]) for i in range(n)]
+    others = [made(1000 + i, f"site{i % 50}", ["We talked about it, and nobody had an answer.", "It was " + "so " * (i // 50) + f"cold{'x' * (i % 50)} in the end."]) for i in range(7000)]
+    got = []
+    for k, table in enumerate((own + others[:200], own + others)):
+        videos(spark, table).write.parquet(f"{tmp_path}/{k}/videos.parquet")
+        got.append({r.line_no for r in pages.p3_found(spark, f"{tmp_path}/{k}").collect() if r.row_id == 1})
+    assert 3 in got[0] and got[0] == got[1]
+
+
 def test_repetition(spark):
     said = "a listener wrote to us about seven red boats on the long river near town. "
     v = videos(spark, [(1, None, said * 4, None, None), (2, None, None, None, None), (3, None, "", None, None), (4, None, said, None, None), (4, None, said, None, None)])
