@@ -1,8 +1,8 @@
 """The share of a transcript's spoken words that stand in second or later copies of what it said before.
 
 The spoken words are cut into units (sentences, or windows where there are no sentence ends). What of a unit is covered by
-word sequences seen earlier, and whether the unit as a whole was, are the observations of a linear-chain conditional
-random field with the states content and copy; the words covered in units decoded as copies are the repeated ones.
+word sequences seen earlier counts word by word. That, and whether the unit as a whole was said before, are the observations
+of a linear-chain conditional random field with the states content and copy, which labels units; the count doesn't need it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ PHRASE, SENTENCE = 8, 4
 WINDOW = 25
 #: A transcript is heavily repetitive from this share on.
 HEAVY = 0.3
-#: Transcripts that the random field is fitted on, by hash; and the part of a unit that makes it a copy there.
+#: Transcripts that the random field is fitted on, by hash; and a feature of units that are covered by so much.
 FITTED, COPY = 200, 0.5
 
 _VTT = re.compile(r"<\d+:\d\d:\d\d[.,]\d+>|</?c[^>]*>|^WEBVTT.*$|^\s*(?:\d+:)?\d+:\d\d[.,]\d+\s*-->.*$", re.M)
@@ -140,17 +140,18 @@ def observed(us: list[list[str]], found: tuple | None = None) -> np.ndarray:
     return np.stack([np.ones(len(us)), part, part > 0, part >= COPY, part >= 0.9, little, whole, np.log1p(size) / 4], 1)
 
 
-def share(text: str | None, title: str | None, weights: dict[str, float], crf: ChainCRF) -> tuple[int, int]:
-    """(spoken words, repeated words) of a transcript."""
+def share(text: str | None, title: str | None, weights: dict[str, float], crf: ChainCRF | None = None) -> tuple[int, int]:
+    """(spoken words, repeated words) of a transcript; each covered word counts, whatever ``crf`` would call its unit."""
     us = units(spoken(text, title, weights))
     if not us:
         return 0, 0
-    found = copies(us)
-    _, covered, size, starts, _ = found
-    if not covered.any():
-        return int(size.sum()), 0
-    repeated = np.add.reduceat(covered, starts, dtype=int)
-    return int(size.sum()), int(repeated[np.array(crf.decode(observed(us, found))) == 1].sum())
+    _, covered, size, _, _ = copies(us)
+    return int(size.sum()), int(covered.sum())
+
+
+def labels(us: list[list[str]], crf: ChainCRF) -> list[int]:
+    """1 for each unit that is or holds a copy, else 0."""
+    return crf.decode(observed(us)) if us else []
 
 
 def fit_field(videos: DataFrame, weights: dict[str, float], fitted: int = FITTED) -> ChainCRF:
@@ -171,22 +172,20 @@ def fit_field(videos: DataFrame, weights: dict[str, float], fitted: int = FITTED
     seqs = [x[i : i + 100] for b in xs for x in [np.frombuffer(b, np.float32).reshape(-1, 8).astype(float)] for i in range(0, len(x), 100)]
     # A sequence of each kind, should the sample have none.
     seqs += [np.array([[1, 0, 0, 0, 0, 0.1, 0, 0.6], [1, 1, 1, 1, 1, 1, 1, 0.6], [1, 0.9, 1, 1, 1, 1, 0, 0.6], [1, 0, 0, 0, 0, 0, 0, 0.5], [1, 0.1, 1, 0, 0, 0.3, 0, 0.7], [1, 0.6, 1, 1, 0, 0.7, 0, 0.7]])]
-    return ChainCRF.fit(seqs, [((s[:, 3] > 0) | (s[:, 6] > 0)).astype(int) for s in seqs])
+    return ChainCRF.fit(seqs, [((s[:, 2] > 0) | (s[:, 6] > 0)).astype(int) for s in seqs])
 
 
-def shares(videos: DataFrame, weights: dict[str, float] | None = None, crf: ChainCRF | None = None) -> DataFrame:
+def shares(videos: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(row_id, n_words, n_repeated, share) of each row; one pass without a shuffle.
 
     Null, empty and blank transcripts have no words and share 0. Copies of a row have their own shares. Very long
     transcripts take time and memory in proportion to their length.
     """
     weights = page_weights(videos) if weights is None else weights
-    crf = fit_field(videos, weights) if crf is None else crf
-    shared = videos.sparkSession.sparkContext.broadcast((weights, crf))
+    shared = videos.sparkSession.sparkContext.broadcast(weights)
 
-    def fn(state: tuple, ids: list, texts: list, titles: list) -> list:
-        w, c = state
-        counts = [share(t, n, w, c) for t, n in zip(texts, titles)]
+    def fn(w: dict[str, float], ids: list, texts: list, titles: list) -> list:
+        counts = [share(t, n, w) for t, n in zip(texts, titles)]
         return [ids, [a for a, _ in counts], [b for _, b in counts], [b / a if a else 0.0 for a, b in counts]]
 
     return map_rows(videos.select("row_id", "transcript", "title"), "row_id long, n_words long, n_repeated long, share double", fn, lambda: shared.value)

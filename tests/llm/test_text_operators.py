@@ -184,6 +184,15 @@ def test_shares():
     assert share("thank you " * 50) > 0.9
 
 
+def test_phrases_that_fill_less_than_half_of_their_sentences_count():
+    crf, w = field(), pages.fit(labelled())
+    rng = random.Random(6)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    phrase, n = fresh(12), 40
+    spoken, repeated = repetition.share(" ".join(f"{fresh(14)} {phrase}." for _ in range(n)), None, w, crf)
+    assert (spoken, repeated) == (26 * n, 12 * (n - 1)) and repeated / spoken > 0.3
+
+
 def test_spoken():
     w = pages.fit(labelled())
     say = lambda t: repetition.spoken(t, None, w).split()
