@@ -31,6 +31,9 @@ BOUNDARY_SCHEMA = {
     "additionalProperties": False,
 }
 
+#: Labels or subtopics that a prompt may have; more are an error.
+MOST_LABELS = 5000
+
 
 def chunked(read: DataFrame, chunk_ms: int, overlap_ms: int) -> DataFrame:
     """``read`` (with utterances) and, for each of its chunks, span, owned span and the blocks that go into the prompt."""
@@ -112,7 +115,9 @@ def segment_videos(
 
 def label_segments(segments: DataFrame, codebook: DataFrame, client: ModelClient, cache: cl.AnswerCache | None = None, size: int = cl.BATCH, retry: Retry = CLASS_RETRY) -> tuple[DataFrame, DataFrame]:
     """(labelled segments, summary) for segments with ``pos`` and a codebook (pos, label, definition)."""
-    book = [(r.label, r.definition) for r in codebook.orderBy("pos").limit(5000).collect()]
+    book = [(r.label, r.definition) for r in codebook.orderBy("pos").limit(MOST_LABELS + 1).collect()]
+    if len(book) > MOST_LABELS:
+        raise ValueError(f"the codebook has more than {MOST_LABELS} labels")
     labels = [x for x, _ in book]
     if not labels:
         raise ValueError("the codebook is empty")
@@ -124,7 +129,9 @@ def label_segments(segments: DataFrame, codebook: DataFrame, client: ModelClient
 
 def score_subtopics(segments: DataFrame, subtopics: DataFrame, topic: str, client: ModelClient, cache: cl.AnswerCache | None = None, topic_column: str = "codebook_label", size: int = cl.BATCH, retry: Retry = CLASS_RETRY, parallel: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments of ``topic`` with a column a subtopic, summary); subtopics (pos, slug, definition). Positions are given anew after the filter."""
-    topics = [(r.slug, r.definition) for r in subtopics.orderBy("pos").limit(5000).collect()]
+    topics = [(r.slug, r.definition) for r in subtopics.orderBy("pos").limit(MOST_LABELS + 1).collect()]
+    if len(topics) > MOST_LABELS:
+        raise ValueError(f"there are more than {MOST_LABELS} subtopics")
     slugs = [s for s, _ in topics]
     check_slugs(slugs, segments.columns)
     chosen = with_position(segments.filter(F.col(topic_column) == topic).drop("pos").withColumn("topic_label", F.lit(topic)))

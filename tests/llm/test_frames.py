@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -237,6 +238,19 @@ def test_subject_areas(spark):
         subjects.train(labelled, book.limit(0))
 
 
+def test_one_ratio_at_every_size_and_no_label_is_lost(spark):
+    rng = random.Random(3)
+    words = {"A": "goal team match player".split(), "B": "court judge trial law".split()}
+    said = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    # Many segments with a second subject, most of them of a part under the ratio.
+    rows = [(f"{said('A', 60)}. {said('B', rng.choice([18, 20, 40, 60]))}. {i}", "A") for i in range(500)] + [(f"{said('B', 60)}. {i}", "B") for i in range(100)]
+    book = spark.createDataFrame([("A",), ("B",), ("Other / Not Listed",)], "label string")
+    labeled = spark.createDataFrame(rows, "segment_transcript string, codebook_label string")
+    assert subjects.train(labeled, book)[1] == subjects.train(labeled.limit(20), book)[1] == subjects.RATIO
+    with pytest.raises(ValueError, match="1000 labels"):
+        subjects.train(labeled, spark.range(1001).selectExpr("concat('L', id) label"))
+
+
 def test_samples(spark):
     d = spark.range(20_000).select((F.col("id") % 5000).cast("string").alias("t"))
     some = sample.sampled(d, 500, "t")
