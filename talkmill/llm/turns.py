@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
 
@@ -34,6 +35,7 @@ _NAME = r"[^\W\d_][^:|\[\]()<>*\n]{0,60}?"
 _STAMP = re.compile(rf"\s*[\[(]?({_TIME})[\])]?(?:\s*-->\s*{_TIME})?\s*\|?\s*")
 _STARRED = re.compile(rf"\s*\*\*\s*([^*\n]{{1,60}}?)\s*:?\s*\*\*\s*:?\s*(?:[\[(]({_TIME})[\])])?\s*")
 _LABEL = re.compile(rf"\s*(?:>>+\s*)?({_NAME})\s*(?:[\[(]({_TIME})[\])])?\s*(?::|\s[-–—]\s|[–—](?=\s))\s*")
+_MAY_LABEL = re.compile(r"[:*–—]|\s-\s")
 # Fillers and notes of sounds.
 FILLER = r"(?:u+[mh]+|uhm+|e+r+m*|h+m+|hm+|mm+-?h+m+|m+h?m+|uh-?huh|ah+|eh+|huh|[äö]h+m*|えーと|えっと|あのー)"
 _FILLERS = re.compile(rf"(?<![\w'’-]){FILLER}(?![\w'’-])[,.…]*", re.I)
@@ -139,8 +141,9 @@ def repaired(times: list[int | None]) -> list[tuple[int, float]]:
 def entries(transcript: str, names: dict[str, int]) -> list[tuple[int | None, int | None, str]]:
     """(time, speaker, text) of each line or record as written; empty if the transcript names none of ``names``.
 
-    A record's ``speaker`` or a line's label names a speaker; words before a colon that are no name stay words. A
-    line without a time that follows words has the time of those.
+    A record's ``speaker``, or a label at the beginning of its text where no record has that field, or a line's label
+    names a speaker; words before a colon that are no name stay words. A line without a time that follows words has
+    the time of those.
     """
     text = transcript.lstrip("﻿ \t\r\n")
     if text.startswith(("[{", "[ {", "[\n")) or re.match(r"\[\s*[\"{]", text):
@@ -154,9 +157,23 @@ def entries(transcript: str, names: dict[str, int]) -> list[tuple[int | None, in
         return []
     out: list[tuple[int | None, int | None, str]] = []
     named, now, who = 0, None, None
+    for at, label, rest in _labelled(transcript, names):
+        ms = clock_ms(at) if at else None
+        named += label is not None
+        if ms is not None:
+            now, who = ms, None
+        if label is not None:
+            who = label
+        if rest.strip():
+            out.append((now, who, html.unescape(rest).strip()))
+    return out if named else []
+
+
+def _labelled(text: str, names: dict[str, int]) -> Iterator[tuple[str | None, int | None, str]]:
+    """(time, speaker, words) of each line of ``text``, or of each part of a line that begins with a label; None for what isn't given."""
     label_at = _inline(tuple(names))
     # A time within a note, as of what couldn't be heard, is no time of the line.
-    for line in (part for whole in _NOTED.sub("[note]", transcript).splitlines() for part in label_at.sub(lambda m: "\n" + m[0], whole).split("\n")):
+    for line in (part for whole in _NOTED.sub("[note]", text).splitlines() for part in label_at.sub(lambda m: "\n" + m[0], whole).split("\n")):
         if not line.strip():
             continue
         at, label, rest = None, None, line
@@ -168,30 +185,29 @@ def entries(transcript: str, names: dict[str, int]) -> list[tuple[int | None, in
                 at, rest = m[1], rest[m.end() :]
             if (m := _LABEL.match(rest)) and (sid := names.get(_plain(m[1]))) is not None:
                 label, at, rest = sid, m[2] or at, rest[m.end() :]
-        ms = clock_ms(at) if at else None
-        named += label is not None
-        if ms is not None:
-            now, who = ms, None
-        if label is not None:
-            who = label
-        if rest.strip():
-            out.append((now, who, html.unescape(rest).strip()))
-    return out if named else []
+        yield at, label, rest
 
 
 def _records(records: list, names: dict[str, int]) -> list[tuple[int | None, int | None, str]]:
-    out, named = [], 0
+    """Entries of records. Where no record has a field that names a speaker, the labels are read off their texts."""
+    read = []
     for r in records:
-        if not isinstance(r, dict):
-            if isinstance(r, str) and r.strip():
-                out.append((None, None, html.unescape(r)))
-            continue
-        text = next((r[k] for k in ("text", "caption", "content", "transcript", "snippet", "utf8") if isinstance(r.get(k), str) and r[k].strip()), "")
-        label = next((r[k] for k in ("speaker", "speaker_name", "speakerName", "name") if isinstance(r.get(k), str)), None)
-        sid = names.get(_plain(label)) if label else None
-        named += sid is not None
-        if text:
-            out.append((_record_ms(r), sid, html.unescape(text)))
+        if isinstance(r, str):
+            r = {"text": r}
+        if isinstance(r, dict):
+            text = next((r[k] for k in ("text", "caption", "content", "transcript", "snippet", "utf8") if isinstance(r.get(k), str) and r[k].strip()), "")
+            label = next((r[k] for k in ("speaker", "speaker_name", "speakerName", "name") if isinstance(r.get(k), str)), None)
+            if text:
+                read.append((_record_ms(r), names.get(_plain(label)) if label else None, html.unescape(text)))
+    if any(sid is not None for _, sid, _ in read):
+        return read
+    out, named = [], False
+    for ms, _, text in read if names else ():
+        who = None
+        for at, label, rest in _labelled(text, names) if _MAY_LABEL.search(text) else ((None, None, text),):
+            named, who = named or label is not None, who if label is None else label
+            if rest.strip():
+                out.append((clock_ms(at) if ms is None and at else ms, who, rest.strip()))
     return out if named else []
 
 

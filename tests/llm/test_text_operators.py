@@ -261,8 +261,27 @@ def test_times(names):
     assert [turns.clock_ms(x) for x in ("1:02", "1:02:03.5", "2m03s", "1h2m3s", "x")] == [62000, 3723500, 123000, 3723000, None]
 
 
+@pytest.mark.parametrize("style", [("ANN: ", "Bob S.: ", "BS : ", "host: "), ("Ann Lee-Ray : ", "GUEST: ", "Bob : ", "A. Lee-Ray: "), ("**Ann** ", "**Bob Stone:** ", "**guest** ", "**HOST** "), ("Ann – ", "bob stone - ", "Guest - ", "AL – ")])
+@pytest.mark.parametrize("times", ["start", "offset_ms", None])
+def test_labels_in_the_texts_of_records(names, style, times):
+    a, b, b2, c = style
+    said = [(0, f"{a}One."), (9, f"{b}um, Two."), (12, f"{b2}[applause]"), (14, "Three. Note: this."), (20, f"{c}um uh"), (25, f"{c}Four.")]
+    rows = [{"text": t} | ({times: s if times == "start" else s * 1000} if times else {}) for s, t in said]
+    if times:
+        random.Random(1).shuffle(rows)
+    assert turns.turns(json.dumps(rows), names) == [(1, "One."), (2, "Two. Three. Note: this."), (1, "Four.")]
+
+
+def test_records_without_labels_or_with_fields(names):
+    assert turns.turns(json.dumps([{"start": 0, "text": "We met. Note: at nine."}, {"start": 4, "text": "Then - so they say - it rained."}]), names) == []
+    assert turns.turns(json.dumps([{"start": 0, "text": "Ann: um"}, {"start": 4, "text": "Bob: [music]"}]), names) == []
+    # A field speaks for its record: a name with a colon in the text is then what is said.
+    assert turns.turns(json.dumps([{"speaker": "Ann", "text": "Bob: a name."}, {"text": "Guest: a role."}]), names) == [(1, "Bob: a name. Guest: a role.")]
+    assert turns.turns(json.dumps(["Ann: One.", "Two.", None, 7, ["x"], {"text": "BOB: Three. Ann: Four."}]), names) == [(1, "One. Two."), (2, "Three."), (1, "Four.")]
+
+
 def test_no_turns(names):
-    for t in (None, "", "Plain. Note: text.", "<p>Ann: x</p>", "[]", '[{"text": "Ann: x"}]', "x" * 100_000):
+    for t in (None, "", "Plain. Note: text.", "<p>Ann: x</p>", "[]", '[{"text": "Anna: x"}]', "x" * 100_000):
         assert turns.turns(t, names) == []
     assert turns.turns("Ann: One.", {}) == []
     assert len(turns.turns("\n".join(f"{'Ann' if i % 2 else 'Bob'}: w{i}." for i in range(20_000)), names)) == 20_000
