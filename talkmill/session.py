@@ -42,6 +42,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, dealt out to all cores where it would be read by fewer tasks than there are.
+
+    Costly row functions over a small table would else run in the one or two tasks of its few files. A table of as
+    many splits as cores stays as it is, so nothing of that size shuffles here. Not for plans with joins or aggregates.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
