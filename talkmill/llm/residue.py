@@ -1,9 +1,11 @@
 """Template residue, filler, error messages and notices that stand where content should.
 
-Each text is cut into lines and sentences; numbers, dates, addresses and placeholders are masked, so that one
-message has one normalised hash wherever it occurs. Phrase and placeholder rules class each message; what only
-looks like a message (a short generic phrase) counts where its hash recurs widely, over several documents and sources.
-Sentences that merely talk about a placeholder or an error don't match, as the rules are about whole messages.
+Each text is cut into lines and sentences; numbers, dates, addresses, placeholders and dummy Latin are masked and the
+name of a player or page before a message is taken off, so that one message has one normalised hash wherever it occurs.
+Hashes are grouped over different texts and sources; those that recur widely are messages if phrase or placeholder rules,
+or words of messages in a short unit, class them so. What doesn't recur counts only by its form (a placeholder, dummy
+Latin) or where a text is nothing but messages. Sentences that merely talk about a placeholder or an error don't match,
+as the rules are about whole messages.
 """
 
 from __future__ import annotations
@@ -18,16 +20,19 @@ from re import _constants as _ops
 from re import _parser
 
 import ahocorasick
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.functions.arrow import map_rows
 from talkmill.operators.skew import lookup_join
-from talkmill.session import cut
+from talkmill.session import cut, spread, table
 
-#: A message of the weak rules counts if so many documents of so many sources have it.
+#: A message in words counts if so many different texts of so many sources have it.
 WIDE_DOCS, WIDE_SOURCES = 3, 2
+#: Recurring messages that are sent to every task; more are joined by a shuffle instead.
+MOST_WIDE = 1_000_000
 
 # Forms of unfilled placeholders.
 _NAME = r"[A-Za-z][\w.\- ]{0,40}?"
@@ -227,6 +232,9 @@ _NUMBER = re.compile(r"\d+(?:[.,:/-]\d+)*")
 _SPLIT = re.compile(r"(?<=[.!?。！？])\s+|(?<=</p>)|(?<=</h\d>)|(?<=</div>)", re.I)
 _LATIN_CUE = re.compile("|".join(("lorem", "ipsum", *LATIN_RARE)))
 _PH = "⟦⟧"
+# A placeholder that says or explains something stands for a name; the verb isn't about the placeholder.
+_ACTS = re.compile(rf"{_PH},? (?:also |then |now )?(?:explain(?:ed|s)?(?: why| how| that| what)?|sa(?:id|ys)(?! aloud))\b")
+_LATIN_RUN = re.compile(rf"\b(?:{'|'.join(sorted(LATIN))})\b(?:[\s.,;:]+(?:{'|'.join(sorted(LATIN))})\b){{3,}}[.,;:]?")
 
 
 def normal(text: str) -> str:
@@ -262,7 +270,7 @@ def message_kind(unit: str) -> str | None:
 def _kind(unit: str) -> str | None:
     m = masked(unit)
     if _PH in m:
-        if re.fullmatch(rf"[\s|,:–—-]*(?:[\w ]{{0,30}}[:|,–—-]? ?{_PH}[\s|,.!–—-]*+)+", m) or not ABOUT.search(m):
+        if re.fullmatch(rf"[\s|,:–—-]*(?:[\w ]{{0,30}}[:|,–—-]? ?{_PH}[\s|,.!–—-]*+)+", m) or not ABOUT.search(_ACTS.sub(_PH, m)):
             return "strong"
         return None
     if _LATIN_CUE.search(m):
@@ -299,53 +307,112 @@ def _spelled_out(m: str) -> str | None:
     return None
 
 
+def group_text(unit: str) -> str:
+    """What a unit is grouped by: masked, a run of dummy Latin to one mask, without the name of a player or page before it."""
+    m = masked(unit)
+    if _LATIN_CUE.search(m):
+        m = _LATIN_RUN.sub("◇", m)
+    lead = _LEAD.match(m)
+    return m[lead.end() :] if lead else m
+
+
+def text_messages(text: str | None) -> tuple[dict[int, tuple[str, bool]], bool]:
+    """The messages of a text, by hash the kind and whether it counts by itself, and whether the text has nothing else.
+
+    Placeholders and dummy Latin count by their form. A message in words counts by itself only where the text has
+    nothing but such; beside other text it has to recur.
+    """
+    if not text or not has_cue(" ".join(normal(text).split())):
+        return {}, False
+    found: dict[int, tuple[str, bool]] = {}
+    whole = only = True
+    for u in units(text):
+        kind = message_kind(u) if has_cue(u) else None
+        if kind:
+            g = group_text(u)
+            found[xxhash.xxh3_64_intdigest(g) - (1 << 63)] = (kind, kind == "strong" and (_PH in g or "◇" in g))
+            only = only and kind == "strong"
+        elif re.search(r"[^\W\d_]", u):  # a bare number says nothing
+            whole = False
+    return {h: (k, form or whole and only) for h, (k, form) in found.items()}, whole
+
+
 def messages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, hash, kind): each message of each document once. One pass; whole texts are read."""
+    """(doc_id, source, page, hash, kind, sure): each message of each document once. One pass; whole texts are read.
+
+    ``page`` tells different texts apart: copies of a text with content have one, a text that is nothing but messages
+    has one a document, as the same error page in several documents is what recurs.
+    """
 
     def fn(_: None, ids: list, sources: list, texts: list) -> list:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[] for _ in range(6)]
         for i, s, t in zip(ids, sources, texts):
-            if not t or not has_cue(" ".join(normal(t).split())):
-                continue
-            seen = {}
-            for u in units(t):
-                if has_cue(u) and (k := message_kind(u)):
-                    seen[xxhash.xxh3_64_intdigest(masked(u)) - (1 << 63)] = k
-            for h, k in seen.items():
-                for col, v in zip(out, (i, s, h, k)):
+            found, whole = text_messages(t)
+            page = found and xxhash.xxh3_64_intdigest(f"{i} {s}" if whole else t) - (1 << 63)
+            for h, (k, sure) in found.items():
+                for col, v in zip(out, (i, s, page, h, k, sure)):
                     col.append(v)
         return out
 
     src = F.regexp_replace(F.lower(F.trim(F.col(source_col))), "[-\\s]+", "_")
-    return map_rows(documents.select(id_col, src, text_col), "doc_id long, source string, hash long, kind string", fn)
+    return map_rows(documents.select(id_col, src, text_col), "doc_id long, source string, page long, hash long, kind string, sure boolean", fn)
 
 
 def groups(found: DataFrame) -> DataFrame:
-    """One row a message hash: (hash, kind, n, n_sources). Counted by source first, so a message with a third of all rows is folded by each task."""
-    return found.groupBy("hash", "kind", "source").agg(F.count(F.lit(1)).alias("n")).groupBy("hash", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_sources"))
+    """One row a message hash: (hash, kind, n, n_sources), n counting different texts, so that copies of one document aren't recurrence.
+
+    A null source is a source of its own. A message with a third of all rows is folded by each task, by text and
+    source first.
+    """
+    each = found.select("hash", "kind", "page", F.coalesce("source", F.lit("")).alias("source")).distinct()
+    return each.groupBy("hash", "kind").agg(F.count_distinct("page").alias("n"), F.count_distinct("source").alias("n_sources"))
+
+
+def recurring(found: DataFrame, wide_docs: int = WIDE_DOCS, wide_sources: int = WIDE_SOURCES) -> DataFrame:
+    """(hash, n): the messages that so many texts of so many sources have; n counts the rows of ``found``."""
+    wide = groups(found).filter((F.col("n") >= wide_docs) & (F.col("n_sources") >= wide_sources)).select("hash").distinct()
+    return found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).join(wide, "hash", "left_semi")
 
 
 def with_residue(documents: DataFrame, wide_docs: int = WIDE_DOCS, wide_sources: int = WIDE_SOURCES) -> DataFrame:
-    """(doc_id) of the documents to leave out, once each.
+    """(doc_id) of the documents to leave out, once each: those with a message that recurs widely or counts by itself.
 
     Null, empty and blank texts are no cases; copies of a document are cases each; an empty table gives none; extra
     columns aren't read.
     """
     found = cut(messages(documents))
-    wide = groups(found.filter("kind <> 'strong'")).filter((F.col("n") >= wide_docs) & (F.col("n_sources") >= wide_sources)).select("hash", "n", F.lit(True).alias("wide"))
-    weak = lookup_join(found.filter("kind <> 'strong'").select("doc_id", "hash"), wide, "hash").select("doc_id")
-    return found.filter("kind = 'strong'").select("doc_id").unionByName(weak).distinct()
+    wide = recurring(found, wide_docs, wide_sources).withColumn("wide", F.lit(True))
+    again = lookup_join(found.filter("not sure").select("doc_id", "hash"), wide, "hash").select("doc_id")
+    return found.filter("sure").select("doc_id").unionByName(again).distinct()
+
+
+def without_residue(documents: DataFrame, most: int = MOST_WIDE) -> DataFrame:
+    """``documents`` but those of :func:`with_residue`; rows with a null id are judged by their text like others.
+
+    Each text is judged where it is read, by the recurring messages, which are sent to every task: the documents don't
+    shuffle. Should there be more than ``most`` of those, the ids are left out by a join.
+    """
+    found = cut(messages(documents))
+    wide = [r.hash for r in recurring(found).select("hash").limit(most + 1).collect()]
+    if len(wide) > most:
+        return documents.join(with_residue(documents), "doc_id", "left_anti")
+    shared = documents.sparkSession.sparkContext.broadcast(frozenset(wide))
+
+    @F.pandas_udf("boolean")
+    def has_residue(texts: pd.Series) -> pd.Series:
+        return pd.Series([any(sure or h in shared.value for h, (_, sure) in text_messages(t)[0].items()) for t in texts], dtype=bool)
+
+    return documents.filter(~has_residue("text"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_residue(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return with_residue(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that stay."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.join(with_residue(docs), "doc_id", "left_anti")
+    return without_residue(spread(table(spark, sf_dir, "documents")))
 
 
 def p9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(messages(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return groups(messages(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))))

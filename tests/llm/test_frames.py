@@ -225,6 +225,20 @@ def test_residue(spark):
     assert residue.with_residue(docs.limit(0)).count() == 0
 
 
+def test_messages_in_words_count_where_they_recur(spark):
+    said = [(i, f"Part {'one two three four five six'.split()[i]} of the talk.\nReload to see the transcript of item {i}.", "ab"[i % 2]) for i in range(6)]
+    copies = [(10 + i, "We met.\nThe upload was not found and a reload is due.", "ab"[i % 2]) for i in range(6)]  # one text six times is no recurrence
+    docs = spark.createDataFrame([(*x, "t") for x in said + copies + [(20, "Before.\nWe could not find this page.\nAfter.", "a")]], "doc_id long, text string, source string, wide string")
+    assert sorted(r.doc_id for r in residue.with_residue(docs).collect()) == list(range(6))
+    assert residue.with_residue(docs.filter("source = 'a'")).count() == 0  # of one source only
+    clean = residue.without_residue(docs)
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [*range(10, 16), 20]
+    assert sorted(r.doc_id for r in residue.without_residue(docs, most=0).collect()) == [*range(10, 16), 20]
+    assert residue.without_residue(docs.limit(0)).count() == 0
+    plan = residue.without_residue(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_subject_areas(spark):
     say = {"Food": "bread soup oven", "Law": "court judge fine"}
     labelled = spark.createDataFrame([(f"{w} and {w} again.", k) for k, w in say.items() for w in w.split()] * 3 + [(None, "Law"), ("x", None)], "segment_transcript string, codebook_label string")

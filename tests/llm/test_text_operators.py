@@ -307,6 +307,7 @@ def test_isotonic(values):
 FOUND = [
     "Dear {{ name }}, welcome to %%show%%!", "Lorem ipsum dolor sit amet magna vitae lorem quis.", "404 Not Found", "Notes: TBD", "[object Object] 123", "Error 410: this recording is gone.", "Please enable JavaScript to view this page.", "Some talk.\nTraceback (most recent call last):\n  File \"a.py\", line 3, in f\nKeyError: 'x'\nMore talk.",
     "<p>Something went wrong</p><p>Request id 77</p>", "Seite nicht gefunden (404).", "Your text goes here.", "The talk went on. Video unavailable. We left.", "Amber player – Access denied.", "Hosted by null, with guest NaN.", "Video​ unavailable.", "TODO: write this down",
+    "In this episode {{guest_name}} explains how markets work.", "{{host}} said hello to everybody.",
 ]
 CONTENT = [
     None, "", "  ", "A talk about rivers.", "The song is called Access Denied and runs 12 bars.", "In the shell you write ${HOME} instead of the full path.", "We kept seeing a 404 error on item 7, and it took a week.", "He explained why lorem ipsum is used as dummy text.", "Curly braces like {x} delimit a set, and we counted them.",
@@ -384,6 +385,21 @@ def test_long_content_is_none():
         residue.message_kind(text)
 
 
+def test_groups_of_messages():
+    same = [["Amber player – Access denied.", "Access denied.", "VELVET CAST | access denied."], ["Lorem ipsum dolor sit amet.", "magna vitae lorem quis dolor"], ["Error 404: see http://a.example/x", "error 12: see www.b.example"], ["Dear {{a}}, hello", "dear %%b%%, hello"]]
+    for units in same:
+        assert len({residue.group_text(u) for u in units}) == 1
+    assert len({residue.group_text(units[0]) for units in same}) == len(same)
+
+
+def test_what_counts_by_itself():
+    sure = lambda t: {s for _, s in residue.text_messages(t)[0].values()}
+    # In words beside other text a message has to recur; alone, or by its form, it needn't.
+    assert sure("We met at nine.\nVideo unavailable.\nThen it rained.") == {False} and sure("Video unavailable.\n503") == {True}
+    assert sure("We met at nine.\nDear {{name}}, welcome.") == {True} and sure("We met. Lorem ipsum dolor sit amet magna vitae quis.") == {True}
+    assert residue.text_messages(None) == residue.text_messages("") == residue.text_messages("We met.") == ({}, False)
+
+
 def test_masks():
     assert residue.masked("See http://a.example/x or mail a@b.example on 2024-01-02") == "see ⟨⟩ or mail ⟨⟩ on #"
     assert residue.masked("Request id 12") == residue.masked("REQUEST ID 99")
