@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 MOST_HOT = 1000
 
 
-def lookup_join(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner", count_col: str = "n", most_hot: int = MOST_HOT) -> DataFrame:
+def lookup_join(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner", count_col: str = "n", most_hot: int = MOST_HOT, total: int | None = None) -> DataFrame:
     """``rows`` joined with ``dim``, which has one row a ``key`` and in ``count_col`` how many of ``rows`` have it.
 
     Keys that hold more than 1/most_hot of all counted rows are at most ``most_hot`` in number: their part of
     ``dim`` is broadcast and their rows never shuffle. All other keys go through an ordinary shuffle join, in
-    which no key has more than that share. ``how``: inner or left. Rows with a null key match nothing.
+    which no key has more than that share. ``how``: inner or left. Rows with a null key match nothing. ``total`` is how
+    many rows are counted, or more, where that is known already.
     """
-    total = dim.agg(F.coalesce(F.sum(count_col), F.lit(0))).first()[0]
+    total = dim.agg(F.coalesce(F.sum(count_col), F.lit(0))).first()[0] if total is None else total
     limit = max(total / most_hot, 10_000)
     values = [c for c in dim.columns if c not in (key, count_col)]
     hot = dim.filter(F.col(count_col) > limit).select(key, F.struct(*values).alias("_hot"))
