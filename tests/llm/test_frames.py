@@ -101,13 +101,24 @@ SITES = dict(HOSTS)
     ("url", "key"),
     [
         ("https://www.t.example/watch?v=AbC", "t AbC"), ("HTTP://T.EXAMPLE:80/watch?x=1&amp;v=A%62C#t=9", "t AbC"), (" s.example/AbC?si=1\n", "t AbC"), ("https://t.example/embed/abc/", "t abc"), ("https://p.example/show/A/episode/07?x=1", "p #7"), ("https://p.example/embed?show=b&ep=7", "p #7"),
-        ("https://hop.example/out?cid=3&to=https%3A%2F%2Fhop.example%2Fout%3Fto%3Dhttps%253A%252F%252Fs.example%252FAbC", "t AbC"), ("https://other.example/watch?v=AbC", None), ("https://t.example/", None), ("", None), (" ", None), (None, None), ("https://hop.example/out?cid=3", None),
+        ("https://hop.example/out?cid=3&to=https%3A%2F%2Fhop.example%2Fout%3Fto%3Dhttps%253A%252F%252Fs.example%252FAbC", "t AbC"), ("https://other.example/watch?v=AbC", None), ("https://hop.example/out?to=" + "https%3A%2F%2Fhop.example%2Fout%3Fto%3D" * 1, None), ("https://t.example/", None), ("", None), (" ", None), (None, None), ("https://hop.example/out?cid=3", None),
     ],
 )
 def test_addresses(url, key):
     assert dedup.video_key(url, SITES) == key
 
 
+def test_many_forwarders():
+    from urllib.parse import quote
+
+    url = "s.example/AbC"
+    for _ in range(9):  # each level escapes the one before
+        url = "https://hop.example/out?to=" + quote(url if "://" in url else f"https://{url}", safe="")
+    assert dedup.video_key(url, SITES) == "t AbC"
+    flat = "https://hop.example/out?to=" * 40 + "https://s.example/AbC"
+    assert dedup.video_key(flat, SITES) == "t AbC"
+
+
 def urls(n):
     return [(i, f"https://www.t.example/watch?v=code{i % 37:03d}" if i % 3 else "https://t.example/live/HOT", None, None, None) for i in range(1, n)] + [(n, None, None, None, None), (n + 1, " ", None, None, None)]
 
@@ -127,11 +138,12 @@ def brute(keys):
 def test_repeats_against_brute_force(spark):
     r = dedup.keyed(videos(spark, urls(300)), hosts(spark))
     want = brute([(x.row_id, x.key) for x in r.collect()])
-    got = dedup.repeats(r, dedup.blocks(dedup.entries(r).drop("n")))
+    all_of = lambda r: (dedup.entries(r), dedup.blocks(dedup.entries(r).drop("n")))
+    got = dedup.repeats(r, *all_of(r))
     assert sorted(map(tuple, got.collect())) == want and len(want) > 200
-    assert dedup.repeats(r.limit(0), dedup.blocks(dedup.entries(r).drop("n"))).count() == 0
+    assert dedup.repeats(r.limit(0), *all_of(r)).count() == 0
     same = dedup.keyed(videos(spark, [(1, "s.example/a", None, None, None)] * 2), hosts(spark))
-    assert dedup.repeats(same, dedup.blocks(dedup.entries(same).drop("n"))).count() == 0
+    assert dedup.repeats(same, *all_of(same)).count() == 0
 
 
 def test_batches_against_history(spark, tmp_path):
@@ -145,15 +157,54 @@ def test_batches_against_history(spark, tmp_path):
     assert sorted(found) == brute([(x.row_id, x.key) for x in r.collect()])
 
 
-def test_near_prints_are_candidates(spark):
-    prints = [0x0123456789ABCDEF, 0x0123456789ABCDEF ^ (1 << 40), 0x0123456789ABCDEF ^ 3, -5]
-    d = spark.createDataFrame([("k", p, i) for i, p in enumerate(prints)], "key string, print long, first_row_id long")
-    t = dedup.blocks(d, 1)
-    for p in prints:
-        probe = spark.createDataFrame([("k", p)], "key string, print long")
-        near = [i for i, q in enumerate(prints) if bin((p ^ q) & (2**64 - 1)).count("1") <= 1]
-        assert [r.first_row_id for r in dedup.look_up(probe, t, 1).collect()] == [min(near)]
-    assert dedup.look_up(spark.createDataFrame([("other", prints[0])], "key string, print long"), t, 1).count() == 0
+def test_batches_through_a_compacted_store(spark, tmp_path):
+    r = dedup.keyed(videos(spark, urls(200)), hosts(spark)).cache()
+    store, found = dedup.PrintStore(spark, str(tmp_path / "store"), bits=1, folder_rows=4, batches=2), []
+    for b in range(8):
+        found += [tuple(x) for x in store.accept(r.filter((F.col("row_id") > 26 * b) & (F.col("row_id") <= 26 * (b + 1))), str(b)).collect()]
+    assert sorted(found) == brute([(x.row_id, x.key) for x in r.collect()])
+    assert len(store._folders()) <= 3 and store.tables().filter("t = 0").count() >= r.select("key").distinct().count() - 1
+    dedup.PrintStore(spark, str(tmp_path / "none")).compact()
+
+
+def test_a_batch_reads_no_more_of_a_larger_history(spark, tmp_path):
+    """What a batch opens stays the same while the history grows tenfold, as the folders keep their size."""
+    site = spark.createDataFrame([("t.example", "t")], "host string, site string")
+    rows = lambda a, b: dedup.keyed(spark.range(a, b).selectExpr("id + 1 row_id", "concat('t.example/watch?v=c', id) source_url"), site)
+    read = []
+    for k, n in enumerate((4_000, 40_000)):
+        store = dedup.PrintStore(spark, str(tmp_path / str(k)), folder_rows=250)
+        store.append(rows(0, n), "0")
+        store.compact()
+        own = dedup.entries(rows(n - 1, n + 2))
+        files = lambda d: [r[0] for r in d.select(F.input_file_name()).distinct().collect()]
+        opened = files(store.tables(own))
+        read.append(sum(os.path.getsize(f.removeprefix("file://")) for f in opened))
+        assert len(files(store.tables())) > 5 * len(opened)
+        plan = store.tables(own)._jdf.queryExecution().executedPlan().toString()
+        assert " IN (" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+        assert sorted(map(tuple, store.check(rows(n - 1, n + 2).withColumn("row_id", F.col("row_id") + n), "1").collect())) == [(n, 2 * n)]
+    assert read[1] < 1.5 * read[0]
+
+
+@pytest.mark.parametrize(("bits", "pieces"), [(1, 2), (3, 4), (3, 6), (0, 1), (2, 64)])
+def test_near_prints_are_found(spark, bits, pieces):
+    """Every pair within so many bits shares the block of a table: recall against brute force is 1."""
+    rng = random.Random(bits)
+    base = [rng.getrandbits(64) for _ in range(60 if pieces < 64 else 3)]
+    flipped = [(p, p ^ sum(1 << b for b in rng.sample(range(64), k))) for p in base for k in (0, 1, 2, 3, 4)]
+    long = lambda p: p - (1 << 64) if p >= 1 << 63 else p
+    table = spark.createDataFrame([("k", long(p), i) for i, (p, _) in enumerate(flipped)], "key string, print long, first_row_id long")
+    probes = spark.createDataFrame([(f"k{i}", long(q), 1) for i, (_, q) in enumerate(flipped)], "key string, print long, n long")
+    got = dedup.look_up(probes, dedup.blocks(table, bits, pieces), bits, pieces, same=F.substring("a.key", 1, 1) == F.col("b.key"))
+    want = {f"k{i}": min(near) for i, (_, q) in enumerate(flipped) if (near := [j for j, (p, _) in enumerate(flipped) if (p ^ q).bit_count() <= bits])}
+    assert {r.key: r.first_row_id for r in got.collect()} == want
+    assert dedup.look_up(probes, dedup.blocks(table, bits, pieces), bits, pieces).count() == 0  # other texts
+
+
+def test_more_pieces_than_bits(spark):
+    with pytest.raises(ValueError):
+        dedup.blocks(spark.createDataFrame([(1,)], "print long"), 2, 2)
 
 
 def test_prints():
