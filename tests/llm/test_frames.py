@@ -187,11 +187,11 @@ def test_a_batch_reads_no_more_of_a_larger_history(spark, tmp_path):
     assert read[1] < 1.5 * read[0]
 
 
-@pytest.mark.parametrize(("bits", "pieces"), [(1, 2), (3, 4), (3, 6), (0, 1), (2, 64)])
+@pytest.mark.parametrize(("bits", "pieces"), [(1, 2), (3, 4), (3, 6), (0, 1), (1, 3)])
 def test_near_prints_are_found(spark, bits, pieces):
     """Every pair within so many bits shares the block of a table: recall against brute force is 1."""
     rng = random.Random(bits)
-    base = [rng.getrandbits(64) for _ in range(60 if pieces < 64 else 3)]
+    base = [rng.getrandbits(64) for _ in range(60)]
     flipped = [(p, p ^ sum(1 << b for b in rng.sample(range(64), k))) for p in base for k in (0, 1, 2, 3, 4)]
     long = lambda p: p - (1 << 64) if p >= 1 << 63 else p
     table = spark.createDataFrame([("k", long(p), i) for i, (p, _) in enumerate(flipped)], "key string, print long, first_row_id long")
