@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.functions.arrow import map_rows
+from talkmill.session import spread, table
 
 #: Words of a step of the sliding blocks, and steps of a block.
 STEP_WORDS, BLOCK_STEPS = 20, 6
@@ -26,20 +27,19 @@ _RANKS = [re.compile(r"\n[^\S\n]*\n\s*"), re.compile(r"\n\s*|</(?:p|div|li|tr|h\
 _BROKEN = re.compile(r"[\s.!?。！？]")
 
 
-def longest_stretch(text: str, more_than: int) -> bool:
-    """Whether more than ``more_than`` characters in a row are neither white space nor one of . ! ? 。 ！ ？"""
-    at = 0
-    while at + more_than < len(text):
-        # The last parting character of the next window shows how far a stretch can begin.
-        window = text[at : at + more_than + 1]
-        last = max((window.rfind(c) for c in ".!?。！？ \n\t\r"), default=-1)
-        if last < 0:
-            found = [m.start() for m in _BROKEN.finditer(window)]
-            if not found:
-                return True
-            last = found[-1]
-        at += last + 1
-    return False
+def in_stretch(text: str, at: int, more_than: int) -> bool:
+    """Whether a cut at ``at`` parts more than ``more_than`` characters in a row that are neither white space nor one of . ! ? 。 ！ ？"""
+    if not 0 < at < len(text) or _BROKEN.match(text, at - 1) or _BROKEN.match(text, at):
+        return False
+    low, high = max(0, at - more_than - 1), min(len(text), at + more_than + 1)
+    before = low
+    for step in range(at, low, -64):  # from the cut backwards, as a parting character is mostly near
+        found = [m.end() for m in _BROKEN.finditer(text, max(low, step - 64), step)]
+        if found:
+            before = found[-1]
+            break
+    after = _BROKEN.search(text, at, high)
+    return (after.start() if after else high) - before > more_than
 
 
 def depths(words: list[str]) -> list[float]:
@@ -133,12 +133,13 @@ def _cut(text: str, low: int, high: int, gaps: list[int], deep: list[float]) ->
     return None
 
 
-def split_texts(df: DataFrame, limit: int, overlap: int, id_col: str = "row_id", text_col: str = "transcript", with_text: bool = True) -> DataFrame:
+def split_texts(df: DataFrame, limit: int, overlap: int, id_col: str = "row_id", text_col: str = "transcript") -> DataFrame:
     """Pieces of each text: (row_id, piece_no, start, stop, cut, stretched, piece), one pass without a shuffle.
 
     ``start`` and ``stop`` are offsets in code points; ``cut`` says how the piece ends: natural, forced or end;
-    ``stretched`` whether the text has more than ``limit`` characters in a row without a boundary. Texts within the limit
-    come out whole, empty ones as one empty piece; null texts have no pieces; repeated rows are split each.
+    ``stretched`` whether it ends within more than ``limit`` characters in a row without a parting character, which no
+    piece can hold. Texts within the limit come out whole, empty ones as one empty piece; null texts have no pieces;
+    repeated rows are split each.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -148,15 +149,28 @@ def split_texts(df: DataFrame, limit: int, overlap: int, id_col: str = "row_id",
             if t is None:
                 continue
             pieces = cuts(t, limit, overlap)
-            long = len(pieces) > 1 and longest_stretch(t, limit)
             for k, (a, b, natural) in enumerate(pieces):
-                for col, v in zip(out, (i, k, a, b, "end" if k + 1 == len(pieces) else "natural" if natural else "forced", long, t[a:b] if with_text else None)):
+                for col, v in zip(out, (i, k, a, b, "end" if k + 1 == len(pieces) else "natural" if natural else "forced", in_stretch(t, b, limit), t[a:b])):
                     col.append(v)
         return out
 
     return map_rows(df.select(id_col, text_col), f"`{id_col}` {kind}, piece_no int, start int, stop int, cut string, stretched boolean, piece string", fn)
 
 
+def cut_kinds(df: DataFrame, limit: int, overlap: int, id_col: str = "row_id", text_col: str = "transcript") -> DataFrame:
+    """(row_id, cut) of each text longer than ``limit``, a row a text: forced if one of its cuts parts an overlong stretch, else natural.
+
+    Of a stretch longer than the limit some cut has to fall inside, whatever the pieces before it, so the cuts tell.
+    A cut that finds no boundary within what the overlap leaves of a piece, in a shorter stretch, is no reason.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def fn(_: None, ids: list, texts: list) -> list:
+        return [ids, ["forced" if any(in_stretch(t, b, limit) for _, b, _ in cuts(t, limit, overlap)) else "natural" for t in texts]]
+
+    return map_rows(df.select(id_col, text_col).filter(F.length(text_col) > limit), f"`{id_col}` {kind}, cut string", fn)
+
+
 def settings(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     rows = {r["setting"]: r["chars"] for r in spark.read.parquet(f"{sf_dir}/split_settings.parquet").filter(F.col("setting").isin("max_chars", "overlap_chars")).collect()}
     return rows["max_chars"], rows["overlap_chars"]
@@ -164,13 +178,9 @@ def settings(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every transcript, with its text."""
-    limit, overlap = settings(spark, sf_dir)
-    return split_texts(spark.read.parquet(f"{sf_dir}/videos.parquet"), limit, overlap).drop("stretched")
+    return split_texts(spread(table(spark, sf_dir, "videos").select("row_id", "transcript")), *settings(spark, sf_dir)).drop("stretched")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The oversized transcripts and how they are cut, from their first pieces."""
-    limit, overlap = settings(spark, sf_dir)
-    videos = spark.read.parquet(f"{sf_dir}/videos.parquet").select("row_id", "transcript").filter(F.length("transcript") > limit)
-    first = split_texts(videos, limit, overlap, with_text=False).filter("piece_no = 0")
-    return first.select("row_id", F.when(F.col("stretched"), "forced").otherwise("natural").alias("cut"))
+    """The oversized transcripts and how their pieces are cut."""
+    return cut_kinds(spread(table(spark, sf_dir, "videos").select("row_id", "transcript")), *settings(spark, sf_dir))

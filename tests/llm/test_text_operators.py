@@ -74,9 +74,16 @@ def test_pieces(text, limit, part):
     for a, b, natural in got[:-1]:
         if natural:
             assert text[b - 1] in " .!\n。" or text[b : b + 1] in " \n"
-    assert split.longest_stretch(text, limit) == bool(re.search(r"[^\s.!?。！？]{%d}" % (limit + 1), text))
-    if split.longest_stretch(text, limit):
-        assert any(not n for *_, n in got)
+    # The pieces tell whether the text has an overlong stretch.
+    assert any(split.in_stretch(text, b, limit) for _, b, _ in got) == bool(re.search(r"[^\s.!?。！？]{%d}" % (limit + 1), text))
+
+
+@pytest.mark.parametrize(("text", "forced"), [("word " * 30 + "x" * 25 + " end" * 9, False), ("word " * 30 + "x" * 26 + " end" * 9, True), ("<p>ab</p>" * 30, True), ("<p>ab</p> " * 30, False), ("。" * 60, False), ("x" * 26, True), ("\u2003".join(["x" * 24] * 9), False), ("word " * 30 + "x" * 22 + ". end" * 9, False)])
+def test_how_texts_are_cut(text, forced):
+    # A stretch within the limit but longer than what the overlap leaves of a piece is cut inside, and natural all the same.
+    pieces = check_pieces(text, 25, 6)
+    assert any(split.in_stretch(text, b, 25) for _, b, _ in pieces) == forced
+    assert not any(split.in_stretch(text, b, 25) for b in (0, len(text)))
 
 
 def test_cut_at_the_change_of_topic():
