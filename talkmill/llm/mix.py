@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talkmill.llm.tokenize import count_tokens
-from talkmill.session import cut
+from talkmill.session import cut, spread, table
 
 #: Blocks a whole mix is scheduled in; the schedule has this many rows and one more a source, whatever the data.
 BLOCKS = 4096
+#: Sources that targets may be given for.
+MOST_SOURCES = 100_000
 #: Rows of one source that are put in order by one task.
 ORDER_ROWS = 50_000
 
@@ -56,12 +58,27 @@ def plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return t.select("spelled", "source", "target_share", "max_repeats", "n_docs", "tokens", "whole", F.least(most, F.floor(wish)).alias("quota"), (most < wish).alias("short"))
 
 
-def pfair(quotas: dict[str, int], blocks: int = BLOCKS) -> tuple[int, list[tuple[str, int, int]]]:
-    """(tokens a block, rows (source, k, slot)) of the earliest-deadline-first schedule; ties go by source name."""
-    quotas = {s: q for s, q in quotas.items() if q > 0}
+def planned(docs: DataFrame, targets: DataFrame) -> list:
+    """The rows of :func:`plan`, which are scheduled in one place; more than MOST_SOURCES are an error."""
+    rows = plan(docs, targets).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"there are targets for more than {MOST_SOURCES} sources")
+    return rows
+
+
+def pfair(quotas: dict[str, int], blocks: int = BLOCKS, supply: dict[str, int] | None = None) -> tuple[int, list[tuple[str, int, int]], list[str]]:
+    """(tokens a block, rows (source, k, slot), sources that miss a deadline) of the earliest-deadline-first schedule.
+
+    Ties go by source name. ``supply`` has the tokens that each source can give, its quota if it isn't named: a
+    source without the tokens of its block, of which the last may be a part, misses the deadline of it and of all after
+    it, and its slots go to the others.
+    """
+    supply = supply or {}
+    missed = sorted(s for s, q in quotas.items() if q > 0 and supply.get(s, q) <= 0)
+    quotas = {s: q for s, q in quotas.items() if q > 0 and s not in missed}
     whole = sum(quotas.values())
     if not whole:
-        return 1, []
+        return 1, [], missed
     size = max(1, math.ceil(whole / blocks))
     total = {s: math.ceil(q / size) for s, q in quotas.items()}
     weight = {s: Fraction(n, sum(total.values())) for s, n in total.items()}
@@ -74,6 +91,9 @@ def pfair(quotas: dict[str, int], blocks: int = BLOCKS) -> tuple[int, list[tuple
     while waiting or ready:
         while waiting and waiting[0][0] <= slot:
             _, s, k = heapq.heappop(waiting)
+            if min((k + 1) * size, quotas[s]) > supply.get(s, quotas[s]):
+                missed.append(s)
+                continue
             heapq.heappush(ready, (due(s, k), s, k))
         if ready:
             _, s, k = heapq.heappop(ready)
@@ -81,7 +101,18 @@ def pfair(quotas: dict[str, int], blocks: int = BLOCKS) -> tuple[int, list[tuple
             if k + 1 < total[s]:
                 heapq.heappush(waiting, (max(release(s, k + 1), slot + 1), s, k + 1))
         slot += 1
-    return size, rows
+    return size, rows, sorted(missed)
+
+
+def unreachable(planned: list, blocks: int = BLOCKS) -> list[str]:
+    """The sources of a plan, as spelled there, that the schedule by target weights finds short of tokens for one of their blocks.
+
+    Counted in parts of a token, as a target needn't be a whole number of them.
+    """
+    parts = {r["source"]: Fraction(str(r["target_share"])) * r["whole"] for r in planned}
+    unit = math.lcm(1, *(f.denominator for f in parts.values()))
+    _, _, missed = pfair({s: int(f * unit) for s, f in parts.items()}, blocks, {r["source"]: r["tokens"] * r["max_repeats"] * unit for r in planned})
+    return [r["spelled"] for r in planned if r["source"] in missed]
 
 
 def _laid_out(docs: DataFrame, n_docs: int) -> DataFrame:
@@ -107,8 +138,8 @@ def mix(documents: DataFrame, targets: DataFrame, blocks: int = BLOCKS, text_col
     """
     spark = documents.sparkSession
     docs = cut(sized(documents, text_col))
-    p = plan(docs, targets).collect()  # a row a target
-    size, schedule = pfair({r["source"]: r["quota"] for r in p}, blocks)
+    p = planned(docs, targets)
+    size, schedule, _ = pfair({r["source"]: r["quota"] for r in p}, blocks)
     quotas = spark.createDataFrame([(r["source"], r["quota"], r["tokens"]) for r in p], "source string, quota long, tokens long")
     slots = spark.createDataFrame(schedule, "source string, block long, slot long")
     d = _laid_out(docs.join(F.broadcast(quotas.filter("quota > 0").select("source")), "source", "left_semi").filter("n_tokens > 0"), max([0, *(r["n_docs"] for r in p)]))
@@ -132,12 +163,13 @@ def shares(documents: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> Da
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources whose blocks run out when all are scheduled by their target weights over the tokens of all documents."""
     documents, targets = _tables(spark, sf_dir)
-    return plan(sized(documents), targets).filter("short").select(F.col("spelled").alias("source"))
+    return spark.createDataFrame([(s,) for s in unreachable(planned(sized(documents), targets))], "source string")
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,11 @@ import json
 import os
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from talkmill.llm import dedup, mix, pages, repetition, residue, sample, split, subjects, tokenize, turns
@@ -57,7 +60,8 @@ def test_quotas(spark):
 
 def test_schedule_keeps_the_shares():
     quotas = {"a": 5000, "b": 2500, "c": 2400, "d": 100, "e": 0}
-    size, schedule = mix.pfair(quotas, blocks=200)
+    size, schedule, missed = mix.pfair(quotas, blocks=200)
+    assert missed == []
     assert len(schedule) == sum(-(-q // size) for q in quotas.values()) and len({s for _, _, s in schedule}) == len(schedule)
     n = {s: -(-q // size) for s, q in quotas.items() if q}
     done = Counter()
@@ -65,7 +69,23 @@ def test_schedule_keeps_the_shares():
         assert k == done[s]
         done[s] += 1
         assert all(abs(done[x] - (at + 1) * n[x] / sum(n.values())) < 1 + 1e-9 for x in n)
-    assert mix.pfair({}) == (1, []) and mix.pfair({"a": 0}) == (1, [])
+    assert mix.pfair({}) == (1, [], []) and mix.pfair({"a": 0}) == (1, [], [])
+
+
+@settings(max_examples=80, deadline=None)
+@given(rows=st.lists(st.tuples(st.integers(0, 40), st.integers(1, 4), st.integers(0, 10)), min_size=1, max_size=6), blocks=st.sampled_from([3, 17, 4096]))
+def test_missed_deadlines_are_the_short_sources(rows, blocks):
+    """By the schedule, and by comparing what there is with the target, to a part of a token."""
+    whole, all_of = sum(t for t, _, _ in rows), max(1, sum(w for _, _, w in rows))
+    plan = [{"source": f"s{i}", "spelled": f"S{i}", "tokens": t, "max_repeats": m, "target_share": round(w / all_of, 3), "whole": whole} for i, (t, m, w) in enumerate(rows)]
+    want = [r["spelled"] for r in plan if r["tokens"] * r["max_repeats"] < Fraction(str(r["target_share"])) * whole]
+    assert mix.unreachable(plan, blocks) == want
+
+
+def test_slots_of_a_source_that_runs_out_go_to_the_others():
+    size, schedule, missed = mix.pfair({"a": 100, "b": 100}, 20, {"a": 35})
+    assert size == 10 and missed == ["a"] and [k for s, k, _ in schedule if s == "a"] == [0, 1, 2] and [k for s, k, _ in schedule if s == "b"] == list(range(10))
+    assert mix.pfair({"a": 95, "b": 100}, 20, {"a": 95})[2] == [] and mix.pfair({"a": 95, "b": 100}, 20, {"a": 94})[2] == ["a"]
 
 
 def test_mix(spark):
@@ -85,6 +105,7 @@ def test_mix(spark):
     for r in order[: len(order) // 2]:
         part[r.source] += r.n_tokens
     assert abs(part["a"] / sum(part.values()) - 510 / 910) < 0.05
+    assert mix.unreachable(mix.planned(mix.sized(d), t)) == ["b"]
     again = sorted(tuple(r) for r in mix.mix(d.repartition(7), t, blocks=64).collect())
     assert again == sorted(tuple(r) for r in got)
     assert {r.source: r.most_uses for r in mix.shares(d, t, 64).collect()} == {"a": 1, "b": 4}
