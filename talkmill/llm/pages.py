@@ -10,6 +10,7 @@ word on a part of the pages of a site, under different titles, as notices do, we
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -21,12 +22,19 @@ from pyspark.sql import functions as F
 
 from talkmill.functions.arrow import map_rows
 from talkmill.operators.skew import lookup_join
-from talkmill.session import cut
+from talkmill.session import cut, spread, table
 
-#: Labelled pages that the weights are fitted on; all others are only read. By hash of the row id.
+#: Labelled pages that the weights are fitted on; all others are only read. Those with the smallest hashes of the text.
 LABELLED_PAGES = 1200
 #: Transcripts in records, which are speech and no pages, that lend their lines as main body in all languages.
 SPEECH_ROWS = 600
+#: Rows of a table, pages or not, that the samples are drawn from; and lines that one row lends, and their characters, at most.
+#: So what the driver gets for the fit has a bound in rows and bytes, however many and long the pages are.
+DRAWN_ROWS, LENT_LINES, LENT_CHARS = 20_000, 200, 1000
+#: With fewer labelled pages than this the seed lines are used as well.
+SEED_BELOW = 50
+#: Notices that are sent to every task; more are joined back by their hashes.
+MOST_NOTICES = 1_000_000
 #: A line of at least so many words is a notice if clearly more than this part of the titles of a site, or of all, have it:
 #: if at least so many do, and the logarithm of how much likelier their number is at its own part than at this is so large.
 #: That is evidence only; what a site's part is doesn't change with the size of the table.
@@ -42,12 +50,22 @@ TAG, LINK = -0.02, -0.3
 #: Text without markup is a page if at least so many lines score below SURE.
 PAGE_LINES, SURE = 2, -2.0
 
-# A few labelled lines that hold where there are hardly any labelled pages.
-SEED_BOILERPLATE = """Home|Menu|Search|About us|Contact|Sign up|Log in|Newsletter|Archive|Settings|Episodes|Live|Explore|Careers|Store|Downloads|Topics|Schedule|Help centre|Press room|My library|Shows|Hosts|Charts|Donate|Skip to main content|Back to top|Share this page: mail · copy link · print
-Terms of use | Privacy | Imprint|© 2020 Example1. All rights reserved.|We use cookies and similar tools to measure visits.|By staying on this site you agree to our use of cookies.|Cookies help us deliver our services. Got it!|Accept | Reject | More options|Advertisement|Sponsored|Story continues below this ad|Trending now|Related episodes|Up next|You may also like|More from this show|Most played this week
-12 likes · 3 replies · share|4.2K subscribers    Subscribe|Play ▶ 0:00 / 12:30  1x  ⤓|‹ Prev 1 2 3 Next ›|#topic #other|Tags: one, two|Home › Archive › Title|Report a problem with this page|Download our app|Follow us wherever you listen|Turn off autoplay|Accessibility statement|Change language: English, Español, Deutsch|Rate this transcript: ★★★★★ (12 votes)|Transcript · Chapters · Reviews (3)
-Inicio|Buscar|Contacto|Iniciar sesión|Boletín|Tienda|Ayuda|Archivo|En directo|Temas|Programas|Volver arriba|Página 2 de 9|Aviso legal | Privacidad | Contacto|Todos los derechos reservados.|También te puede interesar|Síguenos en todas las plataformas|Startseite|Suche|Kontakt|Anmelden|Laden|Hilfe|Themen|Sendungen|Archiv|Nach oben|Seite 2 von 9|Impressum | Datenschutz | AGB|Alle Rechte vorbehalten.|Das könnte Sie auch interessieren|Warenkorb (2)|Usamos cookies para medir las visitas. Aceptar o rechazar.|Su privacidad es importante para nosotros y nuestros socios.|Wir und unsere Partner verarbeiten Ihre Daten. Einstellungen ändern.|Diese Seite verwendet Cookies. Annehmen oder ablehnen.|Newsletter bestellen.|Suscríbete al boletín."""
-SEED_MAIN = """We talked about it for a long time, and nobody had an answer.|She said that the first one was better.|Why did they leave so early?|Exactly.|No.|In the end it was all for nothing.|He read the page aloud, and the guests laughed.|I think it is time to go home.|Nobody questioned the results until last spring.|The sign on the door asked us to accept the rules, which took a while."""
+# A few labelled lines, parted by ¦, that hold where there are hardly any labelled pages.
+SEED_BOILERPLATE = (
+    "Home¦Menu¦Search¦About us¦Contact¦Sign up¦Log in¦Newsletter¦Archive¦Settings¦Episodes¦Live¦"
+    "Explore¦Careers¦Store¦Downloads¦Topics¦Schedule¦Help centre¦Press room¦My library¦Shows¦Hosts¦Charts¦"
+    "Donate¦Skip to main content¦Back to top¦Share this page: mail · copy link · print¦Terms of use | Privacy | Imprint¦© 2020 Example1. All rights reserved.¦We use cookies and similar tools to measure visits.¦By staying on this site you agree to our use of cookies.¦Cookies help us deliver our services. Got it!¦Accept | Reject | More options¦Advertisement¦Sponsored¦"
+    "Story continues below this ad¦Trending now¦Related episodes¦Up next¦You may also like¦More from this show¦Most played this week¦12 likes · 3 replies · share¦4.2K subscribers    Subscribe¦Play ▶ 0:00 / 12:30  1x  ⤓¦‹ Prev 1 2 3 Next ›¦#topic #other¦"
+    "Tags: one, two¦Home › Archive › Title¦Report a problem with this page¦Download our app¦Follow us wherever you listen¦Turn off autoplay¦Accessibility statement¦Change language: English, Español, Deutsch¦Rate this transcript: ★★★★★ (12 votes)¦Transcript · Chapters · Reviews (3)¦Inicio¦Buscar¦"
+    "Contacto¦Iniciar sesión¦Boletín¦Tienda¦Ayuda¦Archivo¦En directo¦Temas¦Programas¦Volver arriba¦Página 2 de 9¦Aviso legal | Privacidad | Contacto¦"
+    "Todos los derechos reservados.¦También te puede interesar¦Síguenos en todas las plataformas¦Startseite¦Suche¦Kontakt¦Anmelden¦Laden¦Hilfe¦Themen¦Sendungen¦Archiv¦"
+    "Nach oben¦Seite 2 von 9¦Impressum | Datenschutz | AGB¦Alle Rechte vorbehalten.¦Das könnte Sie auch interessieren¦Warenkorb (2)¦Usamos cookies para medir las visitas. Aceptar o rechazar.¦Su privacidad es importante para nosotros y nuestros socios.¦Wir und unsere Partner verarbeiten Ihre Daten. Einstellungen ändern.¦Diese Seite verwendet Cookies. Annehmen oder ablehnen.¦Newsletter bestellen.¦Suscríbete al boletín.¦"
+)
+SEED_MAIN = (
+    "We talked about it for a long time, and nobody had an answer.¦She said that the first one was better.¦Why did they leave so early?¦Exactly.¦"
+    "No.¦In the end it was all for nothing.¦He read the page aloud, and the guests laughed.¦I think it is time to go home.¦"
+    "Nobody questioned the results until last spring.¦The sign on the door asked us to accept the rules, which took a while.¦"
+)
 
 _MARKUP = re.compile(r"\s*(?:<!doctype\b|<!--|</?(?:html|head|body|div|nav|main|section|article|header|table|tr|td|p|ul|ol|li|h\d|span|a|title|meta|aside|footer|center|font|br|script|style)\b)", re.I)
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
@@ -133,10 +151,12 @@ def features(text: str) -> list[str]:
     return [*words, *[f"{a} {b}" for a, b in zip(edges, edges[1:])], f"=e{end}", f"=n{size}", f"=n{size}{end}"]
 
 
+def seed_lines() -> list[tuple[str, bool]]:
+    return [(t, main) for text, main in ((SEED_BOILERPLATE, False), (SEED_MAIN, True)) for t in text.split("¦") if t]
+
+
 def fit(lines: list[tuple[str, bool]]) -> dict[str, float]:
     """Weights of a logistic regression of main body (True) against boilerplate; the bias has the empty name."""
-    seeds = [(t, False) for row in SEED_BOILERPLATE.split("\n") for t in row.split("|") if t.strip()] + [(t, True) for t in SEED_MAIN.split("|")]
-    lines = lines + seeds
     names: dict[str, int] = {"": 0}
     index, starts, y = [], [], []
     for text, main in lines:
@@ -210,25 +230,37 @@ def line_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(same_title(text)) - (1 << 63)
 
 
-def boilerplate(text: str | None, title: str | None, weights: dict[str, float], notices: frozenset[int] = frozenset()) -> list[int]:
-    """Numbers of the boilerplate lines of a page; none for what is no page. ``notices`` has hashes of lines."""
+def page_lines(text: str | None, weights: dict[str, float], notices: frozenset[int] = frozenset()) -> tuple[list[Line], list[float]] | None:
+    """The lines of a page and what each scores by itself, or None for what is no page. ``notices`` has hashes of lines."""
     if not text or not text.strip():
-        return []
+        return None
     markup = is_markup(text)
     if not markup and (_NOT_PAGES.match(text) or "\n" not in text.strip()):
-        return []
+        return None
     lines = shown(text)
     own = [line_score(x, weights) for x in lines]
     if not markup and sum(s < SURE for s in own) < PAGE_LINES:
-        return []
+        return None
     if not markup:
         labels = [m[1].casefold().strip() if (m := _LABELLED.match(x.text)) else "" for x in lines]
         often = {k for k, n in Counter(labels).items() if k and n > 1}
         if len(often) > 1 and sum(k in often for k, s in zip(labels, own) if s > 0) > TALK * sum(s > 0 for s in own):
-            return []
+            return None
     if notices:
         own = [min(s, NOTICE) if x.text.count(" ") + 1 >= NOTICE_WORDS and line_hash(x.text) in notices else s for x, s in zip(lines, own)]
-    if (k := heading(lines, own, title, _TITLE.findall(text) if markup else [])) is not None:
+    return lines, own
+
+
+def heading_of(text: str, title: str | None, lines: list[Line], own: list[float]) -> int | None:
+    return heading(lines, own, title, _TITLE.findall(text) if is_markup(text) else [])
+
+
+def boilerplate(text: str | None, title: str | None, weights: dict[str, float], notices: frozenset[int] = frozenset()) -> list[int]:
+    """Numbers of the boilerplate lines of a page; none for what is no page. ``notices`` has hashes of lines."""
+    if (page := page_lines(text, weights, notices)) is None:
+        return []
+    lines, own = page
+    if (k := heading_of(text, title, lines, own)) is not None:
         own[k] = 6.0
     keep = [False] * len(lines)
     for a, b in maximal_regions(own):
@@ -244,39 +276,67 @@ def body(text: str | None, title: str | None, weights: dict[str, float], notices
     return "\n".join(x.text for x in shown(text) if x.no not in drop) if drop or is_markup(text) else text
 
 
-def labelled_lines(videos: DataFrame, pages: int = LABELLED_PAGES, speech: int = SPEECH_ROWS) -> list[tuple[str, bool]]:
-    """Lines of at most ``pages`` pages that mark their own parts, with whether they are main body, and of ``speech`` transcripts in records.
+def lent(text: str, markup: bool) -> str | None:
+    """What a row lends to the fit, as JSON: (text, tags, links, main body or not) of its lines, or None if it doesn't say what is main body."""
+    if markup:
+        titles = {same_title(x) for x in _TITLE.findall(text)}
+        # A heading is told by the title, so it says nothing about words.
+        found = [(x.text, x.tags, x.links, 2 if x.main and same_title(x.text) in titles else int(x.main)) for x in shown(text, True) if x.main is not None]
+    else:
+        found = [(" ".join(html.unescape(x).split()), 0, 0, 1) for x in re.findall(r'"(?:text|content|caption|snippet|utf8)": ?"((?:[^"\\]|\\.)+)"', text) if "\\u" not in x]
+    step = -(-len(found) // LENT_LINES) or 1
+    return json.dumps([x for x in found[::step] if len(x[0]) <= LENT_CHARS], ensure_ascii=False) if found else None
+
 
-    The samples are those with the smallest hashes, each text once; their bounds are the parameters. Headings are
-    left out, as they are told by the title. The lines go to the driver, which fits the weights.
+def read_lines(videos: DataFrame, drawn: int = DRAWN_ROWS) -> DataFrame:
+    """What the pages among ``videos`` have in common and lend to the fit, in one pass: (page, site, title, line, copies, kind, lent).
+
+    A row for each line of at least NOTICE_WORDS words, by hash, with line 0 for the page itself, and for each row drawn a row
+    with what it lends and its kind, page or speech. The draw is by a limit of the hash of the text, set by the number
+    of rows, so that the same texts come whatever the partitions. Nothing but hashes and the drawn lines is kept.
     """
 
-    def fn(_: None, texts: list) -> list:
-        out: list[list] = [[], []]
-        for t in texts:
-            if is_markup(t):
-                titles = {same_title(x) for x in _TITLE.findall(t)}
-                found = [(x.text, x.main) for x in shown(t, True) if x.main is not None and not (x.main and same_title(x.text) in titles)]
-            else:
-                found = [(" ".join(html.unescape(x).split()), True) for x in re.findall(r'"(?:text|content|caption|snippet|utf8)": ?"((?:[^"\\]|\\.)+)"', t) if "\\u" not in x]
-            for text, main in found:
-                out[0].append(text)
-                out[1].append(main)
+    def fn(_: None, pages: list, sites: list, texts: list, titles: list, several: list, drawn: list) -> list:
+        out: list[list] = [[] for _ in range(6)]
+        for p, s, t, n, lines, draw in zip(pages, sites, texts, titles, several, drawn):
+            markup = is_markup(t)
+            found: dict[int, tuple[str | None, str | None]] = {}
+            if lines and (markup or not _NOT_PAGES.match(t)):
+                found = dict.fromkeys({line_hash(x.text) for x in shown(t) if x.text.count(" ") + 1 >= NOTICE_WORDS} | {0}, (None, None))
+            if draw and (gives := lent(t, markup)):
+                found[-1] = ("page" if markup else "speech", gives)
+            name = line_hash(re.sub(r"\s*[\[(][^\[\]()]*[\])]\s*$", "", n or ""))
+            for line, (kind, gives) in found.items():
+                for col, v in zip(out, (p, s, name, line, kind, gives)):
+                    col.append(v)
         return out
 
-    own = videos.select("transcript").filter(F.col("transcript").rlike(r"(?i)^\s*<[a-z!]")).filter(F.col("transcript").rlike(r"(?i)<main\b"))
-    said = videos.select("transcript").filter(F.col("transcript").rlike(r'^\s*\[\s*\{') & ~F.col("transcript").contains('"speaker"'))
-    rows = []
-    for df, most in ((own, pages), (said, speech)):
-        hashed = df.select(F.xxhash64("transcript").alias("h"))
-        ids = hashed.distinct().orderBy("h").limit(most)
-        chosen = df.withColumn("h", F.xxhash64("transcript")).join(F.broadcast(ids), "h").groupBy("h").agg(F.min("transcript").alias("transcript")).select("transcript")
-        rows += [(r.text, r.main) for r in map_rows(chosen, "text string, main boolean", fn).collect()]
-    return rows
+    n = videos.count()  # of a Parquet table its footers tell
+    below = lambda most: F.col("page") < -(1 << 63) + int((1 << 64) * min(1.0, most / max(1, n))) - 1
+    t = F.col("transcript")
+    rows = videos.select("source_url", "transcript", "title").filter(t.isNotNull()).withColumn("page", F.xxhash64("transcript"))
+    draw = (t.rlike(r"(?i)^\s*<[a-z!]") & t.rlike(r"(?i)<main\b") & below(drawn)) | (t.rlike(r"^\s*\[\s*\{") & ~t.contains('"speaker"') & below(drawn / 5))
+    rows = rows.select("page", site(), "transcript", "title", t.contains("\n").alias("several"), draw.alias("drawn")).filter("several or drawn")
+    found = map_rows(rows, "page long, site string, title long, line long, kind string, lent string", fn)
+    return cut(found.groupBy("page", "site", "title", "line").agg(F.count(F.lit(1)).alias("copies"), F.min("kind").alias("kind"), F.min("lent").alias("lent")))
+
+
+def site() -> Column:
+    return F.lower(F.regexp_extract(F.coalesce("source_url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/:?#\s]+)", 1)).alias("site")
 
 
-def page_weights(videos: DataFrame, pages: int = LABELLED_PAGES) -> dict[str, float]:
-    return fit(sorted(labelled_lines(videos, pages)))
+def lent_pages(read: DataFrame, pages: int = LABELLED_PAGES, speech: int = SPEECH_ROWS) -> list[tuple[str, list]]:
+    """(kind, lines) of at most so many of the drawn pages that mark their own parts and of transcripts in records; each text once, by hash."""
+    given = read.filter("lent is not null").groupBy("page", "kind").agg(F.min("lent").alias("lent"))
+    rows = [r for kind, most in (("page", pages), ("speech", speech)) for r in given.filter(F.col("kind") == kind).orderBy("page").limit(most).collect()]
+    return [(r.kind, json.loads(r.lent)) for r in sorted(rows, key=lambda r: r.page)]
+
+
+def fit_pages(given: list[tuple[str, list]], seed_below: int = SEED_BELOW) -> dict[str, float]:
+    """Weights from what was lent; the seed lines are added where hardly any page marks its parts."""
+    lines = sorted({(i, t, main == 1) for i, (_, page) in enumerate(given) for t, _, _, main in page if main != 2}) if given else []
+    few = sum(kind == "page" for kind, _ in given) < seed_below
+    return fit([(t, main) for _, t, main in lines] + (seed_lines() if few else []))
 
 
 def recurring_lines(lines: DataFrame, part: float = NOTICE_PART, least: int = NOTICE_TITLES, evidence: float = NOTICE_EVIDENCE) -> DataFrame:
@@ -293,73 +353,80 @@ def recurring_lines(lines: DataFrame, part: float = NOTICE_PART, least: int = NO
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).join(notices, "line", "left_semi")
 
 
-def with_notices(videos: DataFrame) -> DataFrame:
-    """``videos`` with ``notices``: the hashes of the notices that each page has, null for none. Every page is read.
+@dataclass
+class PageModel:
+    """What pages are read by: weights of words, the pages lent to the fit, and the hashes of notices, None where they are too many to hand out."""
 
-    What recurs is joined back by the hash of the line, then of the page, so nothing that grows with the table goes to
-    the driver. Rows without a line feed aren't shuffled.
-    """
+    weights: dict[str, float]
+    given: list[tuple[str, list]]
+    notices: frozenset[int] | None
+    read: DataFrame | None = None  # the lines, where notices have to be joined
+    recurring: DataFrame | None = None
+
+    def task(self) -> tuple[dict[str, float], frozenset[int]]:
+        return self.weights, self.notices or frozenset()
 
-    def fn(_: None, pages: list, sites: list, texts: list, titles: list) -> list:
-        out: list[list] = [[], [], [], []]
-        for p, s, t, n in zip(pages, sites, texts, titles):
-            if not is_markup(t) and _NOT_PAGES.match(t):
-                continue
-            name = line_hash(re.sub(r"\s*[\[(][^\[\]()]*[\])]\s*$", "", n or ""))
-            found = {line_hash(x.text) for x in shown(t) if x.text.count(" ") + 1 >= NOTICE_WORDS} | {0}
-            for col, v in zip(out, ([p] * len(found), [s] * len(found), [name] * len(found), found)):
-                col += v
-        return out
 
-    videos = videos.select("row_id", "source_url", "transcript", "title")
+def page_model(videos: DataFrame, pages: int = LABELLED_PAGES, most: int = MOST_NOTICES) -> PageModel:
+    """The model of the pages of ``videos``, from one pass over them."""
+    read = read_lines(videos)
+    given = lent_pages(read, pages)
+    recurring = cut(recurring_lines(read.filter("kind is null").drop("kind", "lent")))
+    notices = [r.line for r in recurring.select("line").limit(most + 1).collect()]
+    return PageModel(fit_pages(given), given, frozenset(notices) if len(notices) <= most else None, read, recurring)
+
+
+def noticed(videos: DataFrame, model: PageModel) -> DataFrame:
+    """``videos`` with ``notices``: null where the model has them all, else the hashes of the notices of each page.
+
+    Then what recurs is joined back by the hash of the line and of the page; rows without a line feed aren't shuffled.
+    """
+    if model.notices is not None:
+        return videos.withColumn("notices", F.lit(None).cast("array<bigint>"))
     several = F.coalesce(F.col("transcript").contains("\n"), F.lit(False))
-    site = F.lower(F.regexp_extract(F.coalesce("source_url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/:?#\s]+)", 1)).alias("site")
-    pages = videos.filter(several).withColumn("page", F.xxhash64("transcript"))
-    rows = map_rows(pages.select("page", site, "transcript", "title"), "page long, site string, title long, line long", fn)
-    lines = cut(rows.groupBy("page", "site", "title", "line").agg(F.count(F.lit(1)).alias("copies")))
-    hits = lookup_join(lines.select("page", "line", "copies"), cut(recurring_lines(lines).withColumn("is", F.lit(True))), "line")
+    hits = lookup_join(model.read.filter("kind is null").select("page", "line", "copies"), model.recurring.withColumn("is", F.lit(True)), "line")
     hits = hits.groupBy("page", "line").agg(F.sum("copies").alias("n")).groupBy("page").agg(F.collect_set("line").alias("notices"), F.max("n").alias("n"))
-    found = lookup_join(pages, cut(hits), "page", "left").drop("page")
+    found = lookup_join(videos.filter(several).withColumn("page", F.xxhash64("transcript")), cut(hits), "page", "left").drop("page")
     return found.unionByName(videos.filter(~several).withColumn("notices", F.lit(None).cast("array<bigint>")))
 
 
-def boilerplate_lines(videos: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(row_id, line_no) of every boilerplate line of every page; one pass without a shuffle.
+def boilerplate_lines(videos: DataFrame, model: PageModel) -> DataFrame:
+    """(row_id, line_no) of every boilerplate line of every page; one pass, without a shuffle unless there are more than MOST_NOTICES notices.
 
-    Null, blank and empty transcripts and those that are no pages have none; copies of a page have theirs each.
-    ``weights`` has a row for each word of at most LABELLED_PAGES pages, so its size doesn't grow with the data.
-    ``videos`` may have the notices of ``with_notices``.
+    Null, blank and empty transcripts and those that are no pages have none; copies of a page have theirs each. The
+    model has a weight for each word of at most LABELLED_PAGES pages, so its size doesn't grow with the data.
     """
-    shared = videos.sparkSession.sparkContext.broadcast(weights)
+    shared = videos.sparkSession.sparkContext.broadcast(model.task())
 
-    def fn(w: dict[str, float], ids: list, texts: list, titles: list, notices: list) -> list:
+    def fn(state: tuple, ids: list, texts: list, titles: list, notices: list) -> list:
         out: list[list] = [[], []]
         for i, t, title, own in zip(ids, texts, titles, notices):
-            for no in boilerplate(t, title, w, frozenset(own or ())):
+            for no in boilerplate(t, title, state[0], frozenset(own) if own else state[1]):
                 out[0].append(i)
                 out[1].append(no)
         return out
 
     # What has no line feed shows one line at most, its body.
-    rows = videos.filter(F.col("transcript").contains("\n") | F.col("transcript").contains("<"))
-    return map_rows(rows.select("row_id", "transcript", "title", noticed(videos)), "row_id long, line_no int", fn, lambda: shared.value)
+    rows = videos.select("row_id", "transcript", "title").filter(F.col("transcript").contains("\n") | F.col("transcript").contains("<"))
+    return map_rows(noticed(rows, model), "row_id long, line_no int", fn, lambda: shared.value)
 
 
-def noticed(videos: DataFrame) -> Column:
-    return F.col("notices") if "notices" in videos.columns else F.lit(None).cast("array<bigint>").alias("notices")
+def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "videos").select("row_id", "source_url", "transcript", "title"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    videos = spark.read.parquet(f"{sf_dir}/videos.parquet")
-    return boilerplate_lines(with_notices(videos), page_weights(videos))
+    videos = page_table(spark, sf_dir)
+    return boilerplate_lines(videos, page_model(videos))
 
 
 def p3_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, body): the transcripts with only the main body of those that are pages."""
-    videos = spark.read.parquet(f"{sf_dir}/videos.parquet")
-    shared = spark.sparkContext.broadcast(page_weights(videos))
+    videos = page_table(spark, sf_dir)
+    model = page_model(videos)
+    shared = spark.sparkContext.broadcast(model.task())
 
-    def fn(w: dict[str, float], ids: list, texts: list, titles: list, notices: list) -> list:
-        return [ids, [body(t, n, w, frozenset(own or ())) for t, n, own in zip(texts, titles, notices)]]
+    def fn(state: tuple, ids: list, texts: list, titles: list, notices: list) -> list:
+        return [ids, [body(t, n, state[0], frozenset(own) if own else state[1]) for t, n, own in zip(texts, titles, notices)]]
 
-    return map_rows(with_notices(videos).select("row_id", "transcript", "title", "notices"), "row_id long, body string", fn, lambda: shared.value)
+    return map_rows(noticed(videos.select("row_id", "transcript", "title"), model), "row_id long, body string", fn, lambda: shared.value)

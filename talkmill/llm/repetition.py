@@ -1,8 +1,11 @@
 """The share of a transcript's spoken words that stand in second or later copies of what it said before.
 
-The spoken words are cut into units (sentences, or windows where there are no sentence ends). What of a unit is covered by
-word sequences seen earlier counts word by word. That, and whether the unit as a whole was said before, are the observations
-of a linear-chain conditional random field with the states content and copy, which labels units; the count doesn't need it.
+The lines of a page are labelled content or boilerplate by a linear-chain conditional random field: what a line says, its
+place, its neighbours and the labels around it speak for one or the other, and the best path (Viterbi) decides. It is
+fitted on pages that mark their own parts, as they stand and with their tags taken off. The lines of all other
+transcripts are content. The content is cut into units (sentences, or windows where there are no sentence ends); what
+of it is covered by word sequences or whole sentences said earlier is repeated, and the share of the rest decides
+whether a transcript is retained.
 """
 
 from __future__ import annotations
@@ -12,12 +15,12 @@ import json
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.functions.arrow import map_rows
 from talkmill.llm.crf import ChainCRF
-from talkmill.llm.pages import body, is_markup, page_weights
+from talkmill.llm.pages import NOTICE, NOTICE_WORDS, Line, PageModel, heading_of, is_markup, line_hash, line_score, noticed, page_lines, page_model, page_table, seed_lines, shown
 from talkmill.llm.turns import _LABEL, _NOTES, _STAMP, _STARRED
 
 #: Words of the shortest phrase whose copies count, and of the shortest whole sentence.
@@ -26,10 +29,11 @@ PHRASE, SENTENCE = 8, 4
 WINDOW = 25
 #: A transcript is heavily repetitive from this share on.
 HEAVY = 0.3
-#: Transcripts that the random field is fitted on, by hash; and a feature of units that are covered by so much.
-FITTED, COPY = 200, 0.5
+#: Labelled pages that the random field is fitted on, those with the smallest hashes of the text; and lines of one sequence of the fit.
+FITTED, SEQUENCE = 400, 80
 
 _VTT = re.compile(r"<\d+:\d\d:\d\d[.,]\d+>|</?c[^>]*>|^WEBVTT.*$|^\s*(?:\d+:)?\d+:\d\d[.,]\d+\s*-->.*$", re.M)
+_TIME_TAG = re.compile(r"<\d+:\d\d:\d\d")
 _TAG = re.compile(r"<[^<>]*>")
 _ENDS = frozenset(".!?。！？…\n")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
@@ -38,7 +42,53 @@ _WORD = re.compile(r"[.!?。！？…\n]|#|[぀-ヿ㐀-鿿]{1,2}|[^\W\d_぀-ヿ
 _KEYS = ("text", "caption", "content", "transcript", "snippet", "utf8")
 
 
-def spoken(text: str | None, title: str | None, weights: dict[str, float]) -> str:
+def line_features(lines: list[Line], own: list[float], head: int | None) -> np.ndarray:
+    """Features by line: its own score and those of its neighbours, its place, length and end, links, and whether it is the heading."""
+    n = len(lines)
+    score = np.clip(np.array(own) / 3, -2, 2)
+    around = np.pad(score, 2, constant_values=-1)
+    at = np.arange(n)
+    size = np.array([x.text.count(" ") + 1 for x in lines])
+    stops = np.array([x.text.rstrip("\"'”’)」 ")[-1:] in set(".!?。！？…") for x in lines])
+    links = np.array([min(x.links, 3) for x in lines])
+    near = (around[1:-3] + around[3:-1]) / 2
+    far = (around[:-4] + around[4:]) / 2
+    return np.stack([np.ones(n), score, score > 0, near, far, np.exp(-at / 3), np.exp((at + 1 - n) / 3), np.log1p(size) / 3, stops, links / 3, at == (-1 if head is None else head)], 1).astype(float)
+
+
+def fit_field(model: PageModel, fitted: int = FITTED) -> ChainCRF:
+    """The random field, fitted on at most ``fitted`` of the pages lent to the model, each also without its tags; if there are none, on the seed lines."""
+    w, notices = model.task()
+    pages = [[(Line(i, t, tags, links), main) for i, (t, tags, links, main) in enumerate(page)] for kind, page in model.given if kind == "page"][:fitted]
+    if not pages:
+        rest, main = [[t for t, m in seed_lines() if m == kind] for kind in (False, True)]
+        pages = [[(Line(i, t), m) for i, (t, m) in enumerate([(t, 0) for t in rest[k : k + 9]] + [(t, 1) for t in main] + [(t, 0) for t in rest[k + 9 : k + 15]])] for k in range(0, len(rest), 15)]
+    xs, ys = [], []
+    for page in pages:
+        for bare in (False, True):
+            lines = [Line(x.no, x.text) if bare else x for x, _ in page]
+            own = [min(line_score(x, w), NOTICE) if x.text.count(" ") + 1 >= NOTICE_WORDS and line_hash(x.text) in notices else line_score(x, w) for x in lines]
+            x = line_features(lines, own, next((k for k, (_, m) in enumerate(page) if m == 2), None))
+            y = np.array([int(m == 0) for _, m in page])
+            xs += [x[i : i + SEQUENCE] for i in range(0, len(x), SEQUENCE)]
+            ys += [y[i : i + SEQUENCE] for i in range(0, len(y), SEQUENCE)]
+    return ChainCRF.fit(xs, ys)
+
+
+def content(text: str, title: str | None, weights: dict[str, float], field: ChainCRF | None, notices: frozenset[int] = frozenset()) -> str:
+    """The lines of ``text`` that the field labels content; all of them where it is no page, or without a field."""
+    page = page_lines(text, weights, notices)
+    if page is None:
+        return "\n".join(x.text for x in shown(text)) if is_markup(text) else text
+    lines, own = page
+    if field is None or not lines:
+        return "\n".join(x.text for x in lines)
+    head = heading_of(text, title, lines, own)
+    states = field.decode(line_features(lines, own, head))
+    return "\n".join(x.text for k, (x, state) in enumerate(zip(lines, states)) if not state or k == head)
+
+
+def spoken(text: str | None, title: str | None, weights: dict[str, float], field: ChainCRF | None = None, notices: frozenset[int] = frozenset()) -> str:
     """What is said in a transcript: no markup, keys, times, speaker labels, sound notes or page boilerplate."""
     if not text or not text.strip():
         return ""
@@ -51,9 +101,9 @@ def spoken(text: str | None, title: str | None, weights: dict[str, float]) -> st
         if isinstance(records, list):
             said = (next((r[k] for k in _KEYS if isinstance(r.get(k), str) and r[k].strip()), "") if isinstance(r, dict) else r if isinstance(r, str) else "" for r in records)
             return _NOTES.sub(" ", html.unescape("\n".join(said)))
-    if re.search(r"<\d+:\d\d:\d\d", text[:2000]) or "</c>" in text:
+    if _TIME_TAG.search(text) or "</c>" in text:
         return _NOTES.sub(" ", html.unescape(_TAG.sub("", _VTT.sub("", text))))
-    plain = body(text, title, weights) or ""
+    plain = content(text, title, weights, field, notices)
     if is_markup(text):
         return _NOTES.sub(" ", plain)
     lines = plain.split("\n")
@@ -111,89 +161,60 @@ def _seen_before(codes: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def copies(us: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes of the words, which of them are repeated, words by unit, where each unit starts, whether it was said before as a whole)."""
+def copies(us: list[list[str]]) -> np.ndarray:
+    """For each word of the units whether it stands in a phrase or a whole sentence that was said before."""
     names: dict[str, int] = {}
     number = names.setdefault
     ids = np.array([number(w, len(names)) for u in us for w in u], np.uint64)
     codes = (ids + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     codes ^= codes >> np.uint64(32)
-    size = np.array([len(u) for u in us])
-    starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-    covered, whole = _seen_before(codes, PHRASE), np.zeros(len(us))
+    covered, at = _seen_before(codes, PHRASE), 0
     seen: set[tuple] = set()
-    for i, u in enumerate(us):
+    for u in us:
         if len(u) >= SENTENCE:
             key = tuple(u)
             if key in seen:
-                whole[i] = 1
-                covered[starts[i] : starts[i] + len(u)] = True
+                covered[at : at + len(u)] = True
             seen.add(key)
-    return codes, covered, size, starts, whole
+        at += len(u)
+    return covered
 
 
-def observed(us: list[list[str]], found: tuple | None = None) -> np.ndarray:
-    """Features by unit."""
-    codes, covered, size, starts, whole = found or copies(us)
-    part = np.add.reduceat(covered, starts, dtype=int) / size
-    little = np.add.reduceat(_seen_before(codes, PHRASE // 2 + 1), starts, dtype=int) / size
-    return np.stack([np.ones(len(us)), part, part > 0, part >= COPY, part >= 0.9, little, whole, np.log1p(size) / 4], 1)
+def share(text: str | None, title: str | None, weights: dict[str, float], field: ChainCRF | None = None, notices: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """(spoken words, repeated words) of a transcript; each covered word of the content counts."""
+    us = units(spoken(text, title, weights, field, notices))
+    return (sum(map(len, us)), int(copies(us).sum())) if us else (0, 0)
 
 
-def share(text: str | None, title: str | None, weights: dict[str, float], crf: ChainCRF | None = None) -> tuple[int, int]:
-    """(spoken words, repeated words) of a transcript; each covered word counts, whatever ``crf`` would call its unit."""
-    us = units(spoken(text, title, weights))
-    if not us:
-        return 0, 0
-    _, covered, size, _, _ = copies(us)
-    return int(size.sum()), int(covered.sum())
-
-
-def labels(us: list[list[str]], crf: ChainCRF) -> list[int]:
-    """1 for each unit that is or holds a copy, else 0."""
-    return crf.decode(observed(us)) if us else []
-
-
-def fit_field(videos: DataFrame, weights: dict[str, float], fitted: int = FITTED) -> ChainCRF:
-    """The random field, fitted on the ``fitted`` transcripts with the smallest hashes; their features go to the driver."""
-    shared = videos.sparkSession.sparkContext.broadcast(weights)
-
-    def fn(w: dict[str, float], texts: list, titles: list) -> list:
-        out = []
-        for t, n in zip(texts, titles):
-            if us := units(spoken(t, n, w)):
-                out.append(observed(us).astype(np.float32).tobytes())
-        return [out]
-
-    rows = videos.select("transcript", "title", F.xxhash64("transcript").alias("h")).filter(F.length("transcript") > 0)
-    ids = rows.select("h").distinct().orderBy("h").limit(fitted)
-    chosen = rows.join(F.broadcast(ids), "h").groupBy("h").agg(F.min("transcript").alias("transcript"), F.min("title").alias("title")).select("transcript", "title")
-    xs = sorted(bytes(r.x) for r in map_rows(chosen, "x binary", fn, lambda: shared.value).collect())
-    seqs = [x[i : i + 100] for b in xs for x in [np.frombuffer(b, np.float32).reshape(-1, 8).astype(float)] for i in range(0, len(x), 100)]
-    # A sequence of each kind, should the sample have none.
-    seqs += [np.array([[1, 0, 0, 0, 0, 0.1, 0, 0.6], [1, 1, 1, 1, 1, 1, 1, 0.6], [1, 0.9, 1, 1, 1, 1, 0, 0.6], [1, 0, 0, 0, 0, 0, 0, 0.5], [1, 0.1, 1, 0, 0, 0.3, 0, 0.7], [1, 0.6, 1, 1, 0, 0.7, 0, 0.7]])]
-    return ChainCRF.fit(seqs, [((s[:, 2] > 0) | (s[:, 6] > 0)).astype(int) for s in seqs])
+def shares(videos: DataFrame, model: PageModel | None = None, field: ChainCRF | None = None) -> DataFrame:
+    """(row_id, n_words, n_repeated, share, content_share) of each row, in one pass beside that of the model.
 
+    Null, empty and blank transcripts have no words, share 0 and content share 1. Copies of a row have their own
+    shares. Very long transcripts take time and memory in proportion to their length.
+    """
+    model = page_model(videos) if model is None else model
+    field = fit_field(model) if field is None else field
+    shared = videos.sparkSession.sparkContext.broadcast((*model.task(), field))
 
-def shares(videos: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(row_id, n_words, n_repeated, share) of each row; one pass without a shuffle.
+    def fn(state: tuple, ids: list, texts: list, titles: list, notices: list) -> list:
+        w, every, crf = state
+        counts = [share(t, n, w, crf, frozenset(own) if own else every) for t, n, own in zip(texts, titles, notices)]
+        part = [b / a if a else 0.0 for a, b in counts]
+        return [ids, [a for a, _ in counts], [b for _, b in counts], part, [1 - p for p in part]]
 
-    Null, empty and blank transcripts have no words and share 0. Copies of a row have their own shares. Very long
-    transcripts take time and memory in proportion to their length.
-    """
-    weights = page_weights(videos) if weights is None else weights
-    shared = videos.sparkSession.sparkContext.broadcast(weights)
+    rows = noticed(videos.select("row_id", "transcript", "title"), model)
+    return map_rows(rows, "row_id long, n_words long, n_repeated long, share double, content_share double", fn, lambda: shared.value)
 
-    def fn(w: dict[str, float], ids: list, texts: list, titles: list) -> list:
-        counts = [share(t, n, w) for t, n in zip(texts, titles)]
-        return [ids, [a for a, _ in counts], [b for _, b in counts], [b / a if a else 0.0 for a, b in counts]]
 
-    return map_rows(videos.select("row_id", "transcript", "title"), "row_id long, n_words long, n_repeated long, share double", fn, lambda: shared.value)
+def retained(found: DataFrame, most: float = HEAVY) -> Column:
+    """Whether a transcript of :func:`shares` is kept: what is said once makes up more than the rest of its content but for ``most``."""
+    return F.col("share") < most
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shares(spark.read.parquet(f"{sf_dir}/videos.parquet")).filter(F.col("share") >= HEAVY).select("row_id")
+    found = shares(page_table(spark, sf_dir))
+    return found.filter(~retained(found)).select("row_id")
 
 
 def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shares(spark.read.parquet(f"{sf_dir}/videos.parquet"))
+    return shares(page_table(spark, sf_dir))

@@ -261,10 +261,38 @@ def test_boilerplate(spark):
     weights = pages.fit([("Home", False), ("Log in", False), ("The judge said that it was over.", True), ("We heard it in the end.", True)] * 20)
     page = "<div>\n<div>Home</div>\n<div>Title</div>\n<p>The judge said that it was over.</p>\n<div>Log in</div>\n</div>"
     v = videos(spark, [(1, None, page, "Title", None), (1, None, page, "Title", None), (2, None, None, None, None), (3, None, " ", None, None), (4, None, "plain talk", None, None), (5, None, page, None, None)])
-    got = rows(pages.boilerplate_lines(v, weights))
+    model = pages.PageModel(weights, [], frozenset())
+    got = rows(pages.boilerplate_lines(v, model))
     assert [x for x in got if x[0] == 1] == [(1, 1), (1, 1), (1, 4), (1, 4)] and {x[0] for x in got} == {1, 5}
-    assert pages.boilerplate_lines(v.limit(0), weights).count() == 0
-    assert isinstance(pages.page_weights(v.limit(0)), dict)
+    assert pages.boilerplate_lines(v.limit(0), model).count() == 0
+    assert pages.page_model(v.limit(0)).notices == frozenset() and pages.page_model(v.limit(0)).given == []
+
+
+def test_many_notices_are_joined(spark):
+    """The same lines come out whether the notices are sent to the tasks or joined by their hashes."""
+    notice = "He thought that the old lamp was here before they came."
+    page = lambda i: (i, f"https://a.example/{i}", f"<div>\n<p>They counted {i * 'very '} many boats on that day.</p>\n<p>{notice}</p>\n<p>She said so.</p>\n</div>", f"Title {i}", None)
+    v = videos(spark, [page(i) for i in range(1, 31)] + [page(30), (40, None, "plain", None, None), (41, None, None, None, None), (42, None, "[1]\n", None, None)])
+    sent, joined = pages.page_model(v), pages.page_model(v, most=0)
+    assert len(sent.notices) == 1 and joined.notices is None
+    assert rows(pages.boilerplate_lines(v, sent)) == rows(pages.boilerplate_lines(v, joined)) == sorted([(i, 2) for i in [*range(1, 31), 30]], key=repr)
+    assert rows(repetition.shares(v, sent)) == rows(repetition.shares(v, joined))
+
+
+def test_pages_are_read_twice(spark, tmp_path):
+    """Once for the model and once for the result, whose plan has no shuffle."""
+    videos(spark, [(i, "https://a.example/x", f"<div>\n<p>We met {i}.</p>\n<main>\n<p>So they said, and left {i}.</p>\n</main></div>", f"T{i}", None) for i in range(40)]).repartition(4).write.parquet(f"{tmp_path}/videos.parquet")
+    for query in (pages.p3_found, repetition.p6_found):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1 and "Exchange" not in plan
+    model = pages.page_model(spark.read.parquet(f"{tmp_path}/videos.parquet"))
+    assert len(model.given) == 40 and len(pages.page_model(spark.read.parquet(f"{tmp_path}/videos.parquet"), pages=7).given) == 7
+
+
+def test_drawn_pages_do_not_depend_on_partitions(spark):
+    v = videos(spark, [(i, None, f"<div>\n<main>\n<p>So they said, and left {i}.</p>\n</main></div>", "T", None) for i in range(400)])
+    some = [pages.lent_pages(pages.read_lines(d, drawn=100)) for d in (v, v.repartition(3))]
+    assert some[0] == some[1] and 50 < len(some[0]) < 150
 
 
 @pytest.mark.parametrize("n", [12, 20])
@@ -285,8 +313,9 @@ def test_notices_do_not_depend_on_the_size_of_the_table(spark, tmp_path, n):
 def test_repetition(spark):
     said = "a listener wrote to us about seven red boats on the long river near town. "
     v = videos(spark, [(1, None, said * 4, None, None), (2, None, None, None, None), (3, None, "", None, None), (4, None, said, None, None), (4, None, said, None, None)])
-    got = {(r.row_id, r.n_words, r.n_repeated) for r in repetition.shares(v).collect()}
-    assert got == {(1, 60, 45), (2, 0, 0), (3, 0, 0), (4, 15, 0)}
+    found = repetition.shares(v).collect()
+    assert {(r.row_id, r.n_words, r.n_repeated) for r in found} == {(1, 60, 45), (2, 0, 0), (3, 0, 0), (4, 15, 0)}
+    assert all(r.share + r.content_share == 1 for r in found)
     assert repetition.shares(v.limit(0)).count() == 0
 
 

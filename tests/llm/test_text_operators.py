@@ -153,6 +153,22 @@ def test_held_out_lines():
     assert [pages.line_score(pages.Line(0, t), w) > 0 for t, _ in new] == [m for _, m in new]
 
 
+def test_lent_lines():
+    page = "<html>\n<head><title>T</title></head><body>\n<nav>\n<a href='x'>Home</a>\n</nav>\n<main>\n<h1>T</h1>\n<p>" + "\n<p>".join(MAIN * 100) + "\n<p>" + "long " * 900 + "\n</main></body></html>"
+    got = json.loads(pages.lent(page, True))
+    assert [m for *_, m in got[:2]] == [0, 1] or [m for *_, m in got[:2]] == [0, 2]
+    assert len(got) <= pages.LENT_LINES and all(len(t) <= pages.LENT_CHARS for t, *_ in got)
+    assert pages.lent("<html><body>Home</body></html>", True) is None
+    assert json.loads(pages.lent('[{"start": 1, "text": "One &amp; two."}]', False)) == [["One & two.", 0, 0, 1]]
+
+
+def test_seeds_only_without_labelled_pages():
+    rng = random.Random(11)
+    few, many = [made_page(rng) for _ in range(pages.SEED_BELOW - 1)], [made_page(rng) for _ in range(pages.SEED_BELOW)]
+    assert "warenkorb" in pages.fit_pages(few) and "warenkorb" not in pages.fit_pages(many)
+    assert ("Terms of use | Privacy | Imprint", False) in pages.seed_lines() and ("Accept | Reject | More options", False) in pages.seed_lines()
+
+
 # ---- repetition
 
 
@@ -171,13 +187,62 @@ def test_cover(words, n):
     assert repetition._seen_before(codes, n).tolist() == brute_cover(words, n)
 
 
-def field():
-    x = np.array([[1, 0, 0, 0, 0, 0.1, 0, 0.6], [1, 1, 1, 1, 1, 1, 1, 0.6], [1, 0.6, 1, 1, 0, 0.7, 0, 0.7], [1, 0, 0, 0, 0, 0, 0, 0.5]])
-    return ChainCRF.fit([x, x[::-1]], [np.array([0, 1, 1, 0]), np.array([0, 1, 1, 0])])
+def made_page(rng, n_main=6):
+    """Lines as a page lends them: boilerplate before and after the heading and the main body."""
+    rest = lambda k: [(rng.choice(REST), 1, 0, 0) for _ in range(k)]
+    return "page", rest(rng.randint(1, 4)) + [("A title", 1, 0, 2)] + [(rng.choice(MAIN), 1, 0, 1) for _ in range(n_main)] + rest(rng.randint(1, 4))
+
+
+@pytest.fixture(scope="module")
+def model():
+    rng = random.Random(9)
+    given = [made_page(rng) for _ in range(60)]
+    return pages.PageModel(pages.fit_pages(given), given, frozenset())
+
+
+@pytest.fixture(scope="module")
+def field(model):
+    return repetition.fit_field(model)
+
+
+def test_lines_of_held_out_pages(model, field):
+    rng = random.Random(10)
+    right = n = 0
+    for _ in range(60):
+        _, page = made_page(rng, rng.randint(1, 12))
+        dump = "\n".join(t for t, *_ in page)
+        kept = repetition.content(dump, "A title", model.weights, field).split("\n")
+        want = [t for t, _, _, main in page if main]
+        right += sum((Counter(kept) & Counter(want)).values())
+        n += max(len(kept), len(want))
+    assert right > 0.98 * n
+
+
+def test_a_field_without_labelled_pages():
+    m = pages.PageModel(pages.fit_pages([]), [], frozenset())
+    f = repetition.fit_field(m)
+    dump = "\n".join(["Home", "Newsletter", "Log in", "A title", *MAIN, "© 2020 Example1. All rights reserved.", "Back to top"])
+    assert repetition.content(dump, "A title", m.weights, f).split("\n") == ["A title", *MAIN]
+    talk = "\n".join(MAIN)
+    assert repetition.content(talk, None, m.weights, f) == talk
+
+
+def test_boilerplate_is_not_spoken(model, field):
+    """Menus that recur on a page don't make its text repetitive; without the field they would."""
+    menu = ["Home", "Log in", "Newsletter", "Back to top", "© 2021 Othercast3. All rights reserved."]
+    dump = "\n".join(["A title", *MAIN, *menu * 12])
+    assert repetition.share(dump, "A title", model.weights, field)[1] == 0
+    n, again = repetition.share(dump, "A title", model.weights)
+    assert again / n > 0.3
+
+
+def test_time_tags_anywhere_in_a_transcript(model):
+    late = "One two three. " * 300 + "<00:00:01.000>four <00:00:02.000>five."
+    assert repetition.spoken(late, None, model.weights).split()[-2:] == ["four", "five."]
 
 
-def test_shares():
-    crf, w = field(), pages.fit(labelled())
+def test_shares(field, model):
+    crf, w = field, model.weights
     rng = random.Random(4)
     fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)) + "."
     once, said = " ".join(fresh(12) for _ in range(10)), fresh(20)
@@ -191,8 +256,8 @@ def test_shares():
     assert share("thank you " * 50) > 0.9
 
 
-def test_phrases_that_fill_less_than_half_of_their_sentences_count():
-    crf, w = field(), pages.fit(labelled())
+def test_phrases_that_fill_less_than_half_of_their_sentences_count(field, model):
+    crf, w = field, model.weights
     rng = random.Random(6)
     fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
     phrase, n = fresh(12), 40
