@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.functions.arrow import map_rows
+from talkmill.session import spread, table
 
 #: The place of the vocabulary files and the pattern that belongs to them.
 VOCAB_DIR = os.environ.get("TALKMILL_TOKENIZERS", "/opt/tokenizers")
@@ -119,4 +120,4 @@ def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", name: s
 
 
 def p7_ids(spark, sf_dir: str) -> DataFrame:
-    return encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from talkmill.functions.arrow import map_rows
 from talkmill.functions.text import collapse
+from talkmill.operators.skew import lookup_join
+from talkmill.session import spread, table
 
 #: A time further than this from the isotonic fit of its segment is wrong rather than out of order.
 FAR_MS = 60_000
 #: A fall of the clock by more than this, to under a quarter of what it had reached, starts another file.
 RESET_MS = 30_000
-#: channel_speakers is small; more rows than this are joined by a shuffle instead of sent to every task.
+#: channel_speakers is small; more rows than this are joined by channel, with hot channels apart, instead of sent to every task.
 MOST_SPEAKERS = 50_000
 
 # How times are written.
@@ -247,20 +249,23 @@ def turns(transcript: str | None, names: dict[str, int]) -> list[tuple[int, str]
     return [(w, " ".join(filter(None, map(clean, t)))) for w, t in out]
 
 
-def speaker_turns(videos: DataFrame, speakers: DataFrame) -> DataFrame:
+def speaker_turns(videos: DataFrame, speakers: DataFrame, most: int = MOST_SPEAKERS) -> DataFrame:
     """(row_id, turn_no, speaker_id, text): the turns of each transcript that names speakers of its channel.
 
     Channels match by name without case and padding; rows with a null channel, a null or blank transcript or no
     known name have no turns. Copies of a row have turns each. Transcripts never shuffle if the speakers are at
-    most MOST_SPEAKERS.
+    most ``most``; beyond that only those of channels without many rows do.
     """
     channel = lambda c: F.lower(collapse(F.col(c)))
     by = speakers.filter("speaker_id is not null").groupBy(channel("creator_label").alias("channel")).agg(F.sort_array(F.collect_list(F.struct(F.col("speaker_id"), F.coalesce("speaker_name", F.lit("")).alias("name"), F.coalesce("speaker_role", F.lit("")).alias("role")))).alias("people"))
-    if len(speakers.select("speaker_id").limit(MOST_SPEAKERS + 1).collect()) <= MOST_SPEAKERS:
-        by = F.broadcast(by)
+    by = by.select("channel", F.to_json("people").alias("people"))
     # Any transcript with turns has a colon, stars or a dash between label and words.
     rows = videos.select("row_id", "transcript", channel("creator_label").alias("channel")).filter(F.col("transcript").rlike(r"[:*–—-]"))
-    return map_rows(rows.join(by, "channel").select("row_id", "transcript", F.to_json("people").alias("people")), "row_id long, turn_no int, speaker_id long, text string", _batch)
+    if speakers.select("speaker_id").limit(most + 1).count() <= most:
+        found = rows.join(F.broadcast(by), "channel")
+    else:
+        found = lookup_join(rows, by.join(rows.groupBy("channel").agg(F.count(F.lit(1)).alias("n")), "channel"), "channel")
+    return map_rows(found.select("row_id", "transcript", "people"), "row_id long, turn_no int, speaker_id long, text string", _batch)
 
 
 @lru_cache(maxsize=4096)
@@ -278,7 +283,7 @@ def _batch(_: None, ids: list, transcripts: list, people: list) -> list:
 
 
 def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return speaker_turns(spark.read.parquet(f"{sf_dir}/videos.parquet"), spark.read.parquet(f"{sf_dir}/channel_speakers.parquet"))
+    return speaker_turns(spread(table(spark, sf_dir, "videos").select("row_id", "transcript", "creator_label")), table(spark, sf_dir, "channel_speakers"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,7 @@ def test_turns(spark):
     v = videos(spark, [(1, None, TALK, None, "CHANNEL "), (1, None, TALK, None, "channel"), (2, None, TALK, None, None), (3, None, None, None, "channel"), (4, None, " ", None, "channel"), (5, None, TALK, None, "elsewhere")])
     got = [(r.row_id, r.turn_no, r.speaker_id, r.text) for r in turns.speaker_turns(v, speakers(spark)).collect()]
     assert sorted(got) == sorted([(1, 1, 1, "One. Two."), (1, 2, 2, "Three.")] * 2)
+    assert rows(turns.speaker_turns(v, speakers(spark), most=1)) == rows(turns.speaker_turns(v, speakers(spark)))
     assert turns.speaker_turns(v.limit(0), speakers(spark)).count() == 0 and turns.speaker_turns(v, speakers(spark).limit(0)).count() == 0
 
 
