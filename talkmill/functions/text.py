@@ -34,11 +34,6 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip(c)), "[^a-z0-9]+", "_"), r"^_+|_+\z", "")
 
 
-def without_timing_tags(c: Column) -> Column:
-    """Inline caption tags to spaces."""
-    return F.regexp_replace(c, r"<\d{1,2}:\d{2}:\d{2}\.\d+>|</?c>", " ")
-
-
 def preview(c: Column, chars: int = PREVIEW_CHARS) -> Column:
     return F.substring(c, 1, chars)
 

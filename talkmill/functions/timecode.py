@@ -30,25 +30,6 @@ def both_or_zero(a: Column, b: Column) -> tuple[Column, Column]:
     return F.when(bad, F.lit(0)).otherwise(a).cast("bigint"), F.when(bad, F.lit(0)).otherwise(b).cast("bigint")
 
 
-def caption_to_ms(ts: Column) -> Column:
-    """Of [H:]M:S[.f]; the fraction has three digits, cut or padded."""
-    m = r"^(?:(\d+):)?(\d+):(\d+)(?:[.,](\d+))?$"
-    t = strip(ts)
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(t, m, i), F.lit("")).try_cast("bigint"), F.lit(0))
-    frac = F.rpad(F.substring(F.regexp_extract(t, m, 4), 1, 3), 3, "0").try_cast("bigint")
-    return F.when(t.rlike(m), (part(1) * 3600 + part(2) * 60 + part(3)) * 1000 + frac)
-
-
-def value_to_ms(value: Column, unit: str = "seconds") -> Column:
-    """Of a time given as text: with colons a caption time, with the suffix ms or s in that unit, else in ``unit`` (seconds or ms)."""
-    raw = F.regexp_replace(strip(value), "^<+|>+$", "")
-    number = r"^([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)\s*(ms|s)?$"
-    n = F.nullif(F.regexp_extract(raw, number, 1), F.lit("")).try_cast("double")
-    suffix = F.regexp_extract(raw, number, 2)
-    factor = F.when(suffix == "ms", 1.0).when(suffix == "s", 1000.0).otherwise(F.lit(1.0 if unit == "ms" else 1000.0))
-    return F.when(raw.contains(":"), caption_to_ms(raw)).otherwise((n * factor).try_cast("bigint"))
-
-
 def safe_seconds(value: Column) -> Column:
     """A duration as a double; null and blank give 0, what can't be read null."""
     v = strip(value)

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import time
 import urllib.request
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
 from typing import Any, Protocol
 
+from pyarrow import fs
+
 
 class AnswerError(Exception):
     """An answer that is missing, cut off or of the wrong form."""
@@ -108,8 +110,9 @@ class Http:
 class Cached:
     """Answers of ``client``, kept a file a prompt in ``folder``, which all executors must share; failures aren't kept.
 
-    A file appears whole or not at all, so tasks that run twice, or at once, do no harm; one that can't be read is
-    as if it weren't there.
+    ``folder`` may be an address (hdfs://, s3://, gs://, file://) or a path of a file system that is mounted everywhere. A
+    file appears whole or not at all, so tasks that run twice, or at once, do no harm; one that isn't there or is no
+    JSON is asked for again, while a folder that can't be reached is an error.
     """
 
     client: ModelClient
@@ -119,16 +122,24 @@ class Cached:
     def name(self) -> str:
         return self.client.name
 
+    def _at(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), os.path.abspath(self.folder))
+
     def complete(self, system: str, user: str, schema: dict, max_tokens: int) -> dict:
-        path = Path(self.folder) / f"{prompt_key(self.client.name, system, user)}.json"
-        try:
-            return json.loads(path.read_text(encoding="utf-8"))
-        except (OSError, ValueError):
-            answer = self.client.complete(system, user, schema, max_tokens)
-        path.parent.mkdir(parents=True, exist_ok=True)
-        part = path.with_suffix(f".{uuid.uuid4().hex}.part")
-        part.write_text(json.dumps(answer, ensure_ascii=False), encoding="utf-8")
-        part.replace(path)
+        store, folder = self._at()
+        path = f"{folder}/{prompt_key(self.client.name, system, user)}.json"
+        if store.get_file_info(path).type == fs.FileType.File:
+            with store.open_input_stream(path) as f:
+                try:
+                    return json.loads(f.read().decode())
+                except ValueError:
+                    pass
+        answer = self.client.complete(system, user, schema, max_tokens)
+        store.create_dir(folder, recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with store.open_output_stream(part) as f:
+            f.write(json.dumps(answer, ensure_ascii=False).encode())
+        store.move(part, path)
         return answer
 
 

@@ -9,14 +9,15 @@ from __future__ import annotations
 import json
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from talkmill.functions.text import PROMPT_CHARS, preview
 from talkmill.models import CLASS_RETRY, ModelClient, Retry
 from talkmill.operators.summary import NOT_DISCUSSED, SENTIMENTS
-from talkmill.session import cut
+from talkmill.session import cut, path_exists
 
 BATCH = 20
 
@@ -64,28 +65,31 @@ def user_prompt(texts: list[str]) -> str:
 
 
 def ask(df: DataFrame, client: ModelClient, system: str, schema: dict, retry: Retry = CLASS_RETRY, parallel: int | None = None) -> DataFrame:
-    """(batch_id, idx, answer, status, error) for rows with batch_id, idx and segment_transcript; one call a batch.
+    """``df`` (with batch_id, idx and segment_transcript) with answer, status and error; one call a batch.
 
     ``answer`` is the JSON object of the row without its index; of indices given twice the last holds and those out of
-    range are dropped. A batch that fails has status failed and null answers. Batches have a fixed size, so a group
-    is never large; ``parallel`` is how many are asked at once, as many as there are partitions if it isn't given.
+    range are dropped. A batch that fails has status failed and null answers. The rows of a batch are brought together
+    with all their columns, which is the only time that they shuffle. Batches have a fixed size, so a group is never
+    large; ``parallel`` is how many are asked at once, as many as there are partitions if it isn't given.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
+    def run(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by("idx")
         got: dict[int, Any] = {}
         status, error = "ok", None
         try:
-            reply = retry.call(client, system, user_prompt([t or "" for t in rows.segment_transcript]), schema)
+            reply = retry.call(client, system, user_prompt([t or "" for t in batch["segment_transcript"].to_pylist()]), schema)
             for c in reply["classifications"]:
                 got[int(c["index"])] = {k: v for k, v in c.items() if k != "index"}
         except Exception as e:  # noqa: BLE001 - a failed batch takes the fallback, the run goes on
             status, error = "failed", str(e)[:500]
-        answers = [json.dumps(got[i], ensure_ascii=False) if i in got else None for i in range(len(rows))]
-        return pd.DataFrame({"batch_id": rows.batch_id, "idx": rows.idx, "answer": answers, "status": status, "error": error})
+        answers = [json.dumps(got[i], ensure_ascii=False) if i in got else None for i in range(batch.num_rows)]
+        for name, values in (("answer", answers), ("status", [status] * batch.num_rows), ("error", [error] * batch.num_rows)):
+            batch = batch.append_column(name, pa.array(values, pa.string()))
+        return batch
 
-    rows = df.select("batch_id", "idx", "segment_transcript")
-    return (rows.repartition(parallel, "batch_id") if parallel else rows).groupBy("batch_id").applyInPandas(run, "batch_id long, idx int, answer string, status string, error string")
+    out = StructType([*df.schema.fields, *[StructField(c, StringType()) for c in ("answer", "status", "error")]])
+    return (df.repartition(parallel, "batch_id") if parallel else df).groupBy("batch_id").applyInArrow(run, out)
 
 
 class AnswerCache:
@@ -97,10 +101,10 @@ class AnswerCache:
         self.spark, self.path = spark, path
 
     def read(self) -> DataFrame:
-        try:
-            rows = self.spark.read.schema(self.kind).parquet(self.path)
-        except Exception:  # noqa: BLE001 - nothing has been cached yet
+        """(key, idx, answer); empty before anything has been written. A cache that can't be read is an error, as all would be asked again."""
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], "key string, idx int, answer string")
+        rows = self.spark.read.schema(self.kind).parquet(self.path)
         return rows.groupBy("key", "idx").agg(F.max_by("answer", "written_at").alias("answer"))
 
     def write(self, answers: DataFrame) -> None:
@@ -108,20 +112,23 @@ class AnswerCache:
 
 
 def classify(df: DataFrame, client: ModelClient, system: str, schema: dict, cache: AnswerCache | None = None, pos: str = "pos", size: int = BATCH, retry: Retry = CLASS_RETRY, parallel: int | None = None) -> DataFrame:
-    """``df`` with ``answer`` (JSON or null) and ``status`` (ok, cached or failed); answers that are cached aren't asked for again."""
+    """``df`` with ``answer`` (JSON or null) and ``status`` (ok, cached or failed); answers that are cached aren't asked for again.
+
+    Keys are made and looked up without the texts. Then each row shuffles once: to the answers of its batch, or to the
+    call of its batch.
+    """
     rows = batch_columns(df, pos, size)
-    keyed = rows.join(batch_keys(rows, client.name, system), "batch_id")
+    own = ["batch_id", "idx"]
     if cache is None:
-        got = ask(keyed, client, system, schema, retry, parallel)
-        return rows.join(got.select("batch_id", "idx", "answer", "status"), ["batch_id", "idx"], "left").drop("batch_id", "idx")
-    known = cache.read()
-    hits = keyed.select("batch_id", "key", "idx").join(known, ["key", "idx"])
-    misses = keyed.join(known.select("key").distinct(), "key", "left_anti")
-    new = ask(misses, client, system, schema, retry, parallel).join(misses.select("batch_id", "key").distinct(), "batch_id")
-    new = cut(new)  # asked once, used for the cache and the result, whatever executors are lost
-    cache.write(new.filter("status = 'ok'"))
-    got = hits.select("batch_id", "idx", "answer", F.lit("cached").alias("status")).unionByName(new.select("batch_id", "idx", "answer", "status"))
-    return rows.join(got, ["batch_id", "idx"], "left").drop("batch_id", "idx")
+        return ask(rows, client, system, schema, retry, parallel).drop(*own, "error")
+    keys = cut(batch_keys(rows, client.name, system))
+    answers = F.map_from_entries(F.collect_list(F.struct("idx", "answer")))  # of one batch
+    known = cut(keys.join(cache.read().groupBy("key").agg(answers.alias("_known")), "key"))
+    misses = keys.join(known.select("key").distinct(), "key", "left_anti").select("batch_id")
+    new = cut(ask(rows.join(misses, "batch_id"), client, system, schema, retry, parallel))  # asked once, used for the cache and the result, whatever executors are lost
+    cache.write(new.filter("status = 'ok'").select(*own, "answer").join(keys, "batch_id"))
+    hits = rows.join(known.select("batch_id", "_known"), "batch_id").withColumns({"answer": F.get(F.array(F.col("_known")[F.col("idx")]), 0), "status": F.lit("cached")})
+    return hits.drop("_known").unionByName(new.drop("error")).drop(*own)
 
 
 def with_labels(answered: DataFrame, labels: list[str], fallback: str) -> DataFrame:

@@ -13,7 +13,8 @@ from talkmill.session import cut
 OTHER = "Other / Not Listed"
 OTHER_NAMES = ("other / not listed", "other", "not listed", "none", "n/a")
 
-# The topic and the subtopics that hold where none are given.
+# The topic and the subtopics that hold where none are given; the slugs are a contract with the files, the
+# definitions say in a few words what each of these subjects is.
 DEFAULT_TOPIC = "Donald Trump"
 DEFAULT_SUBTOPICS = {
     "mental_health": "Mental fitness: memory, decline, state of mind.",
@@ -38,17 +39,16 @@ def default_subtopics(spark: SparkSession) -> DataFrame:
 def with_position(df: DataFrame, name: str = "pos") -> DataFrame:
     """``df`` with the 0-based position of each row in the input, without bringing the rows together.
 
-    The rows are written to the shared folder once, so that their places within partitions stay as they are; a
-    count by partition, which is all that comes to the driver, gives what to add to them.
+    The rows are written to the shared folder once, so that their places within partitions stay as they are. What to
+    add to them is a row a partition, which is summed up by one task and sent to all.
     """
     numbered = cut(df).withColumn("_m", F.monotonically_increasing_id())
-    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
-    before, offsets = 0, []
-    for p, n in sorted((r.p, r.n) for r in numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
-        offsets += [F.lit(p), F.lit(before)]
-        before += n
-    start = F.create_map(*offsets)[part] if offsets else F.lit(0)
-    return numbered.withColumn(name, (place + start).cast("long")).drop("_m")
+    part = F.shiftright("_m", 33).cast("int")
+    sizes = numbered.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_start"))
+    placed = numbered.withColumn("_p", part).join(F.broadcast(starts), "_p")
+    return placed.select(*df.columns, (F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).cast("long").alias(name))
 
 
 def label_key(c: Column) -> Column:
@@ -91,7 +91,3 @@ def check_slugs(slugs: list[str], taken: list[str]) -> None:
     bad = [s for s in slugs if s in taken or s in ("index", "")]
     if bad:
         raise ValueError(f"subtopics that clash with other columns: {', '.join(bad)}")
-
-
-def rank_in(partition: str, *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(partition).orderBy(*order))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from talkmill.functions.arrow import map_rows
+from talkmill.functions.text import strip
 from talkmill.functions.timecode import ms_to_timecode
 from talkmill.models import BOUNDARY_RETRY, CLASS_RETRY, ModelClient, Retry
 from talkmill.operators import classify as cl
@@ -17,7 +18,7 @@ from talkmill.operators import sequence as seq
 from talkmill.operators.overlap import unprocessed
 from talkmill.operators.summary import label_summary, subtopic_summary
 from talkmill.operators.vocabulary import check_slugs, fallback_label, with_position
-from talkmill.sources.tables import valid_videos
+from talkmill.sources.tables import metadata_columns, valid_videos
 from talkmill.sources.transcripts import utterances
 
 BOUNDARY_SYSTEM = (
@@ -39,10 +40,9 @@ def chunked(read: DataFrame, chunk_ms: int, overlap_ms: int) -> DataFrame:
     """``read`` (with utterances) and, for each of its chunks, span, owned span and the blocks that go into the prompt."""
     t0, t1 = seq.extent(F.col("utterances"))
     df = read.withColumns({"utterances": seq.complete_ends(F.col("utterances"))}).withColumns({"t0": t0, "t1": t1})
-    df = df.withColumn("spans", seq.chunk_spans(F.col("t0"), F.col("t1"), chunk_ms, overlap_ms))
+    df = seq.settled(df, utterances=F.col("utterances"), t0=F.col("t0"), t1=F.col("t1"), spans=seq.chunk_spans(F.col("t0"), F.col("t1"), chunk_ms, overlap_ms))
     df = df.withColumn("own", seq.owned(F.col("spans"), overlap_ms))
-    blocks = seq.let(lambda us, spans: F.transform(spans, lambda s: seq.coalesce_windows(seq.slice_overlap(us, s["a"], s["b"]))), F.col("utterances"), F.col("spans"))
-    return df.withColumn("blocks", blocks)
+    return df.withColumn("blocks", seq.span_blocks(F.col("utterances"), F.col("spans")))
 
 
 def ask_boundaries(df: DataFrame, client: ModelClient, retry: Retry = BOUNDARY_RETRY) -> DataFrame:
@@ -77,40 +77,51 @@ def ask_boundaries(df: DataFrame, client: ModelClient, retry: Retry = BOUNDARY_R
 def bounds_from_replies(df: DataFrame) -> DataFrame:
     """``df`` with ``bounds``: each chunk's reply reconciled to its span, clipped to what it owns, merged over chunks, holes filled."""
     none = F.array().cast(seq.BOUNDS)
-    one = lambda s, own, blocks, reply: F.when(F.size(blocks) > 0, seq.clip(seq.reconcile(reply, s["a"], s["b"]), own["a"], own["b"])).otherwise(none)
-    each = F.transform(F.arrays_zip("spans", "own", "blocks", "replies"), lambda z: one(z["spans"], z["own"], z["blocks"], z["replies"]))
-    return df.withColumn("bounds", F.when(F.size("spans") > 0, seq.fill_gaps(seq.merge_chunks(each), F.col("t0"), F.col("t1"))).otherwise(F.array().cast(seq.BOUNDS)))
+    tiles = seq.reconcile_chunks(F.col("replies"), F.col("spans"), F.col("own"))
+    each = F.zip_with(tiles, F.col("blocks"), lambda t, blocks: F.when(F.size(blocks) > 0, t).otherwise(none))
+    merged = seq.settled(df, bounds=seq.merge_chunks(each))
+    return seq.settled(merged, bounds=F.when(F.size("spans") > 0, seq.fill_gaps(F.col("bounds"), F.col("t0"), F.col("t1"))).otherwise(none))
+
+
+# The columns of a segment beside those of its video.
+SEGMENT = ("video_url", "segment_id", "timecode_in_ms", "timecode_out_ms", "timecode_in", "timecode_out", "segment_duration_seconds", "segment_transcript", "topic")
+
+
+def new_videos(videos: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """The valid videos whose address, without white space around it, is not among ``earlier``."""
+    valid = valid_videos(videos)
+    return valid if earlier is None else unprocessed(valid, earlier, address=strip(F.col("source_url")))
 
 
 def segment_videos(
-    videos: DataFrame, client: ModelClient, earlier: DataFrame | None = None, chunk_ms: int = 600_000, overlap_ms: int = 15_000, keep: tuple[str, ...] = ("title", "creator_label", "upload_date"), fetch: Callable[[str], str | None] | None = None, retry: Retry = BOUNDARY_RETRY
+    videos: DataFrame, client: ModelClient, earlier: DataFrame | None = None, chunk_ms: int = 600_000, overlap_ms: int = 15_000, position: str | None = None, fetch: Callable[[str], str | None] | None = None, retry: Retry = BOUNDARY_RETRY
 ) -> DataFrame:
-    """The segments of all valid videos that weren't processed before, a row each, with the columns of the review file.
+    """The segments of all valid videos that weren't processed before, a row each, with what belongs to the video.
 
-    Transcripts stay in their rows from reading to the text of the segments; nothing shuffles but the anti join on
-    the addresses, which comes before any transcript is read. A failed video has no segments.
+    All columns of ``videos`` but the transcript go with each segment, as strings, and its length and place in the
+    input; those that are named like a column of a segment are left out. Transcripts stay in their rows from reading to
+    the text of the segments. A failed video has no segments.
     """
-    todo = valid_videos(videos)
-    if earlier is not None:
-        todo = unprocessed(todo, earlier)
-    keep = tuple(c for c in keep if c in videos.columns)
+    todo = new_videos(videos, earlier)
+    about = {name: c for name, c in metadata_columns(todo, position).items() if name not in SEGMENT}
     if "duration_seconds" not in todo.columns:
         todo = todo.withColumn("duration_seconds", F.lit(None).cast("string"))
-    read = utterances(todo, ["source_url", *keep], fetch=fetch).filter(F.size("utterances") > 0)
+    rows = todo.select(strip(F.col("source_url")).alias("video_url"), "transcript", F.col("duration_seconds").alias("_seconds"), F.struct(*[c.alias(n) for n, c in about.items()]).alias("_about"))
+    read = utterances(rows, ["video_url", "_about"], seconds_col="_seconds", fetch=fetch).filter(F.size("utterances") > 0)
     asked = ask_boundaries(chunked(read, chunk_ms, overlap_ms), client, retry).filter("failed is null")
-    done = bounds_from_replies(asked).withColumn("s", F.explode(seq.segments(F.col("utterances"), F.col("bounds"))))
-    return done.select(
-        F.col("source_url").alias("video_url"),
-        F.col("s.segment_id").alias("segment_id"),
-        *keep,
-        F.col("s.a").alias("timecode_in_ms"),
-        F.col("s.b").alias("timecode_out_ms"),
-        ms_to_timecode(F.col("s.a")).alias("timecode_in"),
-        ms_to_timecode(F.col("s.b")).alias("timecode_out"),
-        F.round((F.col("s.b") - F.col("s.a")) / 1000, 3).alias("segment_duration_seconds"),
-        F.lit("").alias("topic"),
-        F.col("s.text").alias("segment_transcript"),
-    )
+    done = bounds_from_replies(asked)
+    done = done.select("video_url", "_about", F.explode(seq.segments(F.col("utterances"), F.col("bounds"))).alias("s"))
+    own = {
+        "segment_id": F.col("s.segment_id"),
+        "timecode_in_ms": F.col("s.a"),
+        "timecode_out_ms": F.col("s.b"),
+        "timecode_in": ms_to_timecode(F.col("s.a")),
+        "timecode_out": ms_to_timecode(F.col("s.b")),
+        "segment_duration_seconds": F.round((F.col("s.b") - F.col("s.a")) / 1000, 3),
+        "segment_transcript": F.col("s.text"),
+        "topic": F.lit(""),
+    }
+    return done.select("video_url", "_about.*", *[c.alias(n) for n, c in own.items()])
 
 
 def label_segments(segments: DataFrame, codebook: DataFrame, client: ModelClient, cache: cl.AnswerCache | None = None, size: int = cl.BATCH, retry: Retry = CLASS_RETRY) -> tuple[DataFrame, DataFrame]:

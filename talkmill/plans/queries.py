@@ -18,8 +18,8 @@ from talkmill.operators.overlap import overlap_join, unprocessed
 from talkmill.operators.summary import label_summary, subtopic_summary
 from talkmill.operators.vocabulary import OTHER, first_spellings, label_key, override, slugged, with_other, with_position
 from talkmill.plans import pipelines
-from talkmill.session import table
-from talkmill.sources.tables import valid_segments, valid_videos
+from talkmill.session import spread, table
+from talkmill.sources.tables import metadata, valid_segments, valid_videos
 from talkmill.sources.transcripts import page_text, utterances
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,15 +54,11 @@ x AS (SELECT doc_id, min(start_ms) AS t0, max(end_ms) AS t1 FROM u GROUP BY doc_
 
 def timed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, utterances, t0, t1) of the documents with at least one sentence."""
-    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", sentences(F.col("text")).alias("s")).filter(F.size("s") > 0)
-
-    # A running sum, by a fold that carries the utterances and where the last of them ended.
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + CHAR_MS * F.length(x)
-        return F.struct(F.array_append(acc["out"], F.struct(acc["at"].alias("start_ms"), end.alias("end_ms"), x.alias("text"))).alias("out"), end.alias("at"))
-
-    u = F.aggregate("s", F.struct(F.array().cast(seq.UTTERANCES).alias("out"), F.lit(0).cast("bigint").alias("at")), step, lambda acc: acc["out"])
-    d = d.select("doc_id", F.explode(F.array(u)).alias("utterances"))  # a generator keeps the fold from being repeated by what follows
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).filter("text is not null").select("doc_id", sentences(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    length = lambda x: (CHAR_MS * F.length(x)).cast("bigint")
+    timed = lambda s, ends: F.zip_with(s, ends, lambda x, end: F.struct((end - length(x)).alias("start_ms"), end.alias("end_ms"), x.alias("text")))
+    u = seq.let(timed, F.col("s"), seq.running_sum(F.transform("s", length)))
+    d = seq.settled(d, utterances=u).select("doc_id", "utterances")
     t0, t1 = seq.extent(F.col("utterances"))
     return d.withColumns({"t0": t0, "t1": t1})
 
@@ -78,7 +74,7 @@ SELECT doc_id, pos, pos * step AS start_ms, CASE WHEN pos = n - 1 THEN total ELS
 )
 def sentences_even_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences spread evenly over a reading time."""
-    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", sentences(F.col("text")).alias("s"), (F.coalesce("n_chars", F.lit(0)) / 15.0).alias("seconds"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")).filter("text is not null").select("doc_id", sentences(F.col("text")).alias("s"), (F.coalesce("n_chars", F.lit(0)) / 15.0).alias("seconds"))
     return _rows(d.select("doc_id", seq.even_spacing(F.col("s"), F.col("seconds")).alias("utterances")))
 
 
@@ -106,7 +102,7 @@ SELECT video_url, segment_id, timecode_in, timecode_out, CASE WHEN i IS NULL OR
 )
 def segment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid segments with derived times."""
-    return valid_segments(table(spark, sf_dir, "segments_review")).select("video_url", "segment_id", "timecode_in", "timecode_out", "timecode_in_ms", "timecode_out_ms", "segment_duration_seconds")
+    return valid_segments(spread(table(spark, sf_dir, "segments_review"))).select("video_url", "segment_id", "timecode_in", "timecode_out", "timecode_in_ms", "timecode_out_ms", "segment_duration_seconds")
 
 
 @query(
@@ -115,7 +111,22 @@ FROM videos WHERE coalesce({_strip("source_url")}, '') <> '' AND coalesce({_stri
 )
 def video_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid videos with their durations."""
-    return valid_videos(table(spark, sf_dir, "videos")).select("row_id", strip(F.col("source_url")).alias("source_url"), F.round(safe_seconds(F.col("duration_seconds")), 3).alias("seconds"), F.length("transcript").alias("n_chars"))
+    return valid_videos(spread(table(spark, sf_dir, "videos"))).select("row_id", strip(F.col("source_url")).alias("source_url"), F.round(safe_seconds(F.col("duration_seconds")), 3).alias("seconds"), F.length("transcript").alias("n_chars"))
+
+
+_ABOUT = ("source_url", "duration_seconds", "title", "creator_label", "upload_date", "view_count", "batch_no")
+_SECONDS = rf"coalesce(CASE WHEN regexp_matches({_strip('duration_seconds')}, '^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN try_cast({_strip('duration_seconds')} AS DOUBLE) END, 0)"
+
+
+@query(
+    f"""WITH v AS (SELECT * FROM videos WHERE coalesce({_strip("source_url")}, '') <> '' AND coalesce({_strip("transcript")}, '') <> '' AND NOT contains(transcript, '{NO_CAPTIONS}'))
+{" UNION ALL ".join(f"SELECT row_id, '{c}' AS name, coalesce({_strip(f'{c}::VARCHAR')}, '') AS value FROM v" for c in _ABOUT)}
+UNION ALL SELECT row_id, 'input_row_index', row_id::VARCHAR FROM v UNION ALL SELECT row_id, 'video_duration_seconds', CASE WHEN {_SECONDS} > 0 THEN round({_SECONDS}, 3)::VARCHAR ELSE '' END FROM v"""
+)
+def segment_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes with each segment of a valid video, a row each: its columns as strings, its place in the input and its length."""
+    v = valid_videos(spread(table(spark, sf_dir, "videos").select("row_id", "transcript", *_ABOUT)))
+    return v.select("row_id", F.explode(metadata(v, "row_id")).alias("name", "value"))
 
 
 @query("SELECT row_id, source_url, creator_label FROM videos WHERE NOT EXISTS (SELECT 1 FROM segments_review s WHERE s.video_url = source_url)")
@@ -163,7 +174,7 @@ owned AS (SELECT *, CASE WHEN k = last THEN b ELSE b - {OVERLAP_MS} END AS own_b
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = timed_documents(spark, sf_dir).withColumn("spans", seq.chunk_spans(F.col("t0"), F.col("t1"), CHUNK_MS, OVERLAP_MS))
+    d = seq.settled(timed_documents(spark, sf_dir), spans=seq.chunk_spans(F.col("t0"), F.col("t1"), CHUNK_MS, OVERLAP_MS))
     return d.withColumn("own", seq.owned(F.col("spans"), OVERLAP_MS))
 
 
@@ -206,8 +217,8 @@ merged AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM g GROUP BY doc_id, islan
 
 def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _spans(spark, sf_dir)
-    each = seq.let(lambda reply, spans, own: F.zip_with(spans, own, lambda s, o: seq.clip(seq.reconcile(reply, s["a"], s["b"]), o["a"], o["b"])), _reply(F.col("utterances")), F.col("spans"), F.col("own"))
-    return d.withColumn("bounds", seq.merge_chunks(each))
+    replies = F.array_repeat(_reply(F.col("utterances")), F.size("spans"))
+    return seq.settled(d, bounds=seq.merge_chunks(seq.reconcile_chunks(replies, F.col("spans"), F.col("own"))))
 
 
 @query(f"WITH {_MERGED} SELECT doc_id, a, b FROM merged")
@@ -219,7 +230,7 @@ def merge_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_MERGED}, kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS n FROM merged), odd AS (SELECT k.doc_id, k.a, k.b, x.t0, x.t1 FROM kept k JOIN x USING (doc_id) WHERE n % 2 = 1), l AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), t0) AS prev FROM odd) SELECT doc_id, a, b FROM l UNION ALL SELECT doc_id, prev, a FROM l WHERE a > prev UNION ALL SELECT doc_id, max(b), max(t1) FROM l GROUP BY doc_id HAVING max(b) < max(t1)")
 def fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second bound taken away and the holes filled."""
-    some = _bounds(spark, sf_dir).withColumn("bounds", F.filter("bounds", lambda x, i: i % 2 == 0))
+    some = seq.settled(_bounds(spark, sf_dir), bounds=F.filter("bounds", lambda x, i: i % 2 == 0))
     return _rows(some.select("doc_id", seq.fill_gaps(F.col("bounds"), F.col("t0"), F.col("t1")).alias("r")), "r").drop("pos")
 
 
@@ -270,7 +281,7 @@ SELECT c.label, coalesce(n, 0) AS n_segments, coalesce(t, 0) AS total_runtime_se
 )
 def codebook_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments, runtime and samples by label, with the labels that have none."""
-    s = table(spark, sf_dir, "labeled_segments").withColumn("pos", F.struct("video_url", "segment_id", "labeled_at", "segment_transcript"))
+    s = spread(table(spark, sf_dir, "labeled_segments")).withColumn("pos", F.struct("video_url", "segment_id", "labeled_at", "segment_transcript"))
     return label_summary(s, _codebook(spark, sf_dir), OTHER)
 
 
@@ -288,7 +299,7 @@ FROM (SELECT unnest([{", ".join(f"'{w}'" for w in _TOPIC_WORDS)}]) AS slug) w LE
 )
 def subtopics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentiments by subtopic over the segments of one topic; a sentiment outside the list doesn't count."""
-    s = table(spark, sf_dir, "labeled_segments").filter("codebook_label = 'Economy'").withColumn("pos", F.struct("video_url", "segment_id", "labeled_at", "segment_transcript"))
+    s = spread(table(spark, sf_dir, "labeled_segments")).filter("codebook_label = 'Economy'").withColumn("pos", F.struct("video_url", "segment_id", "labeled_at", "segment_transcript"))
     turn = F.element_at(F.array(*[F.lit(x) for x in ("positive", "negative", "neutral", "odd")]), F.pmod("segment_id", F.lit(4)).cast("int") + 1)
     said = lambda w: F.when(F.lower("segment_transcript").contains(w), turn).otherwise("not_discussed")
     s = s.withColumn("sentiments", F.create_map(*[x for w in _TOPIC_WORDS for x in (F.lit(w), said(w))]))
@@ -340,11 +351,11 @@ def labels_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.fill_missing(table(spark, sf_dir, "segments_review").select(*keys).distinct(), replies, keys, "codebook_label", OTHER)
 
 
-@query(f"SELECT video_url, segment_id, left(segment_transcript, 300) AS preview, left(segment_transcript, 700) AS prompt, regexp_replace({_strip(f'segment_transcript')}, '{_WS}+', ' ', 'g') AS flat, sha256(segment_transcript) AS hash FROM labeled_segments WHERE codebook_label = 'Sport'")
+@query(f"SELECT video_url, segment_id, left(segment_transcript, 300) AS preview, left(segment_transcript, 700) AS prompt, regexp_replace({_strip(f'segment_transcript')}, '{_WS}+', ' ', 'g') AS flat, sha256(segment_transcript) AS hash FROM labeled_segments")
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The segments of one topic with previews, prompt texts, spacing made even, and hashes."""
+    """Segments with previews, prompt texts, spacing made even, and hashes."""
     t = F.col("segment_transcript")
-    return table(spark, sf_dir, "labeled_segments").filter("codebook_label = 'Sport'").select("video_url", "segment_id", preview(t).alias("preview"), cl.prompt_text(t).alias("prompt"), collapse(t).alias("flat"), F.sha2(t, 256).alias("hash"))
+    return spread(table(spark, sf_dir, "labeled_segments").select("video_url", "segment_id", "segment_transcript")).select("video_url", "segment_id", preview(t).alias("preview"), cl.prompt_text(t).alias("prompt"), collapse(t).alias("flat"), F.sha2(t, 256).alias("hash"))
 
 
 @query("SELECT DISTINCT label, " + _SLUG("label") + " AS slug FROM (SELECT label FROM codebook UNION ALL SELECT label FROM subtopics UNION ALL SELECT creator_label FROM videos) WHERE label IS NOT NULL")
@@ -357,27 +368,27 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the pages among the transcripts show; no SQL, as it takes an HTML parser."""
-    pages = table(spark, sf_dir, "videos").filter(F.col("transcript").rlike(r"^\s*<[a-zA-Z!]")).select("row_id", "transcript")
+    pages = spread(table(spark, sf_dir, "videos").select("row_id", "transcript")).filter(F.col("transcript").rlike(r"^\s*<[a-zA-Z!]")).select("row_id", "transcript")
     return map_rows(pages, "row_id long, text string", lambda _, ids, texts: [ids, [page_text(t) for t in texts]])
 
 
 @query()
 def transcript_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All transcripts in whatever form as timed utterances; no SQL, as forms are mixed within one transcript."""
-    read = utterances(table(spark, sf_dir, "videos"), ["row_id"])
+    read = utterances(spread(table(spark, sf_dir, "videos").select("row_id", "transcript", "duration_seconds")), ["row_id"])
     return read.select("row_id", "form", F.posexplode("utterances").alias("pos", "u")).select("row_id", "form", "pos", "u.*")
 
 
 @query()
 def segmented_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All videos through the first stage, with the offline model; no SQL."""
-    return pipelines.segment_videos(table(spark, sf_dir, "videos"), Heuristic())
+    return pipelines.segment_videos(spread(table(spark, sf_dir, "videos")), Heuristic())
 
 
 @query()
 def labelled_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All segments through the second stage, with the offline model; no SQL."""
-    segments = with_position(valid_segments(table(spark, sf_dir, "segments_review")).select("video_url", "segment_id", "segment_transcript", "segment_duration_seconds"))
+    segments = with_position(valid_segments(spread(table(spark, sf_dir, "segments_review"))).select("video_url", "segment_id", "segment_transcript", "segment_duration_seconds"))
     labelled, _ = pipelines.label_segments(segments, _codebook(spark, sf_dir), Heuristic())
     return labelled.select("video_url", "segment_id", "codebook_label", "status")
 

@@ -24,11 +24,18 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "tal
     )
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether all executors are on this machine and so share its folders."""
+    return spark.sparkContext.master.startswith(("local[", "local-cluster[")) or spark.sparkContext.master == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one in a local session and an error on a cluster."""
     sc = spark.sparkContext
     set_dir = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
     if not set_dir:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_dir = tempfile.mkdtemp(prefix="talkmill-ckpt-", dir=os.environ.get("TMPDIR"))
         sc.setCheckpointDir(set_dir)
     elif not sc.getCheckpointDir():
@@ -36,6 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage, so that later reads survive a lost executor."""
     shared_dir(df.sparkSession)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 from datetime import datetime
 from pathlib import Path
 
@@ -31,22 +31,34 @@ def review_rows(segments: DataFrame) -> DataFrame:
     return df.select(*[F.col(c) if c in df.columns else F.lit("").alias(c) for c in REVIEW])
 
 
-def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).json(path)
-
-
 def write_json_array(df: DataFrame, path: str, *order: str) -> None:
-    """One JSON array, indented, with characters as they are, streamed through the driver a partition at a time; for small results."""
-    out = Path(path)
-    out.parent.mkdir(parents=True, exist_ok=True)
-    part = out.with_suffix(out.suffix + ".part")
-    with part.open("w", encoding="utf-8") as f:
-        f.write("[")
-        for i, row in enumerate((df.orderBy(*order) if order else df).toLocalIterator()):
-            text = json.dumps(row.asDict(recursive=True), ensure_ascii=False, indent=2, default=str)
-            f.write(("," if i else "") + "\n  " + text.replace("\n", "\n  "))
-        f.write("\n]\n")
-    part.replace(out)
+    """One JSON array in one file, with characters as they are and nulls written out, in the order of the rows or by ``order``.
+
+    The tasks write the rows; the driver puts their files together byte by byte, so nothing of a result has to fit in
+    memory. The file appears when it is whole; one that is there is replaced.
+    """
+    spark = df.sparkSession
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    rows = df.orderBy(*order) if order else df
+    rows.select(F.concat(F.lit(","), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))).write.text(parts)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = place(f"{parts}/whole")
+    out, empty = fs.create(whole, True), True
+    out.write(bytearray(b"["))
+    for name in sorted(s.getPath().getName() for s in fs.listStatus(place(parts)) if s.getPath().getName().startswith("part-") and s.getLen()):
+        part = fs.open(place(f"{parts}/{name}"))
+        if empty:
+            part.read()  # the comma before the first row
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+        part.close()
+        empty = False
+    out.write(bytearray(b"]\n"))
+    out.close()
+    fs.delete(place(path), True)
+    fs.rename(whole, place(path))
+    fs.delete(place(parts), True)
 
 
 def label_first(df: DataFrame, last: list[str]) -> DataFrame:

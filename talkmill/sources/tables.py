@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import NO_CAPTIONS, first_colon, is_blank, slug, strip
 from talkmill.functions.timecode import both_or_zero, safe_seconds, timecode_to_ms
 from talkmill.operators.vocabulary import with_position
+from talkmill.session import path_exists
 
 # Fixed value: the longest field a CSV file may have.
 LONGEST_FIELD = 10_000_000
@@ -31,15 +34,19 @@ def valid_videos(videos: DataFrame) -> DataFrame:
     return require(videos, "source_url", "transcript").filter(~is_blank(F.col("source_url")) & ~is_blank(F.col("transcript")) & ~t.contains(NO_CAPTIONS))
 
 
-def metadata(videos: DataFrame, position: str | None = None) -> Column:
-    """All columns but the transcript as a map of stripped strings, with the duration to three places, empty if it is 0, and the 1-based position."""
-    kept = [c for c in videos.columns if c not in ("transcript", position)]
-    seconds = F.coalesce(safe_seconds(F.col("duration_seconds")), F.lit(0.0)) if "duration_seconds" in videos.columns else F.lit(0.0)
-    entries = [x for c in kept for x in (F.lit(c), F.coalesce(strip(F.col(c).cast("string")), F.lit("")))]
-    entries += [F.lit("video_duration_seconds"), F.when(seconds > 0, F.round(seconds, 3).cast("string")).otherwise("")]
+def metadata_columns(videos: DataFrame, position: str | None = None) -> dict[str, Column]:
+    """What goes with each segment of a video: all columns but the transcript as stripped strings, nulls empty, its 1-based position in the input if it is given, and the duration to three places, empty if it is 0."""
+    out = {c: F.coalesce(strip(F.col(c).cast("string")), F.lit("")) for c in videos.columns if c not in ("transcript", position)}
     if position:
-        entries += [F.lit("input_row_index"), F.col(position).cast("string")]
-    return F.create_map(*entries)
+        out["input_row_index"] = F.col(position).cast("string")
+    seconds = F.coalesce(safe_seconds(F.col("duration_seconds").cast("string")), F.lit(0.0)) if "duration_seconds" in videos.columns else F.lit(0.0)
+    out["video_duration_seconds"] = F.when(seconds > 0, F.round(seconds, 3).cast("string")).otherwise("")
+    return out
+
+
+def metadata(videos: DataFrame, position: str | None = None) -> Column:
+    """:func:`metadata_columns` as a map."""
+    return F.create_map(*[x for name, c in metadata_columns(videos, position).items() for x in (F.lit(name), c)])
 
 
 def valid_segments(segments: DataFrame, keep_bad_seconds_null: bool = False) -> DataFrame:
@@ -89,8 +96,32 @@ def read_subtopics(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("slug", slug(F.col("label")))
 
 
+def _is_array(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins as a JSON array; a folder has records in lines."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():
+        return False
+    f = fs.open(p)
+    try:
+        c = f.read()
+        while c != -1 and c in b" \t\r\n\xef\xbb\xbf":
+            c = f.read()
+        return c == ord("[")
+    finally:
+        f.close()
+
+
 def processed_urls(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(video_url) of the segments.json files of earlier runs, once each."""
-    if not paths:
-        return spark.createDataFrame([], "video_url string")
-    return spark.read.option("multiLine", True).json(paths).select("video_url").filter("video_url is not null").distinct()
+    """(video_url) of the segments of earlier runs, once each: arrays as this engine and others write them, or records in lines.
+
+    A file that isn't there is warned of and left out.
+    """
+    out = spark.createDataFrame([], "video_url string")
+    for path in paths:
+        if not path_exists(spark, path):
+            warnings.warn(f"no segments at {path}; nothing is skipped for it", stacklevel=2)
+            continue
+        out = out.unionByName(spark.read.schema("video_url string").option("multiLine", _is_array(spark, path)).json(path))
+    return out.filter("video_url is not null").distinct()

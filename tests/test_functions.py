@@ -18,13 +18,12 @@ def test_timecode_to_ms(spark):
     assert one(spark, timecode.timecode_to_ms, "1:01", "1:01:01", "61", " 0:05 ", "1:2x", "", None) == [61000, 3661000, 0, 5000, None, 0, None]
 
 
-def test_caption_times(spark):
-    assert one(spark, timecode.caption_to_ms, "00:00:01.2", "01:02.345", "1:02:03", "00:00:01.23456", "x") == [1200, 62345, 3723000, 1234, None]
+def test_caption_times():
+    assert [tr.clock_ms(x) for x in ("00:00:01.2", "01:02.345", "1:02:03", "00:00:01.23456", "x")] == [1200, 62345, 3723000, 1234, None]
 
 
 @pytest.mark.parametrize(("unit", "given", "want"), [("seconds", ["1.5", "1500ms", "1:02,5", "<00:00:01.000>", "abc", ""], [1500, 1500, 62500, 1000, None, None]), ("ms", ["2s", "7"], [2000, 7])])
-def test_value_to_ms(spark, unit, given, want):
-    assert one(spark, lambda c: timecode.value_to_ms(c, unit), *given) == want
+def test_value_to_ms(unit, given, want):
     assert [tr.time_ms(v, 1000.0 if unit == "seconds" else 1.0) for v in given] == want
 
 

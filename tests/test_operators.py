@@ -66,6 +66,49 @@ def test_overlap_and_anti_join(spark):
     assert sorted(r[0] or "" for r in rows(unprocessed(v, spark.createDataFrame([("x",), (None,)], "video_url string")))) == ["", "y"]
 
 
+def test_overlap_join_by_buckets(spark):
+    """One video over many buckets, against brute force; each pair once."""
+    import random
+
+    rng = random.Random(3)
+    us = [(1, a, a + rng.choice([0, 1, 40, 900]), i) for i, a in enumerate(rng.choices(range(2000), k=150))]
+    ss = [(1, a, a + rng.choice([1, 30, 700]), 7) for a in rng.choices(range(2000), k=60)] + [(None, 0, 9, 7)]
+    u = spark.createDataFrame(us, "v int, start_ms long, end_ms long, n int")
+    s = spark.createDataFrame(ss, "v int, a long, b long, _bucket int").drop("_bucket")
+    want = sorted((a, b, i) for _, x, y, i in us for v, a, b, _ in ss if v and y > a and x < b)
+    for bucket in (50, 333, 1_000_000):
+        assert sorted((r.a, r.b, r.n) for r in overlap_join(u, s, "v", bucket).collect()) == want
+
+
+@pytest.mark.parametrize("most", [1 << 20, 200, 40, 0])
+def test_skipping_whatever_the_sizes(spark, most):
+    """The earlier addresses, the hits or the new ones are sent to the tasks, or the table shuffles: the result is the same."""
+    v = spark.createDataFrame([(f"u{i % 9}", i) for i in range(40)] + [(None, 77), (" u1 ", 78)], "source_url string, n int")
+    earlier = spark.createDataFrame([(f"u{i}",) for i in range(1, 3)] + [(f"old{i}",) for i in range(30)] + [(None,)], "video_url string")
+    want = sorted([i for i in range(40) if i % 9 not in (1, 2)] + [77, 78])
+    assert sorted(r.n for r in unprocessed(v, earlier, most_bytes=most).collect()) == want
+    got = unprocessed(v, earlier, address=F.trim("source_url"), most_bytes=most)
+    assert got.columns == v.columns and sorted(r.n for r in got.collect()) == want[:-1]
+
+
+def test_texts_shuffle_once(spark):
+    from talkmill.models import Heuristic
+
+    s = spark.range(100).selectExpr("id pos", "'u' video_url", "id segment_id", "concat('t', id) segment_transcript", "1.5D segment_duration_seconds", "cast(null as int) key", "current_timestamp() answered")
+    got = cl.classify(s, Heuristic(), cl.label_prompt([("A", "a"), ("Other", None)], "Other"), cl.label_schema(["A", "Other"]))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert got.columns == [*s.columns, "answer", "status"] and sorted(r.pos for r in got.collect()) == list(range(100))
+
+
+def test_a_cache_that_cannot_be_read_is_an_error(spark, tmp_path):
+    assert cl.AnswerCache(spark, str(tmp_path / "none")).read().count() == 0
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # noqa: B017 - whatever Spark raises
+        cl.AnswerCache(spark, str(tmp_path / "broken")).read().collect()
+
+
 def test_validity(spark):
     v = spark.createDataFrame([("u", "t", "1.23456"), (" ", "t", None), ("u", None, None), ("u", "About Press Copyright Contact us Creators Advertise", None)], "source_url string, transcript string, duration_seconds string")
     one = valid_videos(v).select(metadata(v)).collect()

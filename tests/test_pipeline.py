@@ -39,7 +39,11 @@ def test_segments(spark):
     assert all(x.timecode_out_ms == y.timecode_in_ms for x, y in zip(a, a[1:]))
     assert [(r.timecode_in_ms, r.timecode_out_ms) for r in a] == [(0, 300000), (300000, 885000), (885000, 1335000), (1335000, 1500000)]
     assert a[0].segment_transcript.split()[0] == "w0" and [r.segment_transcript for r in got if r.video_url == "b"] == ["One.", "Two."]
-    assert a[0].timecode_out == "5:00" and a[0].segment_duration_seconds == 300.0 and a[0].title == "T"
+    assert a[0].timecode_out == "5:00" and a[0].segment_duration_seconds == 300.0 and a[0].title == "T" and a[0].source_url == "a"
+    assert (a[0].video_duration_seconds, next(r for r in got if r.video_url == "b").video_duration_seconds) == ("", "240.0")
+    clash = videos(spark).withColumns({"topic": F.lit("x"), "segment_id": F.lit(9), "video_url": F.lit("z"), "spans": F.lit("s"), "row": F.lit(3), "_about": F.lit("q")})
+    other = pipelines.segment_videos(clash, Halves(), earlier, position="row", retry=Retry(1, 10, False, 0)).filter("video_url = 'a'").orderBy("segment_id").collect()
+    assert [(r.segment_id, r.topic, r.spans, r.input_row_index) for r in other] == [(i, "", "s", "3") for i in range(4)]
     assert pipelines.segment_videos(videos(spark).limit(0), Halves()).count() == 0
 
 
@@ -105,6 +109,15 @@ def test_files(spark, tmp_path):
     assert [x["video_url"] for x in json.loads((tmp_path / "s.json").read_text())] == ["u", "v"]
     assert [r.video_url for r in tables.processed_urls(spark, [str(tmp_path / "s.json")]).orderBy("video_url").collect()] == ["u", "v"]
     assert tables.processed_urls(spark, []).count() == 0
+    files.write_json_array(df, str(tmp_path / "s.json"))  # again, in the place of the first
+    assert json.loads((tmp_path / "s.json").read_text())[0] == {"video_url": "u", "segment_id": 0, "segment_transcript": 'a "q"\nb, c', "title": None}
+    files.write_json_array(df.limit(0), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == [] and not list(tmp_path.glob("*.parts-*"))
+    df.write.json(str(tmp_path / "lines"))
+    (tmp_path / "indented.json").write_text("\n " + json.dumps([{"video_url": f"w{i}", "x": {"y": [1]}} for i in range(10)], indent=2))
+    with pytest.warns(UserWarning, match="gone.json"):
+        got = tables.processed_urls(spark, [str(tmp_path / n) for n in ("s.json", "none.json", "lines", "indented.json", "gone.json")])
+    assert sorted(r.video_url for r in got.collect()) == sorted(["u", "v", *[f"w{i}" for i in range(10)]])
 
 
 def test_vocabulary_files(spark, tmp_path):
@@ -116,20 +129,52 @@ def test_vocabulary_files(spark, tmp_path):
 
 
 def test_commands(spark, tmp_path):
-    (tmp_path / "videos.csv").write_text('source_url,transcript,duration_seconds,title\nu,"Prices rise. Wages fall. ""So"", he said.",90,T\n')
+    run = lambda *a: cli.main(["--offline", *a, "--cache-dir", str(tmp_path / "cache")])
+    source = tmp_path / "videos.csv"
+    source.write_text('source_url,transcript,duration_seconds,title,extra\nu,"Prices rise. Wages fall. ""So"", he said.",90,T, x \n v ,One. Two.,,,\n,no address,1,,\n')
     out = tmp_path / "out"
-    assert cli.main(["--offline", "segment", "--input", str(tmp_path / "videos.csv"), "--output-dir", str(out), "--cache-dir", str(tmp_path / "cache")]) == 0
-    run = next(out.iterdir())
-    review = tables.read_csv(spark, str(run / "segments_review.csv")).collect()
-    assert len(review) == 1 and review[0].segment_transcript.startswith("Prices rise.")
+    assert run("segment", "--input", str(source), "--output-dir", str(out)) == 0
+    first = next(out.iterdir())
+    review = tables.read_csv(spark, str(first / "segments_review.csv")).orderBy("video_url").collect()
+    assert len(review) == 2 and review[0].segment_transcript.startswith("Prices rise.") and review[1].video_url == "v"
+    written = sorted(json.loads((first / "segments.json").read_text()), key=lambda r: r["video_url"])
+    assert [(r["video_url"], r["extra"], r["input_row_index"], r["video_duration_seconds"], r["segment_id"]) for r in written] == [("u", "x", "1", "90.0", 0), ("v", "", "2", "", 0)]
+    # What a run wrote is skipped by the next: nothing is left, or what is new.
+    with pytest.raises(SystemExit, match="segmented already"):
+        run("segment", "--input", str(source), "--output-dir", str(tmp_path / "o2"), "--skip-segments", str(first / "segments.json"))
+    source.write_text(source.read_text() + "w,Three. Four.,,,\n")
+    with pytest.warns(UserWarning, match="nowhere"):
+        run("segment", "--input", str(source), "--output-dir", str(tmp_path / "o3"), "--skip-segments", str(first / "segments.json"), str(tmp_path / "nowhere.json"))
+    assert [r["video_url"] for r in json.loads((next((tmp_path / "o3").iterdir()) / "segments.json").read_text())] == ["w"]
+    (tmp_path / "none.csv").write_text("source_url,transcript\n,x\n")
+    with pytest.raises(SystemExit, match="no video with"):
+        run("segment", "--input", str(tmp_path / "none.csv"), "--output-dir", str(tmp_path / "o4"))
+
     (tmp_path / "book.txt").write_text("Economy: prices and wages\n")
-    labelled = tmp_path / "labelled"
-    assert cli.main(["--offline", "label", "--input", str(run / "segments_review.csv"), "--codebook", str(tmp_path / "book.txt"), "--output-dir", str(labelled), "--cache-dir", str(tmp_path / "cache")]) == 0
-    done = next(labelled.iterdir())
-    assert tables.read_csv(spark, str(done / "labeled_segments.csv")).first().codebook_label == "Economy"
+    done = tmp_path / "labelled"
+    for _ in range(2):  # a second run finds its answers in the cache and replaces the results
+        assert run("label", "--input", str(first / "segments_review.csv"), "--codebook", str(tmp_path / "book.txt"), "--output-dir", str(done)) == 0
+        assert [r.codebook_label for r in tables.read_csv(spark, str(done / "labeled_segments.csv")).orderBy("video_url").collect()] == ["Economy", "Other / Not Listed"]
+        assert sorted(r["codebook_label"] for r in json.loads((done / "segments.json").read_text())) == ["Economy", "Other / Not Listed"]
     (tmp_path / "sub.txt").write_text("Wages: prices wages\n")
-    assert cli.main(["--offline", "subtopics", "--input", str(done / "labeled_segments.csv"), "--topic-label", "Economy", "--subtopics", str(tmp_path / "sub.txt"), "--output-dir", str(tmp_path / "sub"), "--cache-dir", str(tmp_path / "cache")]) == 0
-    assert tables.read_csv(spark, str(next((tmp_path / "sub").iterdir()) / "subtopic_summary.csv")).first().subtopic == "wages"
+    assert run("subtopics", "--input", str(done / "labeled_segments.csv"), "--topic-label", "Economy", "--subtopics", str(tmp_path / "sub.txt"), "--output-dir", str(tmp_path / "sub")) == 0
+    assert tables.read_csv(spark, str(tmp_path / "sub" / "subtopic_summary.csv")).first().subtopic == "wages"
+    assert [r["wages"] for r in json.loads((tmp_path / "sub" / "segments.json").read_text())] == ["neutral"]
+    with pytest.raises(SystemExit, match="no segment has"):
+        run("subtopics", "--input", str(done / "labeled_segments.csv"), "--topic-label", "Nothing", "--output-dir", str(tmp_path / "sub"))
+
+
+def test_env_files(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# a comment\nexport TM_A = 'one'\nTM_B=two=2\nTM_C=no\n= x\n")
+    monkeypatch.setenv("TM_C", "kept")
+    for k in ("TM_A", "TM_B"):
+        monkeypatch.delenv(k, raising=False)
+    cli.load_env(str(tmp_path / "nowhere"), str(tmp_path))
+    import os
+
+    assert [os.environ.get(k) for k in ("TM_A", "TM_B", "TM_C")] == ["one", "two=2", "kept"]
+    for k in ("TM_A", "TM_B"):
+        monkeypatch.delenv(k)
 
 
 @pytest.mark.parametrize("args", [["segment", "--input", "x", "--chunk-minutes", "1", "--overlap-seconds", "60"], ["label", "--input", "x", "--codebook", "y", "--batch-size", "0"]])

@@ -100,3 +100,35 @@ def test_overlap_text(spark):
     assert (cut(0, 10), cut(10, 20)) == ("a b", "b")
     x = df.withColumn("b", F.expr("array(named_struct('a',0L,'b',9L),named_struct('a',30L,'b',40L),named_struct('a',12L,'b',14L))"))
     assert [tuple(r) for r in x.select(seq.segments(F.col("u"), F.col("b"))).first()[0]] == [(0, 0, 9, "a b"), (1, 12, 14, "b")]
+
+
+def test_a_hundred_thousand_utterances(spark):
+    """Every operator over one long video, within a time that a quadratic one wouldn't keep."""
+    import time
+
+    n = 100_000
+    long = f"transform(sequence(0L, {n - 1}L), i -> named_struct('start_ms', i * 300, 'end_ms', i * 300 + 250, 'text', concat('w', i)))"
+    df = seq.settled(spark.range(1), u=F.expr(long)).withColumn("u", F.col("u").cast(seq.UTTERANCES))
+    began = time.time()
+    holes = F.transform("u", lambda x, i: F.struct(F.when(i % 5 != 2, x["start_ms"]).alias("start_ms"), F.when(i % 3 != 1, x["end_ms"]).alias("end_ms"), x["text"].alias("text")))
+    assert df.select(F.size(seq.fill_times(holes))).first()[0] == n
+    assert df.select(F.size(seq.complete_ends(F.col("u")))).first()[0] == n
+    blocks = df.select(seq.coalesce_windows(F.col("u")).alias("b")).select(F.size("b"), F.col("b")[1]["text"]).first()
+    assert blocks[0] == -(-n // 27) and blocks[1].split()[0] == "w27"
+    x = seq.settled(df, x=F.transform("u", lambda v: F.struct((v["start_ms"] - 100).alias("a"), (v["end_ms"] + 100).alias("b"))))
+    tiles = seq.settled(x, t=seq.reconcile(F.col("x"), F.lit(0), F.lit(n * 300)))
+    assert tiles.select(F.size("t")).first()[0] == n
+    assert tiles.select(F.size(seq.merge_chunks(F.transform("t", lambda v: F.array(v))))).first()[0] == 1
+    spans = seq.settled(df, s=seq.chunk_spans(F.lit(0), F.lit(n * 300), 600_000, 15_000))
+    assert spans.select(F.size(F.flatten(seq.span_blocks(F.col("u"), F.col("s"))))).first()[0] > n // 27
+    assert spans.select(F.size(seq.segments(F.col("u"), F.col("s")))).first()[0] == spans.select(F.size("s")).first()[0]
+    assert seq.settled(df, k=seq.running_sum(F.transform("u", lambda v: F.lit(2).cast("bigint")))).select(F.element_at("k", -1)).first()[0] == 2 * n
+    assert time.time() - began < 60
+
+
+def test_rows_without_arrays(spark):
+    df = spark.createDataFrame([(None, None), ([], [])], f"u {seq.UTTERANCES}, x {seq.BOUNDS}")
+    cols = [seq.fill_times(F.col("u")), seq.coalesce_windows(F.col("u")), seq.segments(F.col("u"), F.col("x")), seq.span_blocks(F.col("u"), F.col("x")), seq.complete_ends(F.col("u"))]
+    for c in cols:
+        assert [r[0] for r in df.select(c).collect()] == [None, []]
+    assert [r[0] for r in df.select(seq.reconcile(F.col("x"), F.lit(0), F.lit(5))).collect()] == [None, [(0, 5)]]
