@@ -20,7 +20,7 @@ from talkmill.operators.vocabulary import OTHER, first_spellings, label_key, ove
 from talkmill.plans import pipelines
 from talkmill.session import spread, table
 from talkmill.sources.tables import metadata, valid_segments, valid_videos
-from talkmill.sources.transcripts import page_text, utterances
+from talkmill.sources.transcripts import TEXT_FIELDS, TIME_FIELDS, from_word_tags, page_text, record_items, seconds_of, utterances
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -365,6 +365,59 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.filter("label is not null").distinct().select("label", slug(F.col("label")).alias("slug"))
 
 
+# What DuckDB needs to read records and words: times of a JSON value, spaces made even, entities.
+_PART = lambda v, i: f"regexp_extract({v}, '^{_CLOCK_RE}$', {i})"
+_CLOCK = lambda v: f"CASE WHEN regexp_full_match({v}, '{_CLOCK_RE}') THEN ((coalesce(try_cast({_PART(v, 1)} AS BIGINT), 0) * 60 + try_cast({_PART(v, 2)} AS BIGINT)) * 60 + try_cast({_PART(v, 3)} AS BIGINT)) * 1000 + try_cast(rpad(left({_PART(v, 4)}, 3), 3, '0') AS BIGINT) END"
+_CLOCK_RE = r"(?:(\d+):)?(\d+):(\d+)(?:\.(\d*))?"
+_TIME = lambda name, unit: (
+    f"""CASE WHEN json_type(r, '$.{name}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN trunc((r->>'$.{name}')::DOUBLE * {unit})::BIGINT WHEN json_type(r, '$.{name}') = 'VARCHAR' THEN CASE WHEN contains(r->>'$.{name}', ':') THEN {_CLOCK(f"replace(trim(r->>'$.{name}'), ',', '.')")}
+WHEN trim(r->>'$.{name}') LIKE '%ms' THEN trunc(try_cast(left(trim(r->>'$.{name}'), -2) AS DOUBLE))::BIGINT WHEN trim(r->>'$.{name}') LIKE '%s' THEN trunc(try_cast(left(trim(r->>'$.{name}'), -1) AS DOUBLE) * 1000)::BIGINT ELSE trunc(try_cast(trim(r->>'$.{name}') AS DOUBLE) * {unit})::BIGINT END END"""
+)
+_FIELD = lambda which: "coalesce(" + ", ".join(_TIME(name, unit) for names, unit in zip(TIME_FIELDS[which], (1, 1000)) for name in names) + ")"
+_ENTITIES = lambda v: f"replace(replace(replace(replace(replace(replace(replace({v}, '&nbsp;', ' '), '&#x27;', ''''), '&#39;', ''''), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_FLAT = lambda v: _strip(f"regexp_replace({_ENTITIES(v)}, '{_WS}+', ' ', 'g')")
+
+
+@query(
+    f"""WITH j AS (SELECT row_id, unnest(json_extract({_strip("transcript")}, '$[*]')) AS r, generate_subscripts(json_extract({_strip("transcript")}, '$[*]'), 1) - 1 AS pos FROM videos WHERE starts_with({_strip("transcript")}, '[') AND json_valid({_strip("transcript")})),
+t AS (SELECT row_id, pos, {_FIELD("start")} AS s, {_FIELD("end")} AS e, {_FIELD("length")} AS n, CASE WHEN json_type(r) = 'OBJECT' THEN coalesce({", ".join(f"nullif({_FLAT(f"r->>'$.{k}'")}, '')" for k in TEXT_FIELDS)}, '') ELSE {_FLAT("r->>'$'")} END AS text FROM j)
+SELECT row_id, pos, s AS start_ms, coalesce(e, CASE WHEN n IS NOT NULL THEN s + greatest(1, n) END) AS end_ms, text FROM t WHERE text <> ''"""
+)
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of JSON transcripts with their times as far as given, in whatever fields and units."""
+
+    def fn(_: None, ids: list, texts: list) -> list:
+        items = [(i, k, a, b, t) for i, x in zip(ids, texts) for k, (a, b, t) in enumerate(record_items(x.strip())) if t]
+        return [list(c) for c in zip(*items)] or [[], [], [], [], []]
+
+    rows = spread(table(spark, sf_dir, "videos").select("row_id", "transcript")).filter(F.col("transcript").contains("["))
+    return map_rows(rows, "row_id long, pos int, start_ms long, end_ms long, text string", fn)
+
+
+_WORD = r"<(\d{1,2}:\d{2}:\d{2}\.\d+)>(?:<c>)?([^<]*)(?:</c>)?"
+
+
+@query(
+    f"""WITH RECURSIVE v AS (SELECT row_id, coalesce(CASE WHEN abs(try_cast(trim(duration_seconds) AS DOUBLE)) <= 1e9 THEN try_cast(trim(duration_seconds) AS DOUBLE) END, 0) AS seconds, regexp_extract_all(transcript, '{_WORD}', 1) AS ats, regexp_extract_all(transcript, '{_WORD}', 2) AS raws FROM videos WHERE regexp_matches(transcript, '{_WORD}')),
+w AS (SELECT row_id, seconds, unnest(ats) AS raw_at, {_strip(_ENTITIES("unnest(raws)"))} AS word, generate_subscripts(ats, 1) AS k FROM v),
+d AS (SELECT row_id, seconds, {_CLOCK("raw_at")} AS ms, word, min(k) AS k FROM w WHERE word <> '' GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY k) AS n FROM d),
+g AS (SELECT row_id, n, ms AS anchor FROM o WHERE n = 1 UNION ALL SELECT o.row_id, o.n, CASE WHEN o.ms - g.anchor >= 5000 THEN o.ms ELSE g.anchor END FROM g JOIN o ON o.row_id = g.row_id AND o.n = g.n + 1),
+b AS (SELECT o.*, g.anchor, CASE WHEN lag(g.anchor) OVER p IS DISTINCT FROM g.anchor THEN 1 ELSE 0 END AS fresh, last_value(o.ms) OVER (PARTITION BY o.row_id ORDER BY o.n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS latest FROM o JOIN g ON g.row_id = o.row_id AND g.n = o.n WINDOW p AS (PARTITION BY o.row_id ORDER BY o.n)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY row_id ORDER BY n) AS block FROM b),
+s AS (SELECT row_id, block, min(anchor) AS start_ms, greatest(trunc(max(seconds) * 1000)::BIGINT, max(latest) + 1000) AS last, {_strip("regexp_replace(string_agg(word, ' ' ORDER BY n), '" + _WS + "+', ' ', 'g')")} AS text FROM i GROUP BY row_id, block)
+SELECT row_id, start_ms, greatest(start_ms, coalesce(lead(start_ms) OVER (PARTITION BY row_id ORDER BY block), last)) AS end_ms, text FROM s"""
+)
+def vtt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions timed word by word, in groups of five seconds."""
+
+    def fn(_: None, ids: list, texts: list, seconds: list) -> list:
+        items = [(i, *u) for i, x, s in zip(ids, texts, seconds) for u in from_word_tags(x.strip(), s or 0.0)]
+        return [list(c) for c in zip(*items)] or [[], [], [], []]
+
+    videos = spread(table(spark, sf_dir, "videos").select("row_id", "transcript", "duration_seconds")).filter(F.col("transcript").contains("<"))
+    return map_rows(videos.select("row_id", "transcript", seconds_of(videos, "duration_seconds").alias("seconds")), "row_id long, start_ms long, end_ms long, text string", fn)
+
+
 @query()
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the pages among the transcripts show; no SQL, as it takes an HTML parser."""

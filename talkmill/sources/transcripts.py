@@ -16,7 +16,7 @@ from typing import Any
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.functions.arrow import map_rows
@@ -110,7 +110,8 @@ def spread(texts: list[str], duration_s: float) -> list[Utterance]:
     return [(k * step, whole if k + 1 == n else (k + 1) * step, t) for k, t in enumerate(texts)]
 
 
-def from_records(text: str, duration_s: float, compat: bool = False) -> list[Utterance]:
+def record_items(text: str, compat: bool = False) -> list[tuple[int | None, int | None, str]]:
+    """(start, end, text) of each record of a JSON array as far as given; an end follows from a start and a length. None if ``text`` is no array."""
     if not text.startswith("["):
         return []
     try:
@@ -128,7 +129,11 @@ def from_records(text: str, duration_s: float, compat: bool = False) -> list[Utt
             items.append((None if compat and start == 0 and "start" not in r else start, end, field_text(r)))
         else:
             items.append((None, None, flat(html.unescape(str(r)))))
-    return timed(items, duration_s)
+    return items
+
+
+def from_records(text: str, duration_s: float, compat: bool = False) -> list[Utterance]:
+    return timed(record_items(text, compat), duration_s)
 
 
 def from_word_tags(text: str, duration_s: float) -> list[Utterance]:
@@ -242,6 +247,12 @@ def read(transcript: str | None, duration_s: float = 0.0, fetch: Callable[[str],
     return ("text", out) if out else ("none", [])
 
 
+def seconds_of(videos: DataFrame, column: str) -> Column:
+    """A duration as a number; what can't be read, isn't finite or is beyond all reason counts as 0."""
+    seconds = F.expr(f"try_cast(trim(`{column}`) as double)") if dict(videos.dtypes)[column] == "string" else F.col(column).cast("double")
+    return F.when(F.isnan(seconds) | (F.abs(seconds) > 1e9), 0.0).otherwise(seconds)
+
+
 def utterances(videos: DataFrame, keys: list[str], text_col: str = "transcript", seconds_col: str = "duration_seconds", fetch: Callable[[str], str | None] | None = None, compat: bool = False) -> DataFrame:
     """``keys``, form and the array ``utterances`` for each row of ``videos``; one pass without a shuffle.
 
@@ -253,6 +264,4 @@ def utterances(videos: DataFrame, keys: list[str], text_col: str = "transcript",
         got = [read(t, s or 0.0, fetch, compat) for t, s in zip(texts, seconds)]
         return [*rest, [f for f, _ in got], [[{"start_ms": a, "end_ms": b, "text": t} for a, b, t in u] for _, u in got]]
 
-    seconds = F.expr(f"try_cast(trim(`{seconds_col}`) as double)") if dict(videos.dtypes)[seconds_col] == "string" else F.col(seconds_col).cast("double")
-    seconds = F.when(F.isnan(seconds) | (F.abs(seconds) > 1e9), 0.0).otherwise(seconds)
-    return map_rows(videos.select(text_col, seconds.alias("_s"), *keys), f"{kinds}, form string, utterances array<struct<start_ms:bigint,end_ms:bigint,text:string>>", fn)
+    return map_rows(videos.select(text_col, seconds_of(videos, seconds_col).alias("_s"), *keys), f"{kinds}, form string, utterances array<struct<start_ms:bigint,end_ms:bigint,text:string>>", fn)
