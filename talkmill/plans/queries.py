@@ -20,7 +20,7 @@ from talkmill.operators.vocabulary import OTHER, first_spellings, label_key, ove
 from talkmill.plans import pipelines
 from talkmill.session import spread, table
 from talkmill.sources.tables import metadata, valid_segments, valid_videos
-from talkmill.sources.transcripts import TEXT_FIELDS, TIME_FIELDS, from_word_tags, page_text, record_items, seconds_of, utterances
+from talkmill.sources.transcripts import TEXT_FIELDS, TIME_FIELDS, UNSHOWN, from_word_tags, page_text, record_items, seconds_of, utterances
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -418,9 +418,12 @@ def vtt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(videos.select("row_id", "transcript", seconds_of(videos, "duration_seconds").alias("seconds")), "row_id long, start_ms long, end_ms long, text string", fn)
 
 
-@query()
+_UNSHOWN = lambda v: "regexp_replace(" * (len(UNSHOWN) + 1) + v + ", '(?s)<!--.*?-->', ' ', 'g')" + "".join(rf", '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', ' ', 'g')" for tag in sorted(UNSHOWN))
+
+
+@query(rf"SELECT row_id, {_FLAT("regexp_replace(" + _UNSHOWN("transcript") + ", '<[^>]*>', ' ', 'g')")} AS text FROM videos WHERE regexp_matches(transcript, '^\s*<[a-zA-Z!]')")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the pages among the transcripts show; no SQL, as it takes an HTML parser."""
+    """What the pages among the transcripts show."""
     pages = spread(table(spark, sf_dir, "videos").select("row_id", "transcript")).filter(F.col("transcript").rlike(r"^\s*<[a-zA-Z!]")).select("row_id", "transcript")
     return map_rows(pages, "row_id long, text string", lambda _, ids, texts: [ids, [page_text(t) for t in texts]])
 
