@@ -10,11 +10,12 @@ from __future__ import annotations
 import base64
 import heapq
 import os
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.functions.arrow import map_rows
@@ -90,6 +91,17 @@ def encoder(name: str = "byte_bpe_50k", vocab_dir: str = VOCAB_DIR) -> BytePairE
     return BytePairEncoder(f"{vocab_dir}/{name}.tiktoken")
 
 
+def handed_out(spark: SparkSession, name: str, vocab_dir: str) -> Callable[[], BytePairEncoder]:
+    """What makes the encoder in a task: the driver, which alone needs the folder, hands the vocabulary file out once a session."""
+    sc, path = spark.sparkContext, os.path.join(vocab_dir, f"{name}.tiktoken")
+    given = getattr(sc, "_talkmill_files", set())
+    if path not in given:
+        sc.addFile(path)
+        sc._talkmill_files = given | {path}
+    file = os.path.basename(path)
+    return lambda: BytePairEncoder(SparkFiles.get(file))
+
+
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", vocab_dir: str = VOCAB_DIR) -> DataFrame:
     """One row (``id_col``, ``ids``) for each row of ``df``, in one pass without a shuffle.
 
@@ -106,7 +118,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         flat = pa.array([v for x in ids for v in x], pa.int32())
         return [keys, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
 
-    return map_rows(df.select(F.col(id_col), F.col(text_col)), f"`{id_col}` {kind}, ids array<int>", fn, lambda: encoder(name, vocab_dir))
+    return map_rows(df.select(F.col(id_col), F.col(text_col)), f"`{id_col}` {kind}, ids array<int>", fn, handed_out(df.sparkSession, name, vocab_dir))
 
 
 def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", name: str = "byte_bpe_50k", vocab_dir: str = VOCAB_DIR) -> DataFrame:
@@ -116,7 +128,7 @@ def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", name: s
     def fn(enc: BytePairEncoder, texts: list, *rest: list) -> list:
         return [*rest, [len(enc.encode(t)) for t in texts]]
 
-    return map_rows(df.select(text_col, *keep), f"{kinds}, n_tokens long", fn, lambda: encoder(name, vocab_dir))
+    return map_rows(df.select(text_col, *keep), f"{kinds}, n_tokens long", fn, handed_out(df.sparkSession, name, vocab_dir))
 
 
 def p7_ids(spark, sf_dir: str) -> DataFrame:
