@@ -241,6 +241,14 @@ def test_time_tags_anywhere_in_a_transcript(model):
     assert repetition.spoken(late, None, model.weights).split()[-2:] == ["four", "five."]
 
 
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(alphabet="abZ09 '-_.#:|/@&*[]x", max_size=60))
+def test_ascii_is_read_like_other_text(text):
+    assert pages._ASCII_TOKENS.findall(text.lower()) == pages._TOKENS.findall(text.lower())
+    assert repetition._ASCII_WORD.findall(text.lower()) == repetition._WORD.findall(text.lower())
+    assert repetition.units(text) == [u for u in repetition.units(text + ". é") if u != ["é"]]
+
+
 def test_shares(field, model):
     crf, w = field, model.weights
     rng = random.Random(4)
