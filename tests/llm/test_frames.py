@@ -352,6 +352,8 @@ def test_subject_areas(spark):
     assert subjects.subject_areas(s.limit(0), m).count() == 0
     with pytest.raises(ValueError):
         subjects.train(labelled, book.limit(0))
+    long = labelled.unionByName(spark.createDataFrame([("soup " * subjects.LABELLED_CHARS, "Law")], labelled.schema))
+    assert (subjects.train(long, book)[0].word_llr == m.word_llr).all()
 
 
 def test_one_ratio_at_every_size_and_no_label_is_lost(spark):
