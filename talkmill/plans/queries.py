@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,9 @@ from talkmill.operators.overlap import overlap_join, unprocessed
 from talkmill.operators.summary import label_summary, subtopic_summary
 from talkmill.operators.vocabulary import OTHER, first_spellings, label_key, override, slugged, with_other, with_position
 from talkmill.plans import pipelines
-from talkmill.session import spread, table
-from talkmill.sources.tables import metadata, valid_segments, valid_videos
+from talkmill.session import shared_dir, spread, table
+from talkmill.sinks import files
+from talkmill.sources.tables import metadata, processed_urls, read_csv, read_labels, valid_segments, valid_videos
 from talkmill.sources.transcripts import TEXT_FIELDS, TIME_FIELDS, UNSHOWN, from_word_tags, page_text, record_items, seconds_of, utterances
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,6 +430,98 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(pages, "row_id long, text string", lambda _, ids, texts: [ids, [page_text(t) for t in texts]])
 
 
+@query(f"WITH l AS (SELECT label, definition, {_ORDERED} FROM (SELECT label, definition FROM subtopics UNION ALL SELECT upper(label), definition || '!' FROM subtopics UNION ALL SELECT label, definition FROM codebook)), k AS (SELECT pos, {_strip('label')} AS label, lower({_strip('label')}) AS key, nullif({_strip('definition')}, '') AS definition FROM l WHERE {_strip('label')} <> '') SELECT key, min_by(label, pos) AS label, min_by(definition, pos) FILTER (definition IS NOT NULL) AS definition FROM k GROUP BY key")
+def first_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that recur in other cases, with the first spelling and the first definition that isn't blank."""
+    both = lambda name: table(spark, sf_dir, name).select("label", "definition")
+    rows = both("subtopics").union(both("subtopics").select(F.upper("label"), F.concat("definition", F.lit("!")))).union(both("codebook"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("label").asc_nulls_first(), F.col("definition").asc_nulls_first())
+    return first_spellings(rows.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))).select("key", "label", "definition")
+
+
+@query("SELECT video_url, segment_id, title, creator_label, upload_date, timecode_in, timecode_out, segment_duration_seconds, topic, left(segment_transcript, 300) AS segment_transcript_preview, segment_transcript FROM segments_review")
+def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments in the columns of the review file."""
+    segments = spread(table(spark, sf_dir, "segments_review")).drop("segment_transcript_preview").withColumn("more", F.lit(1))
+    return files.review_rows(segments)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT row_id::VARCHAR AS row_id, nullif(source_url, '') AS source_url, nullif(transcript, '') AS transcript, nullif(title, '') AS title, nullif(creator_label, '') AS creator_label, nullif(duration_seconds, '') AS duration_seconds FROM videos")
+def videos_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos written to CSV and read back; an empty field is read as null."""
+    path = _folder(spark)
+    files.write_csv(spread(table(spark, sf_dir, "videos").select("row_id", "source_url", "transcript", "title", "creator_label", "duration_seconds")), path)
+    return read_csv(spark, path)
+
+
+@query(f"SELECT {_strip('label')} AS label, nullif({_strip('definition')}, '') AS definition FROM codebook WHERE coalesce({_strip('label')}, '') <> ''")
+def codebook_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codebook written to a file and read as one."""
+    path = _folder(spark) + ".csv"
+    files.write_csv(table(spark, sf_dir, "codebook"), path, single=True)
+    return read_labels(spark, path).select("label", "definition")
+
+
+@query("SELECT DISTINCT video_url FROM segments_review WHERE video_url IS NOT NULL AND segment_id % 2 = 0")
+def processed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses in two files of segments that earlier runs wrote."""
+    paths = [_folder(spark) + ".json" for _ in range(2)]
+    for k, path in enumerate(paths):
+        files.write_json_array(spread(table(spark, sf_dir, "segments_review")).filter(F.col("segment_id") % 4 == 2 * k), path)
+    return processed_urls(spark, paths)
+
+
+@query(f"SELECT video_url, segment_id, 'cached' AS status FROM segments_review WHERE coalesce({_strip('video_url')}, '') <> '' AND coalesce({_strip('segment_transcript')}, '') <> ''")
+def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All segments classified twice; the second time every answer comes from the cache."""
+    segments = with_position(valid_segments(spread(table(spark, sf_dir, "segments_review"))).select("video_url", "segment_id", "segment_transcript"))
+    book = [(r.label, r.definition) for r in _codebook(spark, sf_dir).orderBy("pos").limit(pipelines.MOST_LABELS).collect()]
+    cache = cl.AnswerCache(spark, _folder(spark))
+    ask = lambda: cl.classify(segments, Heuristic(), cl.label_prompt(book, OTHER), cl.label_schema([x for x, _ in book]), cache)
+    ask()
+    return ask().select("video_url", "segment_id", "status")
+
+
+_TIMING_TAGS = r"<\d{1,2}:\d{2}:\d{2}\.\d+>|</?c>"
+_SHOWN = rf"CASE WHEN starts_with({_strip('transcript')}, '<') THEN regexp_replace({_UNSHOWN('transcript')}, '<[^>]*>', ' ', 'g') ELSE regexp_replace(transcript, '{_TIMING_TAGS}', ' ', 'g') END"
+_SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace({_strip(rf"regexp_replace(regexp_replace(CASE WHEN starts_with({_strip('transcript')}, '<') THEN {_ENTITIES('shown')} ELSE shown END, '{_TIMING_TAGS}', ' ', 'g'), '{_WS}+', ' ', 'g')")}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(
+    rf"""WITH v AS (SELECT row_id, transcript, {_SHOWN} AS shown, coalesce(CASE WHEN abs(try_cast(trim(duration_seconds) AS DOUBLE)) <= 1e9 THEN try_cast(trim(duration_seconds) AS DOUBLE) END, 0) AS seconds FROM videos
+WHERE coalesce({_strip("transcript")}, '') <> '' AND NOT contains(transcript, '{NO_CAPTIONS}') AND NOT regexp_matches(transcript, '{_WORD}') AND NOT (starts_with({_strip("transcript")}, '[') AND json_valid({_strip("transcript")}) AND {_strip("transcript")} <> '[]')),
+s AS (SELECT row_id, CASE WHEN starts_with({_strip("transcript")}, '<') THEN 'page' ELSE 'text' END AS form, {_SENTENCES} AS parts, seconds FROM v),
+n AS (SELECT *, len(parts) AS n, greatest(trunc(seconds * 1000)::BIGINT, len(parts) * 1000) AS total FROM s WHERE len(parts) > 0),
+u AS (SELECT row_id, form, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS pos, n, total, greatest(1, total // n) AS step FROM n)
+SELECT row_id, form, pos, pos * step AS start_ms, CASE WHEN pos = n - 1 THEN total ELSE (pos + 1) * step END AS end_ms, text FROM u"""
+)
+def text_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of plain texts and of pages as utterances spread over the duration."""
+    read = utterances(spread(table(spark, sf_dir, "videos").select("row_id", "transcript", "duration_seconds")), ["row_id"]).filter(F.col("form").isin("text", "page"))
+    return read.select("row_id", "form", F.posexplode("utterances").alias("pos", "u")).select("row_id", "form", "pos", "u.*")
+
+
+@query(f"SELECT video_url, segment_id, CASE WHEN codebook_label IN (SELECT label FROM codebook) THEN codebook_label ELSE '{OTHER}' END AS codebook_label FROM labeled_segments")
+def labels_from_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels read off recorded answers; what is missing or not in the codebook becomes the fallback."""
+    names = [r.label for r in _codebook(spark, sf_dir).orderBy("pos").limit(pipelines.MOST_LABELS).collect()]
+    answered = table(spark, sf_dir, "labeled_segments").select("video_url", "segment_id", F.to_json(F.struct(F.col("codebook_label").alias("label"))).alias("answer"))
+    return cl.with_labels(answered, names, OTHER)
+
+
+@query("SELECT video_url, segment_id, CASE WHEN segment_id % 3 = 0 THEN 'positive' ELSE 'not_discussed' END AS wages, CASE WHEN segment_id % 2 = 0 THEN 'neutral' ELSE 'not_discussed' END AS rents FROM labeled_segments")
+def sentiments_from_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentiments read off recorded answers, in which some are missing, null or no sentiment."""
+    wages = F.when(F.col("segment_id") % 3 == 0, "positive").when(F.col("segment_id") % 3 == 1, "odd")
+    rents = F.when(F.col("segment_id") % 2 == 0, "neutral")
+    answered = table(spark, sf_dir, "labeled_segments").select("video_url", "segment_id", F.to_json(F.struct(wages.alias("wages"), rents.alias("rents"), F.lit(1).alias("more"))).alias("answer"))
+    return cl.with_sentiments(answered, ["wages", "rents"]).drop("sentiments")
+
+
 @query()
 def transcript_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All transcripts in whatever form as timed utterances; no SQL, as forms are mixed within one transcript."""

@@ -21,8 +21,9 @@ def run_directory(output: str, source: str, now: datetime | None = None) -> str:
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False, mode: str = "errorifexists") -> None:
-    """CSV with a header, every value quoted, quotes doubled, nulls and empties as empty quotes. ``single``: one file, for summaries."""
-    (df.coalesce(1) if single else df).write.options(header=True, quoteAll=True, escape='"', emptyValue="", nullValue="").mode(mode).csv(path)
+    """CSV with a header, every value quoted, quotes doubled, spaces at the ends kept, nulls and empties as empty quotes. ``single``: one file, for summaries."""
+    options = {"header": True, "quoteAll": True, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (df.coalesce(1) if single else df).write.options(**options).mode(mode).csv(path)
 
 
 def review_rows(segments: DataFrame) -> DataFrame:
