@@ -186,6 +186,10 @@ def test_batches_through_a_compacted_store(spark, tmp_path):
     assert sorted(found) == brute([(x.row_id, x.key) for x in r.collect()])
     assert len(store._folders()) <= 3 and store.tables().filter("t = 0").count() >= r.select("key").distinct().count() - 1
     dedup.PrintStore(spark, str(tmp_path / "none")).compact()
+    # A batch larger than a folder should be is written by several tasks.
+    big = dedup.PrintStore(spark, str(tmp_path / "big"), folder_rows=10)
+    big.append(r, "0")
+    assert len(list((tmp_path / "big").rglob("t=0/p=0/*.parquet"))) > 1
 
 
 def test_a_batch_reads_no_more_of_a_larger_history(spark, tmp_path):
@@ -280,6 +284,13 @@ def test_many_notices_are_joined(spark):
     assert rows(repetition.shares(v, sent)) == rows(repetition.shares(v, joined))
 
 
+def test_notices_of_all_sites(spark):
+    """A line that one page each of many sites has is a notice though no site has it often."""
+    notice = "He thought that the old lamp was here before they came."
+    v = videos(spark, [(i, f"https://site{i}.example/x", f"<div>\n<p>They counted {i * 'very '} boats on that day.</p>\n<p>{notice}</p>\n</div>", f"Title {i}", None) for i in range(30)])
+    assert pages.page_model(v).notices == {pages.line_hash(notice)}
+
+
 def test_pages_are_read_twice(spark, tmp_path):
     """Once for the model and once for the result, whose plan has no shuffle."""
     videos(spark, [(i, "https://a.example/x", f"<div>\n<p>We met {i}.</p>\n<main>\n<p>So they said, and left {i}.</p>\n</main></div>", f"T{i}", None) for i in range(40)]).repartition(4).write.parquet(f"{tmp_path}/videos.parquet")
