@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 from collections import Counter
 from fractions import Fraction
 
@@ -393,6 +394,31 @@ def test_samples(spark):
 
 # ---- the queries
 
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_shares_that_are_reached(spark):
+    """The mix of the test tables against counts made without Spark: each source within one document of what it should give."""
+    enc = tokenize.encoder()
+    docs = [(mix_source(r.source), len(enc.encode(r.text))) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    whole, longest, has = sum(n for _, n in docs), Counter(), Counter()
+    for s, n in docs:
+        has[s] += n
+        longest[s] = max(longest[s], n)
+    got = {r.source: r for r in mix.p8_shares(spark, SMALL).collect()}
+    short = {r.source for r in mix.p8_found(spark, SMALL).collect()}
+    targets = spark.read.parquet(f"{SMALL}/mix_targets.parquet").collect()
+    assert set(got) == {t.source for t in targets}
+    for t in targets:
+        quota = min(has[t.source] * t.max_repeats, int(Fraction(str(t.target_share)) * whole))
+        assert 0 <= quota - got[t.source].mixed_tokens < longest[t.source] or quota == got[t.source].mixed_tokens
+        assert got[t.source].most_uses <= t.max_repeats and (t.source in short) == (has[t.source] * t.max_repeats < Fraction(str(t.target_share)) * whole)
+    assert abs(sum(r.actual_share for r in got.values()) - 1) < 1e-9
+
+
+def mix_source(spelled):
+    return spelled and re.sub(r"[-\s]+", "_", spelled.strip().lower())
+
+
 SHAPES = {
     "p1_found": "video_url string,segment_id int,codebook_label string", "p2_found": "row_id bigint,cut string", "p3_found": "row_id bigint,line_no int", "p4_found": "first_row_id bigint,row_id bigint", "p5_found": "row_id bigint,turn_no int,speaker_id bigint",
     "p6_found": "row_id bigint", "p7_ids": "doc_id bigint,ids array<int>", "p8_found": "source string", "p9_found": "doc_id bigint",
