@@ -59,6 +59,15 @@ def test_labels_and_subtopics(spark):
     assert [(r.subtopic, r.n_segments_discussed, r.pct_of_filtered) for r in sub.collect()] == [("wages", 1, 100.0), ("rents", 0, 0.0)]
 
 
+def test_too_many_labels_are_an_error(spark):
+    s = with_position(spark.createDataFrame([("u", 0, "text", 5.0, "A")], "video_url string, segment_id int, segment_transcript string, segment_duration_seconds double, codebook_label string"))
+    many = spark.range(pipelines.MOST_LABELS + 1).selectExpr("id pos", "concat('l', id) label", "concat('l', id) slug", "'' definition")
+    with pytest.raises(ValueError, match="labels"):
+        pipelines.label_segments(s, many, Heuristic())
+    with pytest.raises(ValueError, match="subtopics"):
+        pipelines.score_subtopics(s, many, "A", Heuristic())
+
+
 def test_models():
     r = Recorded({prompt_key("s", "u"): {"x": 1}})
     assert r.complete("s", "u", {}, 1) == {"x": 1}
