@@ -4,12 +4,14 @@ Each subject of the codebook, and small talk, has a bigram model interpolated wi
 background; what a subject says about a token is its log probability over that of the background model. A path over the tokens
 that changes subject seldom, and most easily where a sentence ends, gives each token a subject. The models start from
 the labels known so far, which are one a segment and partly wrong, and are fitted again to the tokens they claim.
-A segment has every subject whose share of its talk passes a threshold.
+A segment has every subject whose share of its talk passes a threshold, which is calibrated on labelled segments that the
+models scoring them weren't fitted on.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -40,8 +42,10 @@ TOGETHER, TOGETHER_TOKENS = 256, 60_000
 NOTHING = 1e-4
 #: A segment has a subject at all if its largest has this share of all words; else it is small talk.
 LEAST = 0.25
-#: A further subject counts if it has this part of what it and the largest have together, whatever the size of the table.
-RATIO = 0.29
+#: A further subject counts if it has this part of what it and the largest have together: what calibration starts from, and as many labelled segments as that start weighs.
+RATIO, PRIOR = 0.29, 50
+#: What the labels may make of it: a part under the first is in passing, two subjects from the second on share a segment.
+BOUNDS = (0.2, 0.4)
 #: Labels of a codebook that the models are made for; more are an error.
 MOST_LABELS = 1000
 
@@ -246,8 +250,48 @@ def chosen(share: np.ndarray, other: int, ratio: float = RATIO) -> list[int]:
     return [int(i) for i in np.flatnonzero(ratios(share, other) >= ratio)]
 
 
+def held_out(labels: list[str], rows: list[tuple[str, str | None]]) -> list[np.ndarray]:
+    """For each row the shares that models fitted on the other half of the rows give it; a text is in one half only, however spaced."""
+    half = [zlib.crc32(" ".join(t.split()).encode()) & 1 for t, _ in rows]
+    out: list[np.ndarray] = [np.zeros(0)] * len(rows)
+    for h in (0, 1):
+        models = fit(labels, [r for r, x in zip(rows, half) if x != h])
+        own = [i for i, x in enumerate(half) if x == h]
+        for at in range(0, len(own), 1024):
+            some = own[at : at + 1024]
+            for i, s in zip(some, shares(models, [rows[i][0] for i in some])):
+                out[i] = s
+    return out
+
+
+def calibrated(found: list[np.ndarray], known: list[list[int]], other: int) -> float:
+    """The ratio from which on a second subject shares its segment more often than not, by what the labels say.
+
+    A label names one of the subjects that share a segment, and one in passing by mistake only. So of the segments with
+    a ratio the part that shares is the part whose label names the second subject, over that part where both are clearly
+    large. The ratio is the one beyond which the labels outweigh half of it by most, drawn to ``RATIO`` as by
+    ``PRIOR`` segments: the same rule at every size, in which the labels count by their number.
+    """
+    one = [i for i, k in enumerate(known) if len(k) == 1 and k[0] != other]
+    if not one:
+        return RATIO
+    share, label = np.array([found[i] for i in one]), np.array([known[i][0] for i in one])
+    second = np.argsort(-ratios(share, other), axis=1, kind="stable")[:, 1]
+    ratio, named = ratios(share, other)[np.arange(len(one)), second], label == second
+    share[:, other] = 0
+    some = (share.max(1) >= LEAST) & (ratio >= BOUNDS[0])
+    ratio, named = ratio[some], named[some]
+    large = named[ratio >= BOUNDS[1]]
+    even = (large.sum() + PRIOR / 2) / (len(large) + PRIOR)
+    # PRIOR segments evenly between the bounds, named more often the larger their ratio, half of ``even`` at RATIO.
+    drawn = PRIOR * even / 2 / (BOUNDS[1] - BOUNDS[0]) ** 2
+    steps = [t for k in range(-100, 100) if BOUNDS[0] <= (t := round(RATIO + k / 200, 3)) <= BOUNDS[1]]
+    gain = [float((named[ratio >= t] - even / 2).sum()) - drawn * (t - RATIO) ** 2 for t in steps]
+    return steps[int(np.argmax(gain))]
+
+
 def train(labeled: DataFrame, codebook: DataFrame, rows: int = LABELLED_ROWS) -> tuple[SubjectModels, float]:
-    """The models and the ratio, from about ``rows`` labelled segments, chosen by hash; repeated texts with one label count once."""
+    """The models and the calibrated ratio, from about ``rows`` labelled segments, chosen by hash; repeated texts with one label count once."""
     labels = [r.label for r in codebook.select("label").filter("label is not null").dropDuplicates(["label"]).orderBy("label").limit(MOST_LABELS + 1).collect()]
     if len(labels) > MOST_LABELS:
         raise ValueError(f"the codebook has more than {MOST_LABELS} labels")
@@ -255,7 +299,8 @@ def train(labeled: DataFrame, codebook: DataFrame, rows: int = LABELLED_ROWS) ->
         raise ValueError("the codebook is empty")
     texts = labeled.filter(F.col("segment_transcript").rlike(r"(?U)\S") & (F.length("segment_transcript") <= LABELLED_CHARS)).select("segment_transcript", F.coalesce("codebook_label", F.lit("")).alias("label"))
     pairs = sorted((r[0], r[1]) for r in sampled(texts, rows, "segment_transcript", "label").collect())
-    return fit(labels, pairs), RATIO
+    models, keys = fit(labels, pairs), label_keys(labels)
+    return models, calibrated(held_out(labels, pairs), [known_labels(x, keys, models.other) for _, x in pairs], models.other)
 
 
 def subject_areas(segments: DataFrame, models: SubjectModels, ratio: float = RATIO) -> DataFrame:
