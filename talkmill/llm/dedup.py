@@ -1,6 +1,7 @@
 """Checking new batches of rows against everything accepted before, by fingerprints in rotated block tables.
 
-A row's text (for videos, its canonical address) gets a 64-bit fingerprint. Fingerprints are cut into pieces; each
+A row's text (for videos, its canonical address) gets a 64-bit fingerprint of its character grams (for videos, those of the
+code, within a site). Fingerprints are cut into pieces; each
 table holds them with other pieces rotated to the front, as many of them as are left when ``max_bits`` are taken away. Two
 fingerprints that differ in at most ``max_bits`` bits have the leading block of at least one table in common, so exact
 look-ups in the tables find every such pair; Hamming distance and the text itself are verified after that. New
@@ -82,27 +83,35 @@ def _signs(hashes: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=100_000)
-def _gram(g: str) -> int:
-    return xxhash.xxh3_64_intdigest(g)
+def _gram(g: str, kind: str) -> int:
+    return xxhash.xxh3_64_intdigest(g, _kind(kind))
 
 
-def fingerprints(texts: list[str | None], gram: int = GRAM) -> list[int | None]:
+@lru_cache(maxsize=100_000)
+def _kind(kind: str) -> int:
+    return xxhash.xxh3_64_intdigest(kind) if kind else 0
+
+
+def fingerprints(texts: list[str | None], gram: int = GRAM, kinds: list[str | None] | None = None) -> list[int | None]:
     """64-bit fingerprints in which texts with most of their character grams in common differ in few bits.
 
-    The text as a whole is a feature with as much weight as all its grams, so that the many short texts with a
-    common beginning don't fill one block of a table. Null stays null; equal texts have equal fingerprints.
+    Each bit is what most of the grams have there. All weigh nearly, but no two quite the same, so that even the few
+    grams of a short text leave hardly a bit undecided. Only texts of one of the ``kinds`` (sites, for addresses) are near each other, so a
+    beginning that all texts of a kind share needn't be in the texts, where it would fill blocks of the tables. Null
+    stays null; equal texts of a kind have equal fingerprints.
     """
-    hashes, weights, starts, out = [], [], [], [None] * len(texts)
-    for t in texts:
+    hashes, starts, out = [], [], [None] * len(texts)
+    for t, kind in zip(texts, kinds or [""] * len(texts)):
         if t is None:
             continue
-        grams = {t[i : i + gram] for i in range(max(1, len(t) - gram + 1))}
         starts.append(len(hashes))
-        hashes += [xxhash.xxh3_64_intdigest(t, 1), *map(_gram, sorted(grams))]
-        weights += [len(grams) + 0.5, *[1] * len(grams)]
+        hashes += [_gram(g, kind or "") for g in sorted({t[i : i + gram] for i in range(max(1, len(t) - gram + 1))})]
     if not hashes:
         return out
-    sums = np.add.reduceat(_signs(np.array(hashes, np.uint64)) * np.array(weights)[:, None], starts)
+    h = np.array(hashes, np.uint64)
+    # From 1 to 1.25, in whole numbers, by bits that a multiplication mixes, as the hash's own are the signs.
+    weights = (1 << 14) + ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.int64)
+    sums = np.add.reduceat(_signs(h) * weights[:, None], starts)
     prints = iter(np.packbits(sums > 0, axis=1).view(">u8").ravel().astype(np.int64).tolist())
     return [None if t is None else next(prints) for t in texts]
 
@@ -116,7 +125,8 @@ def keyed(videos: DataFrame, site_hosts: DataFrame, *keep: str) -> DataFrame:
 
     def fn(_: None, ids: list, urls: list, *rest: list) -> list:
         keys = [video_key(u, sites) for u in urls]
-        return [ids, keys, fingerprints(keys), *rest]
+        parts = [(None, None) if k is None else k.rsplit(" ", 1) for k in keys]
+        return [ids, keys, fingerprints([code for _, code in parts], kinds=[site for site, _ in parts]), *rest]
 
     kinds = "".join(f", `{c}` {videos.schema[c].dataType.simpleString()}" for c in keep)
     return map_rows(videos.select("row_id", "source_url", *keep), f"row_id long, key string, print long{kinds}", fn)

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -240,6 +241,33 @@ def test_prints():
     assert a == b and c is None and dedup.fingerprints([]) == [] and dedup.fingerprints([""])[0] is not None
 
 
+def test_near_texts_have_near_prints_and_are_found(spark):
+    """The grams decide the fingerprint, so a text with a word changed is found through the tables, and no other text."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9)))
+    texts = [[word() for _ in range(1500)] for _ in range(40)]
+    changed = [[*t[:i], word(), *t[i + 1 :]] for t in texts for i in [rng.randrange(1500)]]
+    old, new = (dedup.fingerprints([" ".join(t) for t in x]) for x in (texts, changed))
+    bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    assert sum(bits(a, b) <= 3 for a, b in zip(old, new)) >= 36 and any(a != b for a, b in zip(old, new))
+    assert min(bits(a, b) for i, a in enumerate(old) for j, b in enumerate(new) if i != j) > 9
+    table = spark.createDataFrame([(f"k{i}", p, i) for i, p in enumerate(old)], "key string, print long, first_row_id long")
+    probes = spark.createDataFrame([(f"k{i} changed", p, 1) for i, p in enumerate(new)], "key string, print long, n long")
+    got = dedup.look_up(probes, dedup.blocks(table, 3, 4), 3, 4, same=F.lit(True)).collect()
+    assert len(got) >= 36 and all(r.key == f"k{r.first_row_id} changed" for r in got)
+
+
+def test_prints_of_short_texts_fill_no_block():
+    """Numbered episodes, which share most of their grams, spread over the blocks of both tables and over the first bits."""
+    for texts in ([f"#{i}" for i in range(1, 100_000)], [f"talk{i:06d}" for i in range(100_000)]):
+        prints = np.array(dedup.fingerprints(texts, kinds=["t"] * len(texts)), np.int64).view(np.uint64)
+        for block in (prints >> np.uint64(32), prints & np.uint64(0xFFFFFFFF)):
+            assert (np.unique(block, return_counts=True)[1] ** 2).sum() < 4 * len(texts)
+        assert np.bincount((prints >> np.uint64(58)).astype(int), minlength=64).max() < 4 * len(texts) / 64
+    a, b, c = dedup.fingerprints(["#1", "#1", "#1"], kinds=["t", "p", "t"])
+    assert a == c != b
+
+
 # ---- texts of videos
 
 TALK = json.dumps([{"start_ms": i * 1000, "speaker": s, "text": t} for i, (s, t) in enumerate([("Ann", "One."), ("um", "Two."), ("Bob", "[applause]"), ("BOB", "Three.")])])
